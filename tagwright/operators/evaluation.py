@@ -83,11 +83,11 @@ def best_candidate(results: DataFrame, metric: str) -> DataFrame:
     """The complete candidate with the highest metric, the lowest number on ties; none complete is an error."""
     if metric not in results.columns:
         raise KeyError(f"{metric!r} is not in {results.columns}")
-    best = sort_results(results.where("complete"), metric).limit(1)
-    there = results.agg(F.count_if("complete").alias("_n")).withColumn(
-        "_n", F.when(F.col("_n") == 0, F.raise_error(F.lit("no candidate has finished every split"))).otherwise(F.col("_n"))
-    )
-    return best.join(F.broadcast(there), F.col("_n") > 0).drop("_n")
+    rank = F.struct(F.col(f"`{metric}`"), -F.col("candidate"))
+    row = F.struct(*[F.col(f"`{c}`") for c in results.columns])
+    best = results.agg(F.max_by(row, F.when(F.col("complete"), rank)).alias("_best"))
+    none = F.raise_error(F.lit("no candidate has finished every split"))
+    return best.select(F.when(F.col("_best").isNull(), none.cast(results.schema)).otherwise(F.col("_best")).alias("_best")).select("_best.*")
 
 
 # ---- confidence buckets ---------------------------------------------------------------------------------------

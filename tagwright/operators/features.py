@@ -127,8 +127,9 @@ def features(tf: DataFrame, vocabulary: DataFrame, settings) -> DataFrame:
     known = known.withColumn("x", _raw_weight(settings)).drop("idf", "tf")
     if settings.vectorizer_kind == "count" or settings.norm is None:
         return known
-    size = F.sum(F.abs("x")) if settings.norm == "l1" else F.sqrt(F.sum(F.col("x") * F.col("x")))
-    return known.withColumn("x", F.col("x") / size.over(Window.partitionBy("split", "doc")))
+    row = Window.partitionBy("split", "doc")  # the terms of one document
+    size = F.sum(F.abs("x")).over(row) if settings.norm == "l1" else F.sqrt(F.sum(F.col("x") * F.col("x")).over(row))
+    return known.withColumn("x", F.col("x") / size)
 
 
 def count_features(tf: DataFrame, vocabulary: DataFrame, settings) -> DataFrame:

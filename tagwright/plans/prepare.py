@@ -25,6 +25,14 @@ def clean_dataframe(
     return (drop_blank_text(out, cleaned_col) if drop_empty else out), vocabulary
 
 
+def _added_up(*rows: DataFrame) -> DataFrame:
+    """One-row frames side by side: their union, summed per column."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.sum(c).alias(c) for c in stacked.columns])
+
+
 def prepare_items(
     items: DataFrame, text_col: str, cleaned_col: str, english: DataFrame, good_tokens: DataFrame,
     settings: CleaningSettings | None = None, vocabulary: DataFrame | None = None,
@@ -51,21 +59,18 @@ def prepare_items(
         F.count_if(~has_label).alias("missing_label_dropped"),
         F.count_if(has_label & blank).alias("blank_raw_dropped"),
     )
-    raw = items.agg(F.count("*").alias("raw_rows"))
-    after = out.agg(F.count("*").alias("cleaned_rows"))
-    counts = (
-        raw.crossJoin(before).crossJoin(after)  # one row each
-        .select(
-            "raw_rows",
-            (F.col("raw_rows") - F.col("listed")).alias("blacklisted_dropped"),
-            "missing_label_dropped",
-            "blank_raw_dropped",
-            (
-                F.col("listed") - F.col("missing_label_dropped") - F.col("blank_raw_dropped") - F.col("cleaned_rows")
-            ).alias("emptied_by_cleaning_dropped"),
-            "cleaned_rows",
-            (F.col("raw_rows") - F.col("cleaned_rows")).alias("total_dropped"),
-        )
+    seen = _added_up(
+        items.agg(F.count("*").alias("raw_rows")), before, out.agg(F.count("*").alias("cleaned_rows"))
+    )
+    dropped = F.col("listed") - F.col("missing_label_dropped") - F.col("blank_raw_dropped") - F.col("cleaned_rows")
+    counts = seen.select(
+        "raw_rows",
+        (F.col("raw_rows") - F.col("listed")).alias("blacklisted_dropped"),
+        "missing_label_dropped",
+        "blank_raw_dropped",
+        dropped.alias("emptied_by_cleaning_dropped"),
+        "cleaned_rows",
+        (F.col("raw_rows") - F.col("cleaned_rows")).alias("total_dropped"),
     )
     return out, vocabulary, counts
 
@@ -75,8 +80,7 @@ def blacklist_prepared(
 ) -> tuple[DataFrame, DataFrame]:
     """A blacklist on an already prepared set, with the counts brought up to date."""
     out = written(apply_blacklist(prepared, blacklist, column), "listed")
-    left = out.agg(F.count("*").alias("_left"))
-    updated = counts.crossJoin(left).select(  # one row each
+    updated = _added_up(counts, out.agg(F.count("*").alias("_left"))).select(
         "raw_rows",
         (F.col("blacklisted_dropped") + F.col("cleaned_rows") - F.col("_left")).alias("blacklisted_dropped"),
         "missing_label_dropped", "blank_raw_dropped", "emptied_by_cleaning_dropped",

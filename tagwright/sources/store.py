@@ -31,7 +31,8 @@ def read_json(spark: SparkSession, path: str) -> Any:
 def write_delimited(df: DataFrame, path: str, delimiter: str = DELIMITER) -> None:
     (
         df.write.mode("overwrite").option("header", True).option("sep", delimiter)
-        .option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+        .option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
 
 
