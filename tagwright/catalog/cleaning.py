@@ -225,7 +225,7 @@ def word_list_semi_join(spark, folder):
 def measurement(spark, folder):
     patterns = unit_patterns(lists.units_of(lists.UNITS))
     words = fx.items(spark, folder).select(F.explode(tx.words(F.upper("descr"))).alias("word")).distinct()
-    return words.select("word", cl.is_measurement(F.col("word"), patterns).alias("measurement"))
+    return cl.with_measurement(words, patterns).select("word", "measurement")
 
 
 def _marked_term(term: str) -> str:
@@ -253,21 +253,19 @@ def clean_06_colors(spark, folder):
 @query("clean_07_units")
 def clean_07_units(spark, folder):
     patterns = unit_patterns(lists.units_of(lists.UNITS))
-    return _upper_items(spark, folder).withColumn("text", cl.standardize_units(F.col("text"), patterns))
+    return tx.apply_steps(_upper_items(spark, folder), "text", cl.standardize_units(patterns))
 
 
 @query("clean_08_glue")
 def clean_08_glue(spark, folder):
     patterns = unit_patterns(lists.units_of(lists.UNITS))
-    return _upper_items(spark, folder).withColumn("text", cl.glue_units(F.col("text"), patterns))
+    return tx.apply_steps(_upper_items(spark, folder), "text", cl.glue_units(patterns))
 
 
 @query("clean_09_sizes")
 def clean_09_sizes(spark, folder):
     patterns = unit_patterns(lists.units_of(lists.UNITS))
-    return _upper_items(spark, folder).withColumn(
-        "text", cl.replace_sizes(F.col("text"), lists.default_sizes(), patterns)
-    )
+    return tx.apply_steps(_upper_items(spark, folder), "text", cl.replace_sizes(lists.default_sizes(), patterns))
 
 
 @query("clean_10_punctuation", rf"""

@@ -79,7 +79,9 @@ from lineitem
 """
 
 PREDS = """
-select cast(l_orderkey * 10 + l_linenumber as bigint) as id,
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
+              cast(l_suppkey as string), '-', cast(cast(l_quantity as int) as string)) as id,
+       cast(l_orderkey * 10 + l_linenumber as bigint) as num,
        cast(l_orderkey % 5 as int) as fold,
        cast(l_suppkey % 3 as int) as candidate,
        l_returnflag as actual_1, concat(l_returnflag, '/', l_linestatus) as actual_2,
@@ -125,7 +127,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """``preds`` under the column names of a prediction table."""
     lines = spark.sql(PREDS.replace("from lineitem", "from {lineitem}"), lineitem=table(spark, folder, "lineitem"))
     return lines.selectExpr(
-        "id", "fold", "candidate", "actual_1 as `Actual one`", "actual_2 as `Actual two`",
+        "id", "num", "fold", "candidate", "actual_1 as `Actual one`", "actual_2 as `Actual two`",
         "predicted_1 as `Predicted one`", "predicted_2 as `Predicted two`",
         "conf_1 as `L1 Confidence`", "conf_2 as `L2 Confidence`",
     )

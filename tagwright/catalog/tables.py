@@ -139,14 +139,14 @@ def write_vocabulary(spark, folder):
 
 
 @query("write_split_result", fx.with_views("preds", body="""
-    select candidate, fold as split, count(*) as n, cast(sum(id) as bigint) as ids from preds group by all"""))
+    select candidate, fold as split, count(*) as n, cast(sum(num) as bigint) as ids from preds group by all"""))
 def write_split_result(spark, folder):
     path = scratch_path(spark, "results")
     pred = fx.predictions(spark, folder).withColumnRenamed("fold", "split")
     store.write_split_result(pred, path)
     store.write_split_result(pred.where("candidate = 1"), path)  # a re-run replaces its own partitions only
     return store.read_split_results(spark, path).groupBy("candidate", "split").agg(
-        F.count("*").alias("n"), F.sum("id").alias("ids")
+        F.count("*").alias("n"), F.sum("num").alias("ids")
     )
 
 

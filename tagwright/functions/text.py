@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character sets, written to go inside [...].
@@ -61,7 +61,7 @@ def rewrite(text: Column, pattern: str, replacement: Callable[[Column], Column])
 
     ``regexp_replace`` can only put groups back; this is the form for replacements that need a lookup or a
     condition. The text between the matches and the matches themselves are two arrays that are zipped together.
-    The pattern must not match the empty string.
+    The pattern must not match the empty string. ``text`` is read several times, so it should be a plain column.
     """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -69,3 +69,17 @@ def rewrite(text: Column, pattern: str, replacement: Callable[[Column], Column])
         gaps, found, lambda gap, match: F.concat(gap, F.coalesce(replacement(match), F.lit("")))
     )
     return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+Step = Callable[[Column], Column]
+
+
+def apply_steps(df: DataFrame, column: str, steps: list[Step]) -> DataFrame:
+    """Run the steps one after the other over ``column``.
+
+    One projection per step: a step that reads its input several times then reads a finished value, where a nested
+    expression would compute the steps before it again for every reading.
+    """
+    for step in steps:
+        df = df.withColumn(column, step(F.col(column)))
+    return df

@@ -45,7 +45,7 @@ def headline(pred: DataFrame, levels, split_col: str | None = None) -> DataFrame
     if not split_col:
         return accuracy_by_level(pred, levels).select(F.lit("all").alias("split"), *[F.col(f"`{n}`") for n in names])
     rolled = (
-        pred.rollup(F.col(f"`{split_col}`").alias("_s"))
+        pred.withColumn("_s", F.col(f"`{split_col}`")).rollup("_s")
         .agg(F.grouping("_s").alias("_all"), *_accuracies(levels))
         .select(
             F.when(F.col("_all") == 1, "all").otherwise(F.col("_s").cast("string")).alias("split"),

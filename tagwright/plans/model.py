@@ -85,6 +85,9 @@ def fit(
         .where(F.col("n") >= settings.rare_path_threshold),
         "kept",
     )
+    filled = {r.split for r in kept.select("split").distinct().collect()}  # at most one row per split
+    if filled != set(splits):
+        raise ValueError(f"rare_path_threshold={settings.rare_path_threshold} leaves no training rows")
     n_docs = kept.groupBy("split").agg(F.sum("n").alias("n_docs"))
     on_kept = kept.select("split", "path")
 
