@@ -233,8 +233,11 @@ def class_counts(spark, folder):
 @query("class_term_counts", _items_sql("select depth, class, term, round(fc, 6) as fc from fc", "fit"))
 def class_term_counts(spark, folder):
     model = _fitted(spark, folder)[2]
-    names = model.classes.select("split", "depth", "code", "class")
-    return model.weights.join(names, ["split", "depth", "code"]).select("depth", _key().alias("class"), "term", _round("fc"))
+    classes = model.classes.select("split", "depth", "code", "class")
+    terms = model.vocabulary.select("split", "tid", "term")
+    return model.weights.join(classes, ["split", "code"]).join(terms, ["split", "tid"]).select(
+        "depth", _key().alias("class"), "term", _round("fc")
+    )
 
 
 @query("class_totals", _items_sql("""
@@ -279,48 +282,43 @@ def lookup_term_weights(spark, folder):
     _, terms, model = _fitted(spark, folder)
     x = ft.features(terms, model.vocabulary, SETTINGS)
     names = model.classes.select("split", "depth", "code", "class")
-    return bayes.lookup_term_weights(x, model.weights, [0.01]).join(names, ["split", "depth", "code"]).select(
+    return bayes.lookup_term_weights(x, model.weights, [0.01]).join(names, ["split", "code"]).select(
         "doc", "depth", _key().alias("class"), F.round("s_0", 4).alias("s")
     )
 
 
-def _jll(spark, folder):
+def _values(spark, folder, what):
     docs, terms, model = _fitted(spark, folder)
-    x = written(
-        ft.features(terms, model.vocabulary, SETTINGS).select("split", "doc", "term", "x"), "x"
-    )
-    totals = bayes.row_sums(docs.select(F.lit(0).alias("split"), "doc"), x)
-    sums = bayes.lookup_term_weights(x, model.weights, [SETTINGS.alpha])
-    return bayes.joint_log_likelihood(totals, sums, bayes.class_params(model.classes, SETTINGS.alpha, True))
+    return pm.class_values(model, docs.select(F.lit(0).alias("split"), "doc"), terms, what)
 
 
 @query("nb_joint_log_likelihood", _items_sql("select doc, depth, class, round(jll, 4) as jll from jll", "jll"))
 def nb_joint_log_likelihood(spark, folder):
-    return _jll(spark, folder).select("doc", "depth", _key().alias("class"), F.round("jll", 4).alias("jll"))
+    return _values(spark, folder, "jll").select(
+        "doc", "depth", _key().alias("class"), F.round("value", 4).alias("jll")
+    )
 
 
 @query("nb_flat_proba", _items_sql("""
     , z as (select *, exp(jll - max(jll) over (partition by doc, depth)) as e from jll)
     select doc, depth, class, round(e / sum(e) over (partition by doc, depth), 6) as proba from z""", "jll"))
 def nb_flat_proba(spark, folder):
-    return bayes.flat_proba(_jll(spark, folder)).select("doc", "depth", _key().alias("class"), _round("proba"))
+    return _values(spark, folder, "proba").select(
+        "doc", "depth", _key().alias("class"), F.round("value", 6).alias("proba")
+    )
 
 
 @query("nb_flat_predict", _items_sql("""
     select doc, depth, class from jll qualify row_number() over (partition by doc, depth order by jll desc, class) = 1""",
     "jll"))
 def nb_flat_predict(spark, folder):
-    return bayes.flat_predict(_jll(spark, folder)).select("doc", "depth", _key().alias("class"))
-
-
-def _scores(spark, folder, mode):
-    return bayes.path_scores(_jll(spark, folder), 4, mode)
+    return _values(spark, folder, "best").select("doc", "depth", _key().alias("class"))
 
 
 def _mode(mode):
     @query(f"mode_{mode}", _items_sql("select doc, path, round(score, 4) as score from score", "score", mode))
     def run(spark, folder):
-        return _scores(spark, folder, mode).select("doc", _key("path").alias("path"), F.round("score", 4).alias("score"))
+        return _values(spark, folder, mode).select("doc", _key().alias("path"), F.round("value", 4).alias("score"))
 
     return run
 

@@ -2,9 +2,11 @@
 
 A *class* at depth d is the first d labels of a path, so one label under two parents is two classes. Tables:
 
-``classes``   split, depth, class, parent, code, n, total, n_features   one row per class
-``weights``   split, term, depth, code, fc                              feature sums, zeros left out
-``sums``      split, doc, depth, code, s_0 .. s_k                       per class: sum of x * ln(1 + fc / alpha_i)
+``vocabulary``  split, term, df, total, idf, tid, reach   terms numbered from the most frequent down; ``reach`` is the
+                                                          number of weights of this and all terms before
+``classes``     split, code, depth, class, parent, n, total, n_features   numbered by depth, then in label order
+``weights``     split, tid, code, fc                      feature sums, zeros left out
+``sums``        split, doc, code, s_0 .. s_k              per class: sum of x * ln(1 + fc / alpha_i)
 
 The log-likelihood of a class is ``s + row_sum * (ln alpha - log_norm) + prior``; only ``s`` depends on the terms,
 and it is zero unless document and class share one.
@@ -15,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, at_most, written
+from ..session import BROADCAST_ROWS, at_most
+from .running import running_totals
 
-# Terms with the most documents that are looked at when the weights are too many to broadcast.
-HOT_TERMS = 5_000
+# Copies of a class table that is too large to broadcast.
 SALTS = 256
 
 
@@ -92,11 +94,22 @@ def class_params(classes: DataFrame, alpha: float, fit_prior: bool) -> DataFrame
 
 
 def coded(classes: DataFrame) -> DataFrame:
-    """Adds ``code``: the position of the class among those of its split and depth, in label order."""
-    order = Window.partitionBy("split", "depth").orderBy("class")  # as many rows as the tree has classes
+    """Adds ``code``: the position of the class in its split, by depth and then in label order."""
+    order = Window.partitionBy("split").orderBy("depth", "class")  # as many rows as the tree has classes
     return classes.withColumn("code", F.row_number().over(order) - 1)
 
 
+def numbered(vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``tid`` and ``reach`` to the vocabulary: the terms with the most documents come first."""
+    widths = counts.groupBy("split", "term").agg(F.count("*").alias("_w"))
+    wide = vocabulary.join(widths, ["split", "term"], "left").withColumn("_w", F.coalesce("_w", F.lit(0)))
+    order = [F.desc("df"), F.col("term")]
+    return (
+        running_totals(wide, ["split"], order, {"tid": F.lit(1), "reach": F.col("_w")})
+        .withColumn("tid", (F.col("tid") - 1).cast("int")).drop("_w")
+    )
+
+
 # ---- scoring --------------------------------------------------------------------------------------------------
 
 def row_sums(docs: DataFrame, x: DataFrame) -> DataFrame:
@@ -107,69 +120,45 @@ def row_sums(docs: DataFrame, x: DataFrame) -> DataFrame:
     )
 
 
-def _weighted(x: DataFrame, weights: DataFrame) -> DataFrame:
-    return x.join(weights, ["split", "term"])
-
-
 def lookup_term_weights(
-    x: DataFrame, weights: DataFrame, alphas=(1.0,), document_counts: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    x: DataFrame, weights: DataFrame, alphas=(1.0,), broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """``split, doc, depth, code, s_0 ..``: the sparse product of documents and class weights, one sum per alpha.
+    """``split, doc, code, s_0 ..``: the sparse product of documents and class weights, one sum per alpha.
 
-    Up to ``broadcast_rows`` weights the table goes to every task and nothing is shuffled, because ``x`` is already
-    partitioned by document. Beyond that the terms with the most documents, as many as fit the same bound, are still
-    broadcast: they are the skewed keys and have the most classes. The many rare terms have few classes each and are
-    joined by a shuffle, so the rows that travel stay few. Both parts together are all terms.
+    Up to ``broadcast_rows`` weights the table goes to every task. Beyond that documents and weights meet by term
+    number, and adaptive execution splits the terms that many documents have.
     """
-    if at_most(weights, broadcast_rows):
-        joined = _weighted(x, F.broadcast(weights))
-    else:
-        frequent = document_counts if document_counts is not None else (
-            weights.groupBy("split", "term").agg(F.count("*").alias("df"))
-        )
-        width = weights.groupBy("split", "term").agg(F.count("*").alias("_w"))
-        top = frequent.join(width, ["split", "term"]).orderBy(F.desc("df"), "split", "term").limit(HOT_TERMS)
-        running = F.sum("_w").over(Window.orderBy(F.desc("df"), "split", "term"))  # at most HOT_TERMS rows
-        hot = written(
-            top.withColumn("_r", running).where(F.col("_r") <= broadcast_rows).select("split", "term"), "hot"
-        )
-        is_hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-        marked = x.join(is_hot, ["split", "term"], "left")
-        hot_weights = weights.join(F.broadcast(hot), ["split", "term"], "left_semi")
-        cold_weights = weights.join(F.broadcast(hot), ["split", "term"], "left_anti")
-        near = _weighted(marked.where("_hot").drop("_hot"), F.broadcast(hot_weights))
-        far = _weighted(marked.where("_hot is null").drop("_hot"), cold_weights)
-        joined = near.unionByName(far).repartition("split", "doc")
+    small = at_most(weights, broadcast_rows)
+    joined = x.join(F.broadcast(weights) if small else weights, ["split", "tid"])
     sums = [F.sum(F.col("x") * F.log1p(F.col("fc") / F.lit(float(a)))).alias(f"s_{i}") for i, a in enumerate(alphas)]
-    return joined.groupBy("split", "doc", "depth", "code").agg(*sums)
+    return joined.groupBy("split", "doc", "code").agg(*sums)
 
 
 def joint_log_likelihood(docs: DataFrame, sums: DataFrame, params: DataFrame) -> DataFrame:
-    """``split, doc, depth, code, class, parent, jll`` for every document and class.
+    """``split, doc, code, depth, class, parent, jll`` for every document and class.
 
     The result has documents x classes rows by definition. ``docs``: ``split, doc, rs``; every class of the split
     gets the part of the likelihood that needs no term, and the sparse sums are added by one aggregation.
     """
-    names = params.select("split", "depth", "code", "class", "parent")
+    names = params.select("split", "code", "depth", "class", "parent")
     if at_most(params, BROADCAST_ROWS):
         names, placed, on = F.broadcast(names), docs, ["split"]
-        per_class = F.broadcast(params.select("split", "depth", "code", "const", "prior"))
+        per_class = F.broadcast(params.select("split", "code", "const", "prior"))
     else:
         # a tree too large to broadcast: copies of it meet the documents of one salt each
         copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         placed = docs.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-        per_class = params.select("split", "depth", "code", "const", "prior", copies.alias("_salt"))
+        per_class = params.select("split", "code", "const", "prior", copies.alias("_salt"))
         on = ["split", "_salt"]
     spine = placed.join(per_class, on).select(
-        "split", "doc", "depth", "code", (F.col("rs") * F.col("const") + F.col("prior")).alias("v")
+        "split", "doc", "code", (F.col("rs") * F.col("const") + F.col("prior")).alias("v")
     )
-    sparse = sums.select("split", "doc", "depth", "code", F.col("s_0").alias("v"))
+    sparse = sums.select("split", "doc", "code", F.col("s_0").alias("v"))
     added = (
         spine.unionByName(sparse).repartition("split", "doc")
-        .groupBy("split", "doc", "depth", "code").agg(F.sum("v").alias("jll"))
+        .groupBy("split", "doc", "code").agg(F.sum("v").alias("jll"))
     )
-    return added.join(names, ["split", "depth", "code"])
+    return added.join(names, ["split", "code"])
 
 
 def log_softmax(scores: DataFrame, group, value: str = "jll", name: str = "lp") -> DataFrame:

@@ -122,8 +122,8 @@ def _raw_weight(settings) -> Column:
 
 
 def features(tf: DataFrame, vocabulary: DataFrame, settings) -> DataFrame:
-    """``tf`` rows of vocabulary terms with their feature value ``x``."""
-    known = tf.where("tf > 0").join(vocabulary.select("split", "term", "idf"), ["split", "term"])
+    """``tf`` rows of vocabulary terms with their feature value ``x``, and their number if terms have one."""
+    known = tf.where("tf > 0").join(vocabulary.drop("df", "total", "reach"), ["split", "term"])
     known = known.withColumn("x", _raw_weight(settings)).drop("idf", "tf")
     if settings.vectorizer_kind == "count" or settings.norm is None:
         return known

@@ -1,74 +1,109 @@
-"""Predictions from one row per document: Spark joins and sums, a small array step normalises.
+"""Predictions from one row per document: Spark gathers the features, a small array step scores the classes.
 
-The scores of a document over all classes are needed together, for the softmax. Instead of a row per document and
-class, the sparse class sums of a document are gathered in one row (never more entries than the tree has classes),
-and batches of such rows become dense arrays inside the task. The class tables go along with the task; their size is
-the size of the tree, and it is checked. A larger tree takes :func:`.bayes.predictions_by_rows`.
+A document is scored against all classes at once, because the softmax needs them together. One row per document and
+class would be documents x classes rows through the engine; here a document is one row of term numbers and values,
+and a batch of them is multiplied with the class weights as arrays inside the task.
+
+Two things go along with the tasks, and both are bounded. The class table has the size of the tree; a tree beyond
+``MAX_CLASSES`` takes :func:`.bayes.predictions_by_rows` instead. Of the weights, the most frequent terms up to
+``MAX_WEIGHTS`` go along: they are the skewed join keys and the ones with the most classes. The rare terms beyond are
+joined by a shuffle, have few classes each, and arrive as finished sums in the document's row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bayes
 from ..session import at_most
 
-# Classes over all splits and levels that travel with a task: some tens of megabytes.
-MAX_CLASSES = 500_000
+MAX_CLASSES = 200_000
+MAX_WEIGHTS = 8_000_000
 # Cells of the dense score arrays per step, to bound the memory of a task.
-MAX_CELLS = 8_000_000
+MAX_CELLS = 4_000_000
 
 
-class TreeArrays:
-    """Classes of one split as arrays: per depth the class parameters, the sibling groups and the path's class."""
+@dataclass
+class Level:
+    """Classes of one depth, in label order, so that siblings, and the paths below a class, are neighbours."""
 
-    def __init__(self, rows: list, depth: int):
-        self.depth = depth
-        self.levels = []
-        by_depth = [sorted((r for r in rows if r.depth == d), key=lambda r: r.code) for d in range(1, depth + 1)]
-        position = [{tuple(r["class"]): r.code for r in level} for level in by_depth]
+    at: slice               # columns of the score array
+    n: np.ndarray
+    total: np.ndarray
+    n_features: float
+    siblings: np.ndarray    # first class of each group of siblings
+    of_path: np.ndarray     # class of every path
+    first_path: np.ndarray  # first path below each class
+
+
+class Tree:
+    """Classes and the frequent weights of one split as arrays."""
+
+    def __init__(self, classes: list, depth: int, tid: np.ndarray, code: np.ndarray, fc: np.ndarray):
+        classes = sorted(classes, key=lambda r: r.code)
+        self.size = len(classes)
+        by_depth = [[r for r in classes if r.depth == d] for d in range(1, depth + 1)]
         paths = [tuple(r["class"]) for r in by_depth[-1]]
-        offset = 0
+        self.levels = []
         for d, level in enumerate(by_depth, 1):
+            place = {tuple(r["class"]): i for i, r in enumerate(level)}
             parents = [tuple(r.parent) for r in level]
-            of_path = np.array([position[d - 1][p[:d]] for p in paths])
+            of_path = np.array([place[p[:d]] for p in paths])
             self.levels.append(
-                {
-                    "slice": slice(offset, offset + len(level)),
-                    "n": np.array([r.n for r in level], float),
-                    "total": np.array([r.total for r in level], float),
-                    "n_features": float(level[0].n_features),
-                    # classes are in label order, so siblings, and the paths below a class, are neighbours
-                    "siblings": np.array([i for i, p in enumerate(parents) if i == 0 or p != parents[i - 1]]),
-                    "of_path": of_path,
-                    "first_path": np.flatnonzero(np.r_[True, of_path[1:] != of_path[:-1]]),
-                }
+                Level(
+                    slice(level[0].code, level[0].code + len(level)),
+                    np.array([r.n for r in level], float),
+                    np.array([r.total for r in level], float),
+                    float(level[0].n_features),
+                    np.array([i for i, p in enumerate(parents) if i == 0 or p != parents[i - 1]]),
+                    of_path,
+                    np.flatnonzero(np.r_[True, of_path[1:] != of_path[:-1]]),
+                )
             )
-            offset += len(level)
-        self.size = offset
+        order = np.argsort(tid, kind="stable")
+        self.code, self.fc = code[order], fc[order]
+        self.starts = np.searchsorted(tid[order], np.arange(tid.max(initial=-1) + 2))
+        self._log_weights: dict[float, np.ndarray] = {}
+
+    def sums(self, row: np.ndarray, tid: np.ndarray, x: np.ndarray, rows: int, alpha: float) -> np.ndarray:
+        """Documents x classes: the sum of x * ln(1 + fc / alpha) over the terms of each document."""
+        if alpha not in self._log_weights:
+            self._log_weights[alpha] = np.log1p(self.fc / alpha)
+        weighted = tid < len(self.starts) - 1
+        row, tid, x = row[weighted], tid[weighted], x[weighted]
+        first = self.starts[tid]
+        width = self.starts[tid + 1] - first
+        # for every (document, term) the run of its weights, laid end to end
+        entry = np.repeat(first - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+        cell = np.repeat(row * self.size, width) + self.code[entry]
+        value = np.repeat(x, width) * self._log_weights[alpha][entry]
+        return np.bincount(cell, value, rows * self.size).astype(float, copy=False).reshape(rows, self.size)
 
-    def offsets(self) -> np.ndarray:
-        return np.array([level["slice"].start for level in self.levels])
+    def likelihoods(self, sums: np.ndarray, rs: np.ndarray, alpha: float, fit_prior: bool) -> list[np.ndarray]:
+        """Joint log likelihood of every class, one documents x classes array per level."""
+        out = []
+        for level in self.levels:
+            classes = len(level.n)
+            prior = np.log(level.n) - np.log(level.n.sum()) if fit_prior else np.full(classes, -np.log(classes))
+            const = np.log(alpha) - np.log(level.total + alpha * level.n_features)
+            out.append(sums[:, level.at] + rs[:, None] * const + prior)
+        return out
 
-    def scores(self, sums: np.ndarray, rs: np.ndarray, alpha: float, fit_prior: bool, mode: str) -> np.ndarray:
+    def scores(self, likelihoods: list[np.ndarray], mode: str) -> np.ndarray:
         """Log score of every path, documents x paths."""
-        used = self.levels if mode != "flattened" else self.levels[-1:]
         out = 0.0
-        for level in used:
-            n = level["n"]
-            prior = np.log(n) - np.log(n.sum()) if fit_prior else np.full(len(n), -np.log(len(n)))
-            const = np.log(alpha) - np.log(level["total"] + alpha * level["n_features"])
-            jll = sums[:, level["slice"]] + rs[:, None] * const + prior
-            starts = level["siblings"] if mode == "conditional" else np.array([0])
-            lengths = np.diff(np.r_[starts, jll.shape[1]])
-            z = jll - np.repeat(np.maximum.reduceat(jll, starts, axis=1), lengths, axis=1)
-            z -= np.repeat(np.log(np.add.reduceat(np.exp(z), starts, axis=1)), lengths, axis=1)
-            out = out + z[:, level["of_path"]]
+        deepest_only = mode == "flattened"
+        for level, jll in zip(self.levels, likelihoods):
+            if deepest_only and level is not self.levels[-1]:
+                continue
+            lp = log_softmax(jll, level.siblings if mode == "conditional" else np.array([0]))
+            out = out + lp[:, level.of_path]
         return out
 
     def best(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +113,8 @@ class TreeArrays:
         rows = np.arange(len(best))
         confidence, margin = [], []
         for level in self.levels:
-            mass = np.add.reduceat(mass_of_path, level["first_path"], axis=1)
-            chosen = level["of_path"][best]
+            mass = np.add.reduceat(mass_of_path, level.first_path, axis=1)
+            chosen = level.of_path[best]
             mine = mass[rows, chosen].copy()
             mass[rows, chosen] = -np.inf
             confidence.append(mine)
@@ -87,100 +122,216 @@ class TreeArrays:
         return best, np.stack(confidence, 1), np.stack(margin, 1)
 
 
-def _score_batches(trees, candidates: list):
-    """The function for ``mapInPandas``: rows of gathered sums in, one row per document and candidate out."""
+def log_softmax(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Log softmax within neighbouring columns; ``starts`` are the first columns of the groups."""
+    width = np.diff(np.r_[starts, scores.shape[1]])
+    z = scores - np.repeat(np.maximum.reduceat(scores, starts, axis=1), width, axis=1)
+    return z - np.repeat(np.log(np.add.reduceat(np.exp(z), starts, axis=1)), width, axis=1)
 
-    def step(tree: TreeArrays, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        lengths = part["codes"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(part)), lengths)
-        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in part["codes"]]) if lengths.sum() else None
-        for candidate, alpha, fit_prior, mode, which in candidates:
-            sums = np.zeros((len(part), tree.size))
-            if flat is not None:
-                sums[row, flat] = np.concatenate([np.asarray(s, dtype=float) for s in part[f"s_{which}"]])
-            best, confidence, margin = tree.best(
-                tree.scores(sums, part["rs"].to_numpy(), alpha, fit_prior, mode)
-            )
+
+def _end_to_end(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of a column as one array, with the row each entry is from."""
+    lengths = lists.map(len).to_numpy()
+    flat = np.concatenate([np.asarray(v, dtype=kind) for v in lists]) if lengths.sum() else np.empty(0, kind)
+    return np.repeat(np.arange(len(lists)), lengths), flat
+
+
+def _sums(tree: Tree, part: pd.DataFrame, alphas: list[float]) -> list[np.ndarray]:
+    """Class sums of the documents per alpha: frequent terms by the weights here, the others as they came."""
+    row, tid = _end_to_end(part["tids"], np.int64)
+    _, x = _end_to_end(part["xs"], float)
+    far_row, far_code = _end_to_end(part["codes"], np.int64)
+    out = []
+    for i, alpha in enumerate(alphas):
+        dense = tree.sums(row, tid, x, len(part), alpha)
+        dense[far_row, far_code] += _end_to_end(part[f"s_{i}"], float)[1]
+        out.append(dense)
+    return out
+
+
+def _predictions(candidates: list, alphas: list[float]):
+    def score(tree: Tree, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rs = part["rs"].to_numpy()
+        sums = _sums(tree, part, alphas)
+        for candidate, alpha, fit_prior, mode in candidates:
+            likelihoods = tree.likelihoods(sums[alphas.index(alpha)], rs, alpha, fit_prior)
+            best, confidence, margin = tree.best(tree.scores(likelihoods, mode))
             yield pd.DataFrame(
                 {
-                    "candidate": np.int32(candidate),
-                    "split": part["split"].to_numpy(),
-                    "doc": part["doc"].to_numpy(),
-                    "code": best.astype(np.int32),
-                    "confidence": list(confidence),
-                    "margin": list(margin),
+                    "candidate": np.int32(candidate), "split": part["split"].to_numpy(),
+                    "doc": part["doc"].to_numpy(), "code": (best + tree.levels[-1].at.start).astype(np.int32),
+                    "confidence": list(confidence), "margin": list(margin),
                 }
             )
 
+    return score
+
+
+def _values(what: str, alpha: float, fit_prior: bool):
+    """One array per document: ``jll`` or ``proba`` of every class, ``best`` class per level, or a mode's path scores."""
+
+    def score(tree: Tree, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        likelihoods = tree.likelihoods(_sums(tree, part, [alpha])[0], part["rs"].to_numpy(), alpha, fit_prior)
+        if what == "jll":
+            values = np.hstack(likelihoods)
+        elif what == "proba":
+            values = np.exp(np.hstack([log_softmax(jll, np.array([0])) for jll in likelihoods]))
+        elif what == "best":
+            values = np.stack([jll.argmax(1) + lv.at.start for jll, lv in zip(likelihoods, tree.levels)], 1).astype(float)
+        else:
+            values = tree.scores(likelihoods, what)
+        yield pd.DataFrame(
+            {"split": part["split"].to_numpy(), "doc": part["doc"].to_numpy(), "values": list(values)}
+        )
+
+    return score
+
+
+def _in_steps(trees, score):
+    """The function for ``mapInPandas``: batches of documents, cut so that the dense arrays stay small."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = trees.value
         for batch in batches:
             for split, part in batch.groupby("split", sort=False):
                 tree = held[int(split)]
-                rows = max(1, MAX_CELLS // max(tree.size, 1))
+                rows = max(1, MAX_CELLS // tree.size)
                 for at in range(0, len(part), rows):
-                    yield from step(tree, part.iloc[at : at + rows])
+                    yield from score(tree, part.iloc[at : at + rows])
 
     return run
 
 
+def _trees(model, near: DataFrame, depth: int) -> dict[int, Tree]:
+    """Class and weight arrays per split. Both tables were checked against their bounds."""
+    classes: dict[int, list] = {}
+    for r in model.classes.collect():
+        classes.setdefault(r.split, []).append(r)
+    columns = near.select("split", "tid", "code", "fc").toArrow()
+    split, tid, code, fc = (columns[c].to_numpy() for c in ("split", "tid", "code", "fc"))
+    return {
+        s: Tree(rows, depth, tid[split == s], code[split == s].astype(np.int64), fc[split == s])
+        for s, rows in classes.items()
+    }
+
+
+def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth: int, max_weights: int):
+    """One row per document with its terms and, for terms whose weights stay behind, its class sums; and the arrays."""
+    all_near = at_most(model.weights, max_weights)
+    if all_near:
+        near, terms = model.weights, F.lit(True)
+    else:
+        # terms in order of frequency, until their weights reach the share of the bound that is left to each split
+        n_splits = model.classes.select("split").distinct().count()
+        frequent = F.col("reach") <= max_weights // n_splits
+        last = F.coalesce(F.max(F.when(frequent, F.col("tid"))), F.lit(-1)).alias("last")
+        terms = F.lit(False)
+        for r in model.vocabulary.groupBy("split").agg(last).collect():  # one row per split
+            terms |= (F.col("split") == r.split) & (F.col("tid") <= r.last)
+        near = model.weights.where(terms)
+    gathered = (
+        x.groupBy("split", "doc")
+        .agg(F.sum("x").alias("rs"), F.collect_list(F.when(terms, F.struct("tid", "x"))).alias("_e"))
+        .select("split", "doc", "rs", F.col("_e.tid").alias("tids"), F.col("_e.x").alias("xs"))
+    )
+    per_doc = docs.select("split", "doc").join(gathered, ["split", "doc"], "left")
+    names = [f"s_{i}" for i in range(len(alphas))]
+    if not all_near:
+        sums = bayes.lookup_term_weights(x.where(~terms), model.weights.where(~terms), alphas)
+        rest = sums.groupBy("split", "doc").agg(F.collect_list(F.struct("code", *names)).alias("_f"))
+        per_doc = per_doc.join(rest, ["split", "doc"], "left").withColumns(
+            {"codes": F.col("_f.code"), **{n: F.col(f"_f.{n}") for n in names}}
+        ).drop("_f")
+
+    def listed_or_empty(name: str, kind: str):
+        empty = F.array().cast(f"array<{kind}>")
+        return (F.coalesce(name, empty) if name in per_doc.columns else empty).alias(name)
+
+    ready = per_doc.select(
+        F.col("split").cast("int").alias("split"), "doc", F.coalesce("rs", F.lit(0.0)).alias("rs"),
+        listed_or_empty("tids", "int"), listed_or_empty("xs", "double"), listed_or_empty("codes", "int"),
+        *[listed_or_empty(n, "double") for n in names],
+    )
+    trees = docs.sparkSession.sparkContext.broadcast(_trees(model, near, depth))
+    return ready, trees
+
+
 def predict(
-    docs: DataFrame, x: DataFrame, model, candidates: list, depth: int, max_classes: int = MAX_CLASSES, **options
+    docs: DataFrame, x: DataFrame, model, candidates: list, depth: int, max_classes: int = MAX_CLASSES,
+    max_weights: int = MAX_WEIGHTS,
 ) -> DataFrame:
     """``candidate, split, doc, path, confidence, margin`` for every document and candidate.
 
-    ``docs``: ``split, doc``; ``x``: their features; ``candidates``: ``(id, alpha, fit_prior, mode)``. Candidates
-    share the features and the counts; each distinct alpha is one more sum in the same pass.
+    ``docs``: ``split, doc``; ``x``: ``split, doc, tid, x``; ``candidates``: ``(id, alpha, fit_prior, mode)``, which
+    share the features and the counts.
     """
-    alphas = list(dict.fromkeys(float(c[1]) for c in candidates))
-    numbered = [(c[0], float(c[1]), bool(c[2]), c[3], alphas.index(float(c[1]))) for c in candidates]
-    sums = bayes.lookup_term_weights(x, model.weights, alphas, model.vocabulary, **options)
-    spark = docs.sparkSession
-
+    listed = [(c[0], float(c[1]), bool(c[2]), c[3]) for c in candidates]
+    alphas = list(dict.fromkeys(c[1] for c in listed))
     if not at_most(model.classes, max_classes):
-        totals = bayes.row_sums(docs, x)
-        out = None
-        for cid, alpha, fit_prior, mode, which in numbered:
-            one = bayes.predictions_by_rows(
-                totals, sums.withColumn("s_0", F.col(f"s_{which}")), model.classes, depth, alpha, fit_prior, mode
-            ).select(F.lit(cid).cast("int").alias("candidate"), "*")
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    rows = model.classes.collect()  # checked above: at most max_classes
-    by_split: dict[int, list] = {}
-    for r in rows:
-        by_split.setdefault(r.split, []).append(r)
-    trees = {s: TreeArrays(r, depth) for s, r in by_split.items()}
-    # position of a class in the dense row: the classes of the levels above come first
-    starts = spark.createDataFrame(
-        [(s, d, int(o)) for s, t in trees.items() for d, o in enumerate(t.offsets(), 1)],
-        "split int, depth int, start int",
-    )
-    value_lists = [F.col("_e." + f"s_{i}").alias(f"s_{i}") for i in range(len(alphas))]
-    gathered = (
-        sums.join(F.broadcast(starts), ["split", "depth"])
-        .groupBy("split", "doc")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    (F.col("start") + F.col("code")).alias("codes"), *[F.col(f"s_{i}") for i in range(len(alphas))]
-                )
-            ).alias("_e")
-        )
-        .select("split", "doc", F.col("_e.codes").alias("codes"), *value_lists)
-    )
-    totals = bayes.row_sums(docs, x)
-    per_doc = totals.join(gathered, ["split", "doc"], "left").select(
-        F.col("split").cast("int").alias("split"), "doc", "rs",
-        F.coalesce("codes", F.array().cast("array<int>")).alias("codes"),
-        *[F.coalesce(f"s_{i}", F.array().cast("array<double>")).alias(f"s_{i}") for i in range(len(alphas))],
+        return _predict_by_rows(docs, x, model, listed, alphas, depth)
+    ready, trees = _gathered(docs, x, model, alphas, depth, max_weights)
+    doc = ready.schema["doc"].dataType.simpleString()
+    scored = ready.mapInPandas(
+        _in_steps(trees, _predictions(listed, alphas)),
+        f"candidate int, split int, doc {doc}, code int, confidence array<double>, margin array<double>",
     )
-    doc_type = per_doc.schema["doc"].dataType.simpleString()
-    shape = f"candidate int, split int, doc {doc_type}, code int, confidence array<double>, margin array<double>"
-    shared = spark.sparkContext.broadcast(trees)
-    scored = per_doc.mapInPandas(_score_batches(shared, numbered), shape)
     paths = model.classes.where(F.col("depth") == depth).select("split", "code", F.col("class").alias("path"))
-    return scored.join(F.broadcast(paths), ["split", "code"]).select(
+    return scored.join(F.broadcast(paths), ["split", "code"]).select(  # part of the class table checked above
         "candidate", "split", "doc", "path", "confidence", "margin"
     )
+
+
+def class_values(
+    docs: DataFrame, x: DataFrame, model, what: str, alpha: float, fit_prior: bool, depth: int,
+    max_classes: int = MAX_CLASSES, max_weights: int = MAX_WEIGHTS,
+) -> DataFrame:
+    """The scores themselves, for a look inside: documents x classes rows by definition.
+
+    ``what``: ``jll`` or ``proba`` of every class, the ``best`` class of every level, or the path scores of a mode,
+    as ``split, doc, depth, class, value`` (no value for ``best``).
+    """
+    if not at_most(model.classes, max_classes):
+        return _class_values_by_rows(docs, x, model, what, alpha, fit_prior, depth)
+    ready, trees = _gathered(docs, x, model, [float(alpha)], depth, max_weights)
+    doc = ready.schema["doc"].dataType.simpleString()
+    arrays = ready.mapInPandas(
+        _in_steps(trees, _values(what, float(alpha), fit_prior)), f"split int, doc {doc}, values array<double>"
+    )
+    names = model.classes.select("split", "code", "depth", "class")
+    if what == "best":
+        rows = arrays.select("split", "doc", F.explode(F.col("values").cast("array<int>")).alias("code"))
+        return rows.join(F.broadcast(names), ["split", "code"]).select("split", "doc", "depth", "class")
+    if what not in ("jll", "proba"):
+        first = Window.partitionBy("split")  # as many rows as the tree has classes
+        names = names.where(F.col("depth") == depth).withColumn("code", F.col("code") - F.min("code").over(first))
+    return (
+        arrays.select("split", "doc", F.posexplode("values").alias("code", "value"))
+        .join(F.broadcast(names), ["split", "code"])
+        .select("split", "doc", "depth", "class", "value")
+    )
+
+
+def _class_values_by_rows(docs, x, model, what: str, alpha: float, fit_prior: bool, depth: int) -> DataFrame:
+    sums = bayes.lookup_term_weights(x, model.weights, [alpha])
+    params = bayes.class_params(model.classes, alpha, fit_prior)
+    jll = bayes.joint_log_likelihood(bayes.row_sums(docs, x), sums, params)
+    if what == "best":
+        return bayes.flat_predict(jll)
+    if what in ("jll", "proba"):
+        rows = jll.withColumn("value", F.col("jll")) if what == "jll" else bayes.flat_proba(jll).withColumn("value", F.col("proba"))
+        return rows.select("split", "doc", "depth", "class", "value")
+    scores = bayes.path_scores(jll, depth, what)
+    return scores.select("split", "doc", F.lit(depth).alias("depth"), F.col("path").alias("class"), F.col("score").alias("value"))
+
+
+def _predict_by_rows(docs: DataFrame, x: DataFrame, model, listed: list, alphas: list, depth: int) -> DataFrame:
+    sums = bayes.lookup_term_weights(x, model.weights, alphas)
+    totals = bayes.row_sums(docs, x)
+    out = None
+    for candidate, alpha, fit_prior, mode in listed:
+        of_alpha = sums.withColumn("s_0", F.col(f"s_{alphas.index(alpha)}"))
+        one = bayes.predictions_by_rows(
+            totals, of_alpha, model.classes, depth, alpha, fit_prior, mode
+        ).select(F.lit(candidate).cast("int").alias("candidate"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -23,9 +23,9 @@ class Model:
 
     settings: ModelSettings
     levels: list[str]
-    vocabulary: DataFrame  # split, term, df, total, idf
-    weights: DataFrame     # split, term, depth, code, fc
-    classes: DataFrame     # split, depth, class, parent, code, n, total, n_features
+    vocabulary: DataFrame  # split, term, df, total, idf, tid, reach
+    weights: DataFrame     # split, tid, code, fc
+    classes: DataFrame     # split, code, depth, class, parent, n, total, n_features
 
     @property
     def depth(self) -> int:
@@ -114,9 +114,11 @@ def fit(
         .withColumn("parent", F.slice("class", F.lit(1), F.col("depth") - 1))
     )
     classes = written(bayes.coded(bayes.class_totals(sizes, counts, n_features)), "classes")
+    vocabulary = written(bayes.numbered(vocabulary, counts), "vocabulary")
     weights = written(
         counts.join(classes.select("split", "depth", "class", "code"), ["split", "depth", "class"])
-        .select("split", "term", "depth", "code", "fc"),
+        .join(vocabulary.select("split", "term", "tid"), ["split", "term"])
+        .select("split", "tid", "code", "fc"),
         "weights",
     )
     return Model(settings, list(levels), vocabulary, weights, classes)
@@ -132,10 +134,23 @@ def predict(
     """
     s = model.settings
     candidates = candidates or [(0, s.alpha, s.fit_prior, s.prediction_mode)]
-    x = ft.features(terms, model.vocabulary, s).select("split", "doc", "term", "x")
+    x = ft.features(terms, model.vocabulary, s).select("split", "doc", "tid", "x")
     return scoring.predict(docs, x, model, candidates, model.depth, **options)
 
 
+def class_values(
+    model: Model, docs: DataFrame, terms: DataFrame, what: str, alpha: float | None = None,
+    fit_prior: bool | None = None, **options,
+) -> DataFrame:
+    """``split, doc, depth, class, value``: see :func:`.scoring.class_values`."""
+    s = model.settings
+    x = ft.features(terms, model.vocabulary, s).select("split", "doc", "tid", "x")
+    return scoring.class_values(
+        docs, x, model, what, s.alpha if alpha is None else alpha, s.fit_prior if fit_prior is None else fit_prior,
+        model.depth, **options,
+    )
+
+
 def prediction_table(
     predicted: DataFrame, quality: DataFrame, items: DataFrame, key: str, levels, id_cols=(), actual_cols=(),
     text_cols=(), split_col: str | None = None,
