@@ -336,17 +336,16 @@ def step_changes(spark, folder):
 
 @query("clean_items")
 def clean_items(spark, folder):
-    out, _ = cl.clean_items(
+    return cl.clean_items(
         fx.items(spark, folder).select("id", "descr"), "descr", "cleaned", english_words(spark, folder),
         good_tokens(spark, folder),
-    )
-    return out
+    ).items
 
 
 @query("prepare_items")
 def prepare_items(spark, folder):
     listed = fx.items(spark, folder).where("cast(substr(id, 3) as int) % 50 = 0").select(F.col("id").alias("item"))
-    _, _, counts = prepare.prepare_items(
+    _, counts = prepare.prepare_items(
         fx.loose_items(spark, folder), "descr", "cleaned", english_words(spark, folder), good_tokens(spark, folder),
         replace(CleaningSettings(), min_word_descriptions=5), blacklist=listed, blacklist_col="id", levels=fx.LEVELS,
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bayes
 from ..operators import evaluation as ev
+from ..operators import filters
 from ..operators import features as ft
 from ..plans import crossval as cv
 from ..plans import model as pm
@@ -152,10 +154,11 @@ def _key(column="class"):
 
 
 def _fitted(spark, folder, settings=SETTINGS, source=_items, levels=fx.LEVELS):
-    """Documents, their terms, and the model fitted on them."""
+    """The documents to predict, their terms, and the model fitted on them."""
     docs = source(spark, folder)
-    terms = written(pm.terms_of(docs, settings), "terms")
-    return docs, terms.withColumn("split", F.lit(0)), pm.fit(docs, settings, levels, terms)
+    terms = written(pm.terms_of(docs.rows, settings), "terms")
+    asked = docs.rows.select(F.lit(0).alias("split"), "doc")
+    return asked, terms.withColumn("split", F.lit(0)), pm.fit(docs, settings, levels, terms)
 
 
 def _round(name, digits=6):
@@ -169,7 +172,7 @@ def _round(name, digits=6):
     select doc, token, count(*) as n from t where token not in {_STOPS_SQL} group by doc, token"""))
 def tokenize(spark, folder):
     tokens = ft.tokenize(F.col("text"), "sklearn", STOPS)
-    return _docs(spark, folder).select("doc", F.explode(tokens).alias("token")).groupBy("doc", "token").agg(
+    return _docs(spark, folder).rows.select("doc", F.explode(tokens).alias("token")).groupBy("doc", "token").agg(
         F.count("*").alias("n")
     )
 
@@ -177,7 +180,7 @@ def tokenize(spark, folder):
 @query("ngrams", _docs_sql("""
     select term, cast(sum(tf) as bigint) as tf, count(*) as df from tf group by term""", [_terms_sql("docs", True)]))
 def ngrams(spark, folder):
-    terms = ft.term_frequencies(_docs(spark, folder).select("doc", "text"), SETTINGS)
+    terms = ft.term_frequencies(_docs(spark, folder).rows.select("doc", "text"), SETTINGS)
     return terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -185,7 +188,7 @@ def ngrams(spark, folder):
     , {_terms_sql('items', True, True)} select doc, term, tf from tf"""))
 def fold_bigrams(spark, folder):
     folded = replace(SETTINGS, ordered_bigrams=False)
-    return ft.term_frequencies(_items(spark, folder).select("doc", "text"), folded)
+    return ft.term_frequencies(_items(spark, folder).rows.select("doc", "text"), folded)
 
 
 @query("term_vocabulary", _docs_sql("""
@@ -216,8 +219,7 @@ def tfidf_features(spark, folder):
            case when coalesce(n_tokens, 0) > 0 then round(1 - n_known / n_tokens, 6) else 1.0::double end as oov_rate
     from docs left join k on k.doc = id""", _DOC_FEATURES))
 def input_quality(spark, folder):
-    docs, terms, model = _fitted(spark, folder, COUNTS, _docs, fx.DOC_LEVELS)
-    asked = docs.select(F.lit(0).alias("split"), "doc")
+    asked, terms, model = _fitted(spark, folder, COUNTS, _docs, fx.DOC_LEVELS)
     return ft.input_quality(asked, terms, model.vocabulary).select("doc", "n_tokens", "n_known", _round("oov_rate"))
 
 
@@ -225,9 +227,9 @@ def input_quality(spark, folder):
 
 @query("class_counts", _items_sql("select depth, class, n from cls", "fit"))
 def class_counts(spark, folder):
-    docs = _items(spark, folder).withColumn("split", F.lit(0))
-    frequent = docs.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2").select("path")
-    return bayes.class_counts(docs.join(frequent, "path", "left_semi"), 4).select("depth", _key().alias("class"), "n")
+    frequent = filters.filter_rare_paths(fx.items(spark, folder), fx.LEVELS, 2)
+    docs = frequent.select(F.lit(0).alias("split"), bayes.path_of(fx.LEVELS).alias("path"))
+    return bayes.class_counts(docs, 4).select("depth", _key().alias("class"), "n")
 
 
 @query("class_term_counts", _items_sql("select depth, class, term, round(fc, 6) as fc from fc", "fit"))
@@ -256,7 +258,8 @@ def class_totals(spark, folder):
     union all select distinct 3, concat_ws('|', l1, l2, l3), concat_ws('|', l1, l2) from items
     union all select distinct 4, concat_ws('|', l1, l2, l3, l4), concat_ws('|', l1, l2, l3) from items"""))
 def path_index(spark, folder):
-    index = bayes.path_index(_items(spark, folder).withColumn("split", F.lit(0)), 4)
+    docs = fx.items(spark, folder).select(F.lit(0).alias("split"), bayes.path_of(fx.LEVELS).alias("path"))
+    index = bayes.path_index(docs, 4)
     return index.select("depth", _key().alias("class"), _key("parent").alias("parent"))
 
 
@@ -288,8 +291,8 @@ def lookup_term_weights(spark, folder):
 
 
 def _values(spark, folder, what):
-    docs, terms, model = _fitted(spark, folder)
-    return pm.class_values(model, docs.select(F.lit(0).alias("split"), "doc"), terms, what)
+    asked, terms, model = _fitted(spark, folder)
+    return pm.class_values(model, asked, terms, what)
 
 
 @query("nb_joint_log_likelihood", _items_sql("select doc, depth, class, round(jll, 4) as jll from jll", "jll"))
@@ -328,8 +331,8 @@ for _name in ("independent", "conditional", "flattened"):
 
 
 def _predicted(spark, folder, candidates=None, settings=SETTINGS):
-    docs, terms, model = _fitted(spark, folder, settings)
-    return pm.predict(model, docs.select(F.lit(0).alias("split"), "doc"), terms, candidates)
+    asked, terms, model = _fitted(spark, folder, settings)
+    return pm.predict(model, asked, terms, candidates)
 
 
 @query("predict_path", _items_sql("select doc, path from best"))
@@ -539,9 +542,9 @@ def best_candidate(spark, folder):
 @query("sort_results", fx.with_views("preds", body=f"""{_METRICS_SQL}
     select row_number() over (order by a1 desc, candidate) as place, candidate from r"""))
 def sort_results(spark, folder):
-    ordered = ev.sort_results(_results(spark, folder).where("splits_done > 0"), "L1 Accuracy").select("candidate")
-    # one row per candidate of the grid
-    return spark.createDataFrame([(i, r.candidate) for i, r in enumerate(ordered.collect(), 1)], "place bigint, candidate int")
+    ordered = ev.sort_results(_results(spark, folder).where("splits_done > 0"), "L1 Accuracy")
+    place = F.row_number().over(Window.orderBy(F.desc("L1 Accuracy"), "candidate"))  # one row per candidate
+    return ordered.select(place.cast("bigint").alias("place"), "candidate")
 
 
 @query("varying_settings", fx.with_views("preds", body=f"""

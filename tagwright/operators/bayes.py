@@ -29,7 +29,7 @@ def path_of(levels) -> Column:
     return F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in levels])
 
 
-def _prefixes(df: DataFrame, depth: int) -> DataFrame:
+def prefixes(df: DataFrame, depth: int) -> DataFrame:
     """One row per prefix of ``path``, as ``depth`` and ``class``."""
     every = F.array(*[
         F.struct(F.lit(d).alias("depth"), F.slice("path", 1, d).alias("class")) for d in range(1, depth + 1)
@@ -40,7 +40,7 @@ def _prefixes(df: DataFrame, depth: int) -> DataFrame:
 def class_counts(docs: DataFrame, depth: int) -> DataFrame:
     """``split, depth, class, n`` from ``split, path``. Counted per path first, then summed over the prefixes."""
     per_path = docs.groupBy("split", "path").agg(F.count("*").alias("n"))
-    return _prefixes(per_path, depth).groupBy("split", "depth", "class").agg(F.sum("n").alias("n"))
+    return prefixes(per_path, depth).groupBy("split", "depth", "class").agg(F.sum("n").alias("n"))
 
 
 def class_term_counts(rows: DataFrame, depth: int) -> DataFrame:
@@ -50,7 +50,7 @@ def class_term_counts(rows: DataFrame, depth: int) -> DataFrame:
     )
     per_path = checked.groupBy("split", "path", "term").agg(F.sum("x").alias("fc"))
     return (
-        _prefixes(per_path, depth)
+        prefixes(per_path, depth)
         .groupBy("split", "depth", "class", "term").agg(F.sum("fc").alias("fc"))
         .where("fc <> 0")
     )
@@ -59,7 +59,7 @@ def class_term_counts(rows: DataFrame, depth: int) -> DataFrame:
 def path_index(docs: DataFrame, depth: int) -> DataFrame:
     """``split, depth, class, parent``: the distinct prefixes, each with the prefix above it."""
     return (
-        _prefixes(docs.select("split", "path").distinct(), depth)
+        prefixes(docs.select("split", "path").distinct(), depth)
         .distinct()
         .withColumn("parent", F.slice("class", F.lit(1), F.col("depth") - 1))
     )
@@ -218,7 +218,7 @@ def predict_path(scores: DataFrame) -> DataFrame:
 def prefix_mass(scores: DataFrame, depth: int) -> DataFrame:
     """``split, doc, depth, class, mass``: summed score of all paths below a class."""
     return (
-        _prefixes(scores, depth)
+        prefixes(scores, depth)
         .groupBy("split", "doc", "depth", "class").agg(F.sum(F.exp("score")).alias("mass"))
     )
 

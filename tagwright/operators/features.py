@@ -121,10 +121,18 @@ def _raw_weight(settings) -> Column:
     return x * F.col("idf") if settings.use_idf else x
 
 
-def features(tf: DataFrame, vocabulary: DataFrame, settings) -> DataFrame:
-    """``tf`` rows of vocabulary terms with their feature value ``x``, and their number if terms have one."""
-    known = tf.where("tf > 0").join(vocabulary.drop("df", "total", "reach"), ["split", "term"])
-    known = known.withColumn("x", _raw_weight(settings)).drop("idf", "tf")
+def features(tf: DataFrame, vocabulary: DataFrame, settings, unknown: bool = False) -> DataFrame:
+    """``tf`` rows of vocabulary terms with their feature value ``x``, and their number if terms have one.
+
+    ``unknown`` keeps the other rows too, without a value: prediction counts them in the same pass.
+    """
+    numbered = vocabulary.drop("df", "total", "reach")
+    if unknown:
+        known = tf.join(numbered, ["split", "term"], "left")
+        known = known.withColumn("x", F.when((F.col("tf") > 0) & F.col("idf").isNotNull(), _raw_weight(settings)))
+    else:
+        known = tf.where("tf > 0").join(numbered, ["split", "term"]).withColumn("x", _raw_weight(settings))
+    known = known.drop("idf", "tf")
     if settings.vectorizer_kind == "count" or settings.norm is None:
         return known
     row = Window.partitionBy("split", "doc")  # the terms of one document

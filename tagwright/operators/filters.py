@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 from .running import running_totals
 
 
@@ -86,8 +87,9 @@ def filter_rare_paths(df: DataFrame, levels, threshold: int) -> DataFrame:
     the path would bring those rows into one task.
     """
     _require(df, levels)
-    kept = path_counts(df, levels).where(F.col("n") >= threshold).drop("n")
-    kept = kept.select([F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(levels)])
+    frequent = path_counts(df, levels).where(F.col("n") >= threshold)
+    # written, so that the join knows the size of the tree before it decides to shuffle the rows
+    kept = written(frequent.select([F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(levels)]), "kept")
     same = reduce(
         lambda a, b: a & b, [df[f"`{c}`"].eqNullSafe(kept[f"_p{i}"]) for i, c in enumerate(levels)]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 from .filters import filter_current, project_items
 
 
@@ -94,7 +95,8 @@ def attach_names(pred: DataFrame, lookup: DataFrame, levels, names) -> DataFrame
             lookup.where(F.col(f"`{level}`").isNotNull() & F.col(f"`{name}`").isNotNull())
             .groupBy(F.col(f"`{level}`").alias("_id")).agg(F.min(f"`{name}`").alias(f"Predicted {name}"))
         )
-        out = out.join(one, F.col(f"`Predicted {level}`") == F.col("_id"), "left").drop("_id")
+        # written, so that the join knows the size of the names before it decides to shuffle the predictions
+        out = out.join(written(one, "names"), F.col(f"`Predicted {level}`") == F.col("_id"), "left").drop("_id")
         added.append(f"Predicted {name}")
     at = pred.columns.index(f"Predicted {levels[-1]}") + 1
     order = pred.columns[:at] + added + pred.columns[at:]

@@ -27,6 +27,7 @@ MAX_CLASSES = 200_000
 MAX_WEIGHTS = 8_000_000
 # Cells of the dense score arrays per step, to bound the memory of a task.
 MAX_CELLS = 4_000_000
+QUALITY = ("n_tokens", "n_known")
 
 
 @dataclass
@@ -161,6 +162,7 @@ def _predictions(candidates: list, alphas: list[float]):
                     "candidate": np.int32(candidate), "split": part["split"].to_numpy(),
                     "doc": part["doc"].to_numpy(), "code": (best + tree.levels[-1].at.start).astype(np.int32),
                     "confidence": list(confidence), "margin": list(margin),
+                    **{c: part[c].to_numpy() for c in QUALITY if c in part.columns},
                 }
             )
 
@@ -229,15 +231,19 @@ def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth:
         for r in model.vocabulary.groupBy("split").agg(last).collect():  # one row per split
             terms |= (F.col("split") == r.split) & (F.col("tid") <= r.last)
         near = model.weights.where(terms)
+    valued = F.col("x").isNotNull()
+    quality = [
+        F.sum("words").alias("n_tokens"), F.sum(F.when(F.col("tid").isNotNull(), F.col("words"))).alias("n_known")
+    ] if "words" in x.columns else []
     gathered = (
         x.groupBy("split", "doc")
-        .agg(F.sum("x").alias("rs"), F.collect_list(F.when(terms, F.struct("tid", "x"))).alias("_e"))
-        .select("split", "doc", "rs", F.col("_e.tid").alias("tids"), F.col("_e.x").alias("xs"))
+        .agg(F.sum("x").alias("rs"), F.collect_list(F.when(valued & terms, F.struct("tid", "x"))).alias("_e"), *quality)
+        .withColumns({"tids": F.col("_e.tid"), "xs": F.col("_e.x")}).drop("_e")
     )
     per_doc = docs.select("split", "doc").join(gathered, ["split", "doc"], "left")
     names = [f"s_{i}" for i in range(len(alphas))]
     if not all_near:
-        sums = bayes.lookup_term_weights(x.where(~terms), model.weights.where(~terms), alphas)
+        sums = bayes.lookup_term_weights(x.where(valued & ~terms), model.weights.where(~terms), alphas)
         rest = sums.groupBy("split", "doc").agg(F.collect_list(F.struct("code", *names)).alias("_f"))
         per_doc = per_doc.join(rest, ["split", "doc"], "left").withColumns(
             {"codes": F.col("_f.code"), **{n: F.col(f"_f.{n}") for n in names}}
@@ -251,6 +257,7 @@ def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth:
         F.col("split").cast("int").alias("split"), "doc", F.coalesce("rs", F.lit(0.0)).alias("rs"),
         listed_or_empty("tids", "int"), listed_or_empty("xs", "double"), listed_or_empty("codes", "int"),
         *[listed_or_empty(n, "double") for n in names],
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in QUALITY if n in per_doc.columns],
     )
     trees = docs.sparkSession.sparkContext.broadcast(_trees(model, near, depth))
     return ready, trees
@@ -260,10 +267,11 @@ def predict(
     docs: DataFrame, x: DataFrame, model, candidates: list, depth: int, max_classes: int = MAX_CLASSES,
     max_weights: int = MAX_WEIGHTS,
 ) -> DataFrame:
-    """``candidate, split, doc, path, confidence, margin`` for every document and candidate.
+    """``candidate, split, doc, path, confidence, margin[, n_tokens, n_known]`` for every document and candidate.
 
-    ``docs``: ``split, doc``; ``x``: ``split, doc, tid, x``; ``candidates``: ``(id, alpha, fit_prior, mode)``, which
-    share the features and the counts.
+    ``docs``: ``split, doc``; ``x``: ``split, doc, tid, x``, and for the last two columns ``words``, with the terms
+    outside the vocabulary as rows without a value; ``candidates``: ``(id, alpha, fit_prior, mode)``, which share the
+    features and the counts.
     """
     listed = [(c[0], float(c[1]), bool(c[2]), c[3]) for c in candidates]
     alphas = list(dict.fromkeys(c[1] for c in listed))
@@ -271,13 +279,15 @@ def predict(
         return _predict_by_rows(docs, x, model, listed, alphas, depth)
     ready, trees = _gathered(docs, x, model, alphas, depth, max_weights)
     doc = ready.schema["doc"].dataType.simpleString()
+    quality = [c for c in QUALITY if c in ready.columns]
     scored = ready.mapInPandas(
         _in_steps(trees, _predictions(listed, alphas)),
-        f"candidate int, split int, doc {doc}, code int, confidence array<double>, margin array<double>",
+        f"candidate int, split int, doc {doc}, code int, confidence array<double>, margin array<double>"
+        + "".join(f", {c} bigint" for c in quality),
     )
     paths = model.classes.where(F.col("depth") == depth).select("split", "code", F.col("class").alias("path"))
     return scored.join(F.broadcast(paths), ["split", "code"]).select(  # part of the class table checked above
-        "candidate", "split", "doc", "path", "confidence", "margin"
+        "candidate", "split", "doc", "path", "confidence", "margin", *quality
     )
 
 
@@ -325,7 +335,7 @@ def _class_values_by_rows(docs, x, model, what: str, alpha: float, fit_prior: bo
 
 
 def _predict_by_rows(docs: DataFrame, x: DataFrame, model, listed: list, alphas: list, depth: int) -> DataFrame:
-    sums = bayes.lookup_term_weights(x, model.weights, alphas)
+    sums = bayes.lookup_term_weights(x.where("x is not null"), model.weights, alphas)
     totals = bayes.row_sums(docs, x)
     out = None
     for candidate, alpha, fit_prior, mode in listed:
@@ -334,4 +344,10 @@ def _predict_by_rows(docs: DataFrame, x: DataFrame, model, listed: list, alphas:
             totals, of_alpha, model.classes, depth, alpha, fit_prior, mode
         ).select(F.lit(candidate).cast("int").alias("candidate"), "*")
         out = one if out is None else out.unionByName(one)
-    return out
+    if "words" not in x.columns:
+        return out
+    known = F.sum(F.when(F.col("tid").isNotNull(), F.col("words")))
+    counted = x.groupBy("split", "doc").agg(F.sum("words").alias("n_tokens"), known.alias("n_known"))
+    return out.join(counted, ["split", "doc"], "left").fillna(0, list(QUALITY)).select(
+        "candidate", "split", "doc", "path", "confidence", "margin", *QUALITY
+    )

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators import features as ft
 from ..operators import joins
 from ..operators.filters import keep_columns
 from ..operators.splits import id_hash_sample, make_splits
@@ -48,19 +47,17 @@ def cross_validate(
     """
     pending = pending or {i: set(range(cv.n_splits)) for i in range(len(candidates))}
     placed = make_splits(items, cv, key, levels[-1])
-    docs = written(documents(placed, key, cleaned_col, levels, F.col("tests")), "documents")
+    docs = documents(placed, key, cleaned_col, levels, F.col("tests"))
     out = []
     for members in candidate_groups(candidates).values():
         splits = sorted(set().union(*[pending.get(i, set()) for i in members]))
         if not splits:
             continue
         base = candidates[members[0]]
-        terms = written(terms_of(docs, base), "terms")
+        terms = written(terms_of(docs.rows, base), "terms")
         model = fit(docs, base, levels, terms, cv.n_splits, splits)
-        tested = held_out(terms.drop("path"), splits)
-        asked = held_out(docs.select("doc", "tests"), splits)
         predicted = predict(
-            model, asked, tested,
+            model, held_out(docs.rows.select("doc", "grp"), docs, splits), held_out(terms, docs, splits),
             [(i, candidates[i].alpha, candidates[i].fit_prior, candidates[i].prediction_mode) for i in members],
         )
         wanted = [
@@ -69,11 +66,8 @@ def cross_validate(
         keep = wanted[0]
         for w in wanted[1:]:
             keep |= w
-        quality = ft.input_quality(asked, tested, model.vocabulary)
         out.append(
-            prediction_table(
-                predicted.where(keep), quality, items, key, levels, [key, *id_cols], levels, split_col=cv.split_col
-            )
+            prediction_table(predicted.where(keep), items, key, levels, [key, *id_cols], levels, split_col=cv.split_col)
         )
     return out
 

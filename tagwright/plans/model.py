@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bayes, features as ft, scoring
@@ -37,65 +37,75 @@ class Model:
         return deepest.select("split", *[F.col("class")[i].alias(c) for i, c in enumerate(self.levels)])
 
 
-def documents(df: DataFrame, key: str, text_col: str, levels=(), tests: Column | None = None) -> DataFrame:
-    """``doc, text[, path], tests`` from an item table; ``key`` is unique."""
-    path = [bayes.path_of(levels).alias("path")] if levels else []
+@dataclass
+class Documents:
+    """Documents to fit on. A row names its group by number; the group holds the path and the splits it is tested in.
+
+    The term table, the largest of all, then carries one number per row instead of two arrays. There are as many
+    groups as the tree has paths, times the combinations of splits.
+    """
+
+    rows: DataFrame    # doc, text, grp
+    groups: DataFrame  # grp, path, tests, n
+
+
+def documents(df: DataFrame, key: str, text_col: str, levels, tests: Column | None = None) -> Documents:
+    """Documents of an item table with a unique ``key``. ``tests``: the splits a row is held out in, none by default."""
     held = tests if tests is not None else F.array().cast("array<int>")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return df.select(F.col(f"`{key}`").alias("doc"), text.alias("text"), *path, held.alias("tests"))
+    full = df.select(F.col(f"`{key}`").alias("doc"), text.alias("text"), bayes.path_of(levels).alias("path"), held.alias("tests"))
+    order = Window.orderBy("path", "tests")  # one row per group
+    groups = written(
+        full.groupBy("path", "tests").agg(F.count("*").alias("n")).withColumn("grp", F.row_number().over(order)), "groups"
+    )
+    return Documents(full.join(groups.drop("n"), ["path", "tests"]).select("doc", "text", "grp"), groups)
 
 
-def terms_of(docs: DataFrame, settings: ModelSettings, quality: bool = True) -> DataFrame:
-    """The term table of the documents, once for all splits."""
-    keep = [c for c in ("path", "tests") if c in docs.columns]
-    return ft.term_frequencies(docs, settings, keep, quality)
+def terms_of(rows: DataFrame, settings: ModelSettings, quality: bool = True) -> DataFrame:
+    """The term table of documents (``doc, text[, grp]``), once for all splits."""
+    return ft.term_frequencies(rows, settings, [c for c in ("grp",) if c in rows.columns], quality)
 
 
-def _in_training(df: DataFrame, splits: list[int], n_splits: int) -> DataFrame:
-    """One row per split the row trains in."""
+def _training(docs: Documents, splits: list[int], n_splits: int) -> DataFrame:
+    """``grp, split, path, n`` for every split a group trains in."""
     wanted = F.array_intersect(train_splits(n_splits), F.array(*[F.lit(s) for s in splits]))
-    return df.withColumn("split", F.explode(wanted)).drop("tests")
+    return docs.groups.select("grp", "path", "n", F.explode(wanted).alias("split"))
 
 
-def held_out(df: DataFrame, splits: list[int]) -> DataFrame:
-    """One row per split the row is tested in."""
+def held_out(df: DataFrame, docs: Documents, splits: list[int]) -> DataFrame:
+    """Rows with a ``grp``, once per split they are tested in."""
     wanted = F.array_intersect("tests", F.array(*[F.lit(s) for s in splits]))
-    return df.withColumn("split", F.explode(wanted)).drop("tests")
+    return df.join(docs.groups.select("grp", F.explode(wanted).alias("split")), "grp").drop("grp")
 
 
 def fit(
-    docs: DataFrame, settings: ModelSettings, levels, terms: DataFrame | None = None, n_splits: int = 1,
+    docs: Documents, settings: ModelSettings, levels, terms: DataFrame | None = None, n_splits: int = 1,
     splits: list[int] | None = None,
 ) -> Model:
-    """Fit all splits. ``docs``: ``doc, text, path, tests``; ``terms`` is their term table if it is at hand.
+    """Fit all splits. ``terms`` is the term table of the documents if it is at hand.
 
-    Paths with too few training rows are left out, per split. What can be added up is counted before it is copied to
-    the splits: rows per path, and documents per path and term. Only TF-IDF values, whose norm depends on the
-    vocabulary of the split, are computed per document and split.
+    Paths with too few training rows are left out, per split. What can be added up is counted per group before it is
+    copied to the splits. Only TF-IDF values, whose norm depends on the vocabulary of the split, are computed per
+    document and split.
     """
     splits = list(range(n_splits)) if splits is None else splits
     depth = len(levels)
     if terms is None:
-        terms = written(terms_of(docs, settings, quality=False), "terms")
-
-    per_path = docs.groupBy("tests", "path").agg(F.count("*").alias("n"))
-    kept = written(
-        _in_training(per_path, splits, n_splits)
-        .groupBy("split", "path").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= settings.rare_path_threshold),
-        "kept",
+        terms = written(terms_of(docs.rows, settings, quality=False), "terms")
+
+    training = _training(docs, splits, n_splits)
+    per_path = training.groupBy("split", "path").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= settings.rare_path_threshold
     )
-    filled = {r.split for r in kept.select("split").distinct().collect()}  # at most one row per split
-    if filled != set(splits):
+    kept = written(training.drop("n").join(per_path, ["split", "path"]), "kept")  # grp, split, path, n of the path
+    paths = kept.select("split", "path", "n").distinct()
+    n_docs = written(paths.groupBy("split").agg(F.sum("n").alias("n_docs")), "n_docs")
+    if n_docs.count() < len(splits):
         raise ValueError(f"rare_path_threshold={settings.rare_path_threshold} leaves no training rows")
-    n_docs = kept.groupBy("split").agg(F.sum("n").alias("n_docs"))
-    on_kept = kept.select("split", "path")
 
     present = terms.where("tf > 0")
     cells = written(
-        _in_training(ft.document_cells(present, settings.binary, ["tests", "path"]), splits, n_splits)
-        .join(on_kept, ["split", "path"], "left_semi"),
-        "cells",
+        ft.document_cells(present, settings.binary, ["grp"]).join(kept.drop("n"), "grp").drop("grp"), "cells"
     )
     vocabulary = written(ft.term_vocabulary(cells, n_docs, settings), "vocabulary")
     if settings.vectorizer_kind == "count":
@@ -103,13 +113,14 @@ def fit(
             "split", "path", "term", F.col("tf").cast("double").alias("x")
         )
     else:
-        train = _in_training(present.select("doc", "path", "tests", "term", "tf"), splits, n_splits)
-        rows = ft.features(train.join(on_kept, ["split", "path"], "left_semi"), vocabulary, settings)
+        train = present.select("doc", "grp", "term", "tf").join(kept.drop("n", "path"), "grp")
+        summed = ft.features(train, vocabulary, settings).groupBy("split", "grp", "term").agg(F.sum("x").alias("x"))
+        rows = summed.join(kept.select("split", "grp", "path"), ["split", "grp"])
 
     counts = written(bayes.class_term_counts(rows, depth), "counts")
     n_features = vocabulary.groupBy("split").agg(F.count("*").alias("n_features"))
     sizes = (
-        bayes._prefixes(kept, depth)
+        bayes.prefixes(paths, depth)
         .groupBy("split", "depth", "class").agg(F.sum("n").alias("n"))
         .withColumn("parent", F.slice("class", F.lit(1), F.col("depth") - 1))
     )
@@ -127,14 +138,14 @@ def fit(
 def predict(
     model: Model, docs: DataFrame, terms: DataFrame, candidates: list[tuple] | None = None, **options
 ) -> DataFrame:
-    """``candidate, split, doc, path, confidence, margin``. ``docs``: ``split, doc``; ``terms``: their term table.
+    """``candidate, split, doc, path, confidence, margin, n_tokens, n_known``.
 
-    ``candidates``: ``(id, alpha, fit_prior, mode)``; the model's own settings by default. All of them use the same
-    counts.
+    ``docs``: ``split, doc``; ``terms``: their term table. ``candidates``: ``(id, alpha, fit_prior, mode)``, the
+    model's own settings by default; all of them use the same counts.
     """
     s = model.settings
     candidates = candidates or [(0, s.alpha, s.fit_prior, s.prediction_mode)]
-    x = ft.features(terms, model.vocabulary, s).select("split", "doc", "tid", "x")
+    x = ft.features(terms, model.vocabulary, s, unknown=True).select("split", "doc", "tid", "x", "words")
     return scoring.predict(docs, x, model, candidates, model.depth, **options)
 
 
@@ -152,20 +163,20 @@ def class_values(
 
 
 def prediction_table(
-    predicted: DataFrame, quality: DataFrame, items: DataFrame, key: str, levels, id_cols=(), actual_cols=(),
-    text_cols=(), split_col: str | None = None,
+    predicted: DataFrame, items: DataFrame, key: str, levels, id_cols=(), actual_cols=(), text_cols=(),
+    split_col: str | None = None,
 ) -> DataFrame:
     """The fixed column order: identifiers, [split], [actual labels], predicted labels, confidences, margins, input
     quality, [texts]."""
     depth = len(levels)
+    oov = F.when(F.col("n_tokens") > 0, 1 - F.col("n_known") / F.col("n_tokens")).otherwise(F.lit(1.0))
     beside = items.select(
         F.col(f"`{key}`").alias("_doc"),
         *[F.col(f"`{c}`") for c in dict.fromkeys(id_cols) if c in items.columns],
         *[F.col(f"`{c}`").alias(f"Actual {c}") for c in actual_cols],
         *[F.col(f"`{c}`").alias(f"_text_{c}") for c in text_cols if c in items.columns],
     )
-    joined = predicted.join(quality, ["split", "doc"]).join(beside, F.col("doc") == F.col("_doc"))
-    return joined.select(
+    return predicted.join(beside, F.col("doc") == F.col("_doc")).select(
         *(["candidate"] if split_col else []),
         *[F.col(f"`{c}`") for c in dict.fromkeys(id_cols) if c in items.columns],
         *([F.col("split").alias(split_col)] if split_col else []),
@@ -173,7 +184,7 @@ def prediction_table(
         *[F.col("path")[i].alias(f"Predicted {c}") for i, c in enumerate(levels)],
         *[F.col("confidence")[i].alias(f"L{i + 1} Confidence") for i in range(depth)],
         *[F.col("margin")[i].alias(f"L{i + 1} Margin") for i in range(depth)],
-        "n_tokens", "n_known", "oov_rate",
+        "n_tokens", "n_known", oov.alias("oov_rate"),
         *[F.col(f"`_text_{c}`").alias(c) for c in text_cols if c in items.columns],
     )
 
@@ -182,12 +193,11 @@ def batch_predict(
     model: Model, items: DataFrame, key: str, cleaned_col: str, id_cols=(), text_cols=(), **options
 ) -> DataFrame:
     """Predictions of a saved model for new items. No row is dropped; labels are carried along if all are there."""
-    docs = documents(items, key, cleaned_col).drop("tests")
-    terms = written(terms_of(docs, model.settings), "terms").withColumn("split", F.lit(0))
-    asked = docs.select(F.lit(0).alias("split"), "doc")
-    predicted = predict(model, asked, terms, **options)
-    quality = ft.input_quality(asked, terms, model.vocabulary)
+    text = F.coalesce(F.col(f"`{cleaned_col}`"), F.lit(""))
+    rows = items.select(F.col(f"`{key}`").alias("doc"), text.alias("text"))
+    terms = terms_of(rows, model.settings).withColumn("split", F.lit(0))
+    predicted = predict(model, rows.select(F.lit(0).alias("split"), "doc"), terms, **options)
     labelled = all(c in items.columns for c in model.levels)
     return prediction_table(
-        predicted, quality, items, key, model.levels, id_cols, model.levels if labelled else (), text_cols
+        predicted, items, key, model.levels, id_cols, model.levels if labelled else (), text_cols
     )

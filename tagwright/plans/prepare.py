@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.lists import CleaningSettings
-from ..operators.cleaning import clean_items
+from ..operators.cleaning import Cleaned, clean_items
 from ..operators.features import ngram_stats
 from ..operators.filters import drop_blank_text, drop_missing_labels, labels_present
 from ..operators.joins import apply_blacklist
@@ -17,12 +17,12 @@ from ..session import written
 def clean_dataframe(
     df: DataFrame, text_col: str, cleaned_col: str, english: DataFrame, good_tokens: DataFrame,
     settings: CleaningSettings | None = None, vocabulary: DataFrame | None = None, drop_empty: bool = True,
-) -> tuple[DataFrame, DataFrame]:
+) -> Cleaned:
     """Clean the items. ``drop_empty`` drops blank texts before and emptied ones after (training); prediction keeps
     every row."""
     kept = drop_blank_text(df, text_col) if drop_empty else df
-    out, vocabulary = clean_items(kept, text_col, cleaned_col, english, good_tokens, settings, vocabulary)
-    return (drop_blank_text(out, cleaned_col) if drop_empty else out), vocabulary
+    done = clean_items(kept, text_col, cleaned_col, english, good_tokens, settings, vocabulary)
+    return done._replace(items=drop_blank_text(done.items, cleaned_col)) if drop_empty else done
 
 
 def _added_up(*rows: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def prepare_items(
     items: DataFrame, text_col: str, cleaned_col: str, english: DataFrame, good_tokens: DataFrame,
     settings: CleaningSettings | None = None, vocabulary: DataFrame | None = None,
     blacklist: DataFrame | None = None, blacklist_col: str | None = None, levels=(), drop_empty: bool = True,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blacklist, label filter and cleaning. Returns the items, the vocabulary, and one row of counts.
+) -> tuple[Cleaned, DataFrame]:
+    """Blacklist, label filter and cleaning. Returns the cleaned items and one row of counts.
 
     The steps that drop rows are counted in two aggregations, one over the input and one over the result.
     """
@@ -48,10 +48,10 @@ def prepare_items(
             raise ValueError("name the column the blacklist is matched with")
         listed = written(apply_blacklist(items, blacklist, blacklist_col), "listed")
     labelled = drop_missing_labels(listed, levels) if levels else listed
-    out, vocabulary = clean_dataframe(
+    done = clean_dataframe(
         labelled, text_col, cleaned_col, english, good_tokens, settings, vocabulary, drop_empty
     )
-    out = written(out, "prepared")
+    out = written(done.items, "prepared")
     has_label = labels_present(levels) if levels else F.lit(True)
     blank = tx.is_blank(F.col(f"`{text_col}`").cast("string")) if drop_empty else F.lit(False)
     before = listed.agg(
@@ -72,7 +72,7 @@ def prepare_items(
         "cleaned_rows",
         (F.col("raw_rows") - F.col("cleaned_rows")).alias("total_dropped"),
     )
-    return out, vocabulary, counts
+    return done._replace(items=out), counts
 
 
 def blacklist_prepared(

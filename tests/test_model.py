@@ -98,13 +98,13 @@ class Dense:
 @pytest.fixture(scope="module")
 def fitted(spark):
     df = spark.createDataFrame(ROWS, "id string, t string, l1 string, l2 string, l3 string")
-    docs = written(pm.documents(df, "id", "t", LEVELS), "docs")
+    docs = pm.documents(df, "id", "t", LEVELS)
     out = {}
     for kind in ("tfidf", "count"):
         settings = replace(SETTINGS, vectorizer_kind=kind)
-        terms = written(pm.terms_of(docs, settings), "terms")
+        terms = written(pm.terms_of(docs.rows, settings), "terms")
         out[kind] = (pm.fit(docs, settings, LEVELS, terms), terms.withColumn("split", F.lit(0)))
-    asked = docs.select(F.lit(0).alias("split"), "doc")
+    asked = docs.rows.select(F.lit(0).alias("split"), "doc")
     return df, asked, out
 
 
