@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .registry import table
+from .registry import table, wide_table
 
 ITEMS = """
 select concat('P-', cast(p_partkey as string)) as id,
@@ -111,7 +111,7 @@ def loose_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(DOCS.replace("from documents", "from {documents}"), documents=table(spark, folder, "documents"))
+    return spark.sql(DOCS.replace("from documents", "from {documents}"), documents=wide_table(spark, folder, "documents"))
 
 
 def tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,13 +119,13 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    stock = spark.sql(STOCK.replace("from lineitem", "from {lineitem}"), lineitem=table(spark, folder, "lineitem"))
+    stock = spark.sql(STOCK.replace("from lineitem", "from {lineitem}"), lineitem=wide_table(spark, folder, "lineitem"))
     return _over_items(spark, folder, SKU), _over_items(spark, folder, MASTER), stock
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """``preds`` under the column names of a prediction table."""
-    lines = spark.sql(PREDS.replace("from lineitem", "from {lineitem}"), lineitem=table(spark, folder, "lineitem"))
+    lines = spark.sql(PREDS.replace("from lineitem", "from {lineitem}"), lineitem=wide_table(spark, folder, "lineitem"))
     return lines.selectExpr(
         "id", "num", "fold", "candidate", "actual_1 as `Actual one`", "actual_2 as `Actual two`",
         "predicted_1 as `Predicted one`", "predicted_2 as `Predicted two`",

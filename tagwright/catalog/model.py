@@ -153,12 +153,20 @@ def _key(column="class"):
     return F.array_join(column, "|")
 
 
-def _fitted(spark, folder, settings=SETTINGS, source=_items, levels=fx.LEVELS):
+def _fitted(spark, folder, settings=SETTINGS):
     """The documents to predict, their terms, and the model fitted on them."""
-    docs = source(spark, folder)
+    docs = _items(spark, folder)
     terms = written(pm.terms_of(docs.rows, settings), "terms")
     asked = docs.rows.select(F.lit(0).alias("split"), "doc")
-    return asked, terms.withColumn("split", F.lit(0)), pm.fit(docs, settings, levels, terms)
+    return asked, terms.withColumn("split", F.lit(0)), pm.fit(docs, settings, fx.LEVELS, terms)
+
+
+def _learned(spark, folder, settings):
+    """The documents, their terms, and the vocabulary learned from them, without a model."""
+    docs = _docs(spark, folder)
+    terms = written(pm.terms_of(docs.rows, settings), "terms")
+    asked = docs.rows.select(F.lit(0).alias("split"), "doc")
+    return asked, terms.withColumn("split", F.lit(0)), pm.learn_terms(docs, settings, terms).vocabulary
 
 
 def _round(name, digits=6):
@@ -195,21 +203,21 @@ def fold_bigrams(spark, folder):
     select term, df, cast(total as bigint) as total, round(idf, 6) as idf from vocabulary
     order by total desc, term limit 2000""", _DOC_FEATURES))
 def term_vocabulary(spark, folder):
-    model = _fitted(spark, folder, replace(COUNTS, max_features=2000), _docs, fx.DOC_LEVELS)[2]
-    return model.vocabulary.select("term", "df", "total", _round("idf"))
+    vocabulary = _learned(spark, folder, replace(COUNTS, max_features=2000))[2]
+    return vocabulary.select("term", "df", "total", _round("idf"))
 
 
 @query("count_features", _docs_sql("select doc, term, x from x", [*_DOC_FEATURES, _COUNT_X]))
 def count_features(spark, folder):
-    _, terms, model = _fitted(spark, folder, COUNTS, _docs, fx.DOC_LEVELS)
-    return ft.count_features(terms, model.vocabulary, COUNTS).select("doc", "term", "x")
+    _, terms, vocabulary = _learned(spark, folder, COUNTS)
+    return ft.count_features(terms, vocabulary, COUNTS).select("doc", "term", "x")
 
 
 @query("tfidf_features", _docs_sql("select doc, term, round(x, 6) as x from x", [*_DOC_FEATURES, _TFIDF_X]))
 def tfidf_features(spark, folder):
     settings = replace(SETTINGS, ngram_range=(1, 1), min_df=3)
-    _, terms, model = _fitted(spark, folder, settings, _docs, fx.DOC_LEVELS)
-    return ft.features(terms, model.vocabulary, settings).select("doc", "term", _round("x"))
+    _, terms, vocabulary = _learned(spark, folder, settings)
+    return ft.features(terms, vocabulary, settings).select("doc", "term", _round("x"))
 
 
 @query("input_quality", _docs_sql("""
@@ -219,8 +227,8 @@ def tfidf_features(spark, folder):
            case when coalesce(n_tokens, 0) > 0 then round(1 - n_known / n_tokens, 6) else 1.0::double end as oov_rate
     from docs left join k on k.doc = id""", _DOC_FEATURES))
 def input_quality(spark, folder):
-    asked, terms, model = _fitted(spark, folder, COUNTS, _docs, fx.DOC_LEVELS)
-    return ft.input_quality(asked, terms, model.vocabulary).select("doc", "n_tokens", "n_known", _round("oov_rate"))
+    asked, terms, vocabulary = _learned(spark, folder, COUNTS)
+    return ft.input_quality(asked, terms, vocabulary).select("doc", "n_tokens", "n_known", _round("oov_rate"))
 
 
 # ---- counts ----------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import placed
 from .running import running_totals
 
 PATTERNS = {"whitespace": rf"[^{tx.SPACE}]+", "sklearn": rf"[{tx.WORD}]{{2,}}"}
@@ -66,19 +67,23 @@ def term_frequencies(docs: DataFrame, settings, keep=(), quality: bool = False)
     """
     lo, hi = settings.ngram_range
     tokens = tokenize(F.col("text"), settings.token_pattern, settings.stop_words)
-    grams = ngrams(tokens, lo, hi)
+    rows = placed(docs, "doc").select("doc", *keep, tokens.alias("_t"))
+    grams = ngrams(F.col("_t"), lo, hi)
     if not settings.ordered_bigrams:
         grams = F.transform(grams, fold_bigrams)
-    placed = docs.repartition("doc").select("doc", *keep, tokens.alias("_t"), grams.alias("_g"))
+    by = ["doc", *keep, "term"]
     if not quality:
-        rows = placed.select("doc", *keep, F.explode("_g").alias("term"))
-        return rows.groupBy("doc", *keep, "term").agg(F.count("*").alias("tf"))
-    as_term = F.transform("_g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("w")))
+        return rows.select("doc", *keep, F.explode(grams).alias("term")).groupBy(*by).agg(F.count("*").alias("tf"))
+    if lo == 1 and (settings.ordered_bigrams or settings.token_pattern in PATTERNS):
+        # the tokens come first among the n-grams, so a position tells them apart
+        placed_grams = rows.select("doc", *keep, F.size("_t").alias("_n"), F.posexplode(grams).alias("_i", "term"))
+        return placed_grams.groupBy(*by).agg(
+            F.count("*").alias("tf"), F.count_if(F.col("_i") < F.col("_n")).alias("words")
+        )
+    as_term = F.transform(grams, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("w")))
     as_word = F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("w")))
-    return (
-        placed.select("doc", *keep, F.inline(F.concat(as_term, as_word)))
-        .groupBy("doc", *keep, "term")
-        .agg(F.sum("tf").alias("tf"), F.sum("w").alias("words"))
+    return rows.select("doc", *keep, F.inline(F.concat(as_term, as_word))).groupBy(*by).agg(
+        F.sum("tf").alias("tf"), F.sum("w").alias("words")
     )
 
 

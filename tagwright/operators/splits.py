@@ -9,10 +9,23 @@ from ..functions import text as tx
 from .running import running_totals
 
 
-def key_hash(*parts: Column) -> Column:
-    """First 8 bytes of the SHA-1 of the parts joined by ``|``, as an unsigned number."""
+def _halves(*parts: Column) -> tuple[Column, Column]:
+    """First 8 bytes of the SHA-1 of the parts joined by ``|``, as two unsigned 32-bit numbers."""
     digest = F.sha1(F.concat_ws("|", *parts))
-    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+    return tuple(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") for at in (1, 9))
+
+
+def hash_modulo(n: int, *parts: Column) -> Column:
+    """The 64-bit hash modulo ``n``, in long arithmetic on its halves."""
+    high, low = _halves(*parts)
+    return ((high % n * (2**32 % n) + low % n) % n).cast("int")
+
+
+def hash_share(*parts: Column) -> Column:
+    """The 64-bit hash divided by 2 to the 64."""
+    high, low = _halves(*parts)
+    whole = high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(20,0)") + low.cast("decimal(20,0)")
+    return whole.cast("double") / F.lit(2.0**64)
 
 
 def fold_key(column: Column) -> Column:
@@ -23,7 +36,7 @@ def fold_key(column: Column) -> Column:
 
 
 def id_hash_fold(column: Column, n_folds: int = 5, seed: int = 0) -> Column:
-    return (key_hash(F.lit(str(seed)), fold_key(column)) % n_folds).cast("int")
+    return hash_modulo(n_folds, F.lit(str(seed)), fold_key(column))
 
 
 def id_hash_folds(df: DataFrame, key: str, n_folds: int = 5, seed: int = 0, name: str = "fold") -> DataFrame:
@@ -35,8 +48,8 @@ def id_hash_sample(df: DataFrame, key: str, share: float, seed: int = 0) -> Data
     """About ``share`` of the rows, chosen by key."""
     if not 0 < share <= 1:
         raise ValueError("the share is in (0, 1]")
-    place = key_hash(F.lit("sample"), F.lit(str(seed)), fold_key(F.col(f"`{key}`"))).cast("double")
-    return df.where(place / F.lit(2.0**64) < F.lit(float(share)))
+    place = hash_share(F.lit("sample"), F.lit(str(seed)), fold_key(F.col(f"`{key}`")))
+    return df.where(place < F.lit(float(share)))
 
 
 def stratified_folds(
@@ -44,7 +57,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Deals the rows of each label to the folds in turn, in an order and from a start given by hashes of the seed."""
     text = F.col(f"`{label}`").cast("string")
-    start = (key_hash(F.lit(str(seed)), F.coalesce(text, F.lit("None"))) % n_folds).cast("int")
+    start = hash_modulo(n_folds, F.lit(str(seed)), F.coalesce(text, F.lit("None")))
     order = [F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{key}`"))), F.col(f"`{key}`")]
     dealt = running_totals(df, [label], order, {name: F.lit(1)})
     return dealt.withColumn(name, ((F.col(name) - 1 + start) % n_folds).cast("int"))

@@ -78,42 +78,60 @@ def held_out(df: DataFrame, docs: Documents, splits: list[int]) -> DataFrame:
     return df.join(docs.groups.select("grp", F.explode(wanted).alias("split")), "grp").drop("grp")
 
 
-def fit(
-    docs: Documents, settings: ModelSettings, levels, terms: DataFrame | None = None, n_splits: int = 1,
+@dataclass
+class Terms:
+    """What a fit counts before it looks at classes."""
+
+    table: DataFrame       # doc, grp, term, tf[, words]
+    kept: DataFrame        # grp, split, path, n: the groups a split trains on, with the rows of the path
+    cells: DataFrame       # split, path, term, df, tf
+    vocabulary: DataFrame  # split, term, df, total, idf
+
+
+def learn_terms(
+    docs: Documents, settings: ModelSettings, terms: DataFrame | None = None, n_splits: int = 1,
     splits: list[int] | None = None,
-) -> Model:
-    """Fit all splits. ``terms`` is the term table of the documents if it is at hand.
+) -> Terms:
+    """The vocabulary of every split, from its training rows without the paths that have too few of them.
 
-    Paths with too few training rows are left out, per split. What can be added up is counted per group before it is
-    copied to the splits. Only TF-IDF values, whose norm depends on the vocabulary of the split, are computed per
-    document and split.
+    Documents and occurrences are counted per group before they are copied to the splits.
     """
     splits = list(range(n_splits)) if splits is None else splits
-    depth = len(levels)
     if terms is None:
         terms = written(terms_of(docs.rows, settings, quality=False), "terms")
-
     training = _training(docs, splits, n_splits)
     per_path = training.groupBy("split", "path").agg(F.sum("n").alias("n")).where(
         F.col("n") >= settings.rare_path_threshold
     )
-    kept = written(training.drop("n").join(per_path, ["split", "path"]), "kept")  # grp, split, path, n of the path
+    kept = written(training.drop("n").join(per_path, ["split", "path"]), "kept")
     paths = kept.select("split", "path", "n").distinct()
     n_docs = written(paths.groupBy("split").agg(F.sum("n").alias("n_docs")), "n_docs")
     if n_docs.count() < len(splits):
         raise ValueError(f"rare_path_threshold={settings.rare_path_threshold} leaves no training rows")
+    counted = ft.document_cells(terms.where("tf > 0"), settings.binary, ["grp"])
+    cells = written(counted.join(kept.drop("n"), "grp").drop("grp"), "cells")
+    return Terms(terms, kept, cells, written(ft.term_vocabulary(cells, n_docs, settings), "vocabulary"))
 
-    present = terms.where("tf > 0")
-    cells = written(
-        ft.document_cells(present, settings.binary, ["grp"]).join(kept.drop("n"), "grp").drop("grp"), "cells"
-    )
-    vocabulary = written(ft.term_vocabulary(cells, n_docs, settings), "vocabulary")
+
+def fit(
+    docs: Documents, settings: ModelSettings, levels, terms: DataFrame | None = None, n_splits: int = 1,
+    splits: list[int] | None = None,
+) -> Model:
+    """Fit all splits. ``terms`` is the term table of the documents if it is at hand.
+
+    Counts are sums of the cells. Only TF-IDF values, whose norm depends on the vocabulary of the split, are computed
+    per document and split.
+    """
+    depth = len(levels)
+    learned = learn_terms(docs, settings, terms, n_splits, splits)
+    kept, vocabulary = learned.kept, learned.vocabulary
+    paths = kept.select("split", "path", "n").distinct()
     if settings.vectorizer_kind == "count":
-        rows = cells.join(vocabulary.select("split", "term"), ["split", "term"]).select(
+        rows = learned.cells.join(vocabulary.select("split", "term"), ["split", "term"]).select(
             "split", "path", "term", F.col("tf").cast("double").alias("x")
         )
     else:
-        train = present.select("doc", "grp", "term", "tf").join(kept.drop("n", "path"), "grp")
+        train = learned.table.where("tf > 0").select("doc", "grp", "term", "tf").join(kept.drop("n", "path"), "grp")
         summed = ft.features(train, vocabulary, settings).groupBy("split", "grp", "term").agg(F.sum("x").alias("x"))
         rows = summed.join(kept.select("split", "grp", "path"), ["split", "grp"])
 

@@ -76,6 +76,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` partitioned by ``key`` into the session's number of shuffle partitions.
+
+    For work that is heavy per byte: adaptive execution sizes partitions by bytes and would put a short table of
+    texts into one task. The number is named, so it is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
     return df.limit(rows + 1).count() <= rows
