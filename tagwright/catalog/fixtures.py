@@ -142,4 +142,4 @@ def with_views(*names: str, body: str) -> str:
     needs_items = {"loose", "tree", "sku", "master"} & set(names)
     order = (["items"] if needs_items and "items" not in names else []) + list(names)
     views = ", ".join(f"{n} as ({texts[n].strip()})" for n in order)
-    return f"with {views} {body}" if not body.lstrip().startswith(",") else f"with {views} {body.strip()}"
+    return f"with {views} {body.strip()}"  # a body may begin with a comma and more views

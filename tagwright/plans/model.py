@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bayes, features as ft, scoring
+from ..operators.running import running_totals
 from ..operators.splits import train_splits
-from ..session import written
+from ..session import at_most, written
 from .settings import ModelSettings
 
 
+# Groups up to this number are numbered in one task.
+FEW_GROUPS = 500_000
+
+
 @dataclass
 class Model:
     """Fitted tables. Alpha, prior and mode are not in them: they are applied at prediction."""
@@ -54,10 +59,11 @@ def documents(df: DataFrame, key: str, text_col: str, levels, tests: Column | No
     held = tests if tests is not None else F.array().cast("array<int>")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     full = df.select(F.col(f"`{key}`").alias("doc"), text.alias("text"), bayes.path_of(levels).alias("path"), held.alias("tests"))
-    order = Window.orderBy("path", "tests")  # one row per group
-    groups = written(
-        full.groupBy("path", "tests").agg(F.count("*").alias("n")).withColumn("grp", F.row_number().over(order)), "groups"
-    )
+    sizes = written(full.groupBy("path", "tests").agg(F.count("*").alias("n")), "groups")
+    if at_most(sizes, FEW_GROUPS):
+        groups = sizes.withColumn("grp", F.row_number().over(Window.orderBy("path", "tests")))
+    else:  # many repeats give many combinations of splits
+        groups = running_totals(sizes, [], [F.col("path"), F.col("tests")], {"grp": F.lit(1)})
     return Documents(full.join(groups.drop("n"), ["path", "tests"]).select("doc", "text", "grp"), groups)
 
 
