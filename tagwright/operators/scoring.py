@@ -39,10 +39,18 @@ class Level:
     total: np.ndarray
     n_features: float
     siblings: np.ndarray    # first class of each group of siblings
+    family: np.ndarray      # group of every class
     of_path: np.ndarray     # class of every path
     first_path: np.ndarray  # first path below each class
 
 
+    def shares(self, jll: np.ndarray, among_siblings: bool) -> np.ndarray:
+        """Log probability of every class, among its siblings or in the whole level."""
+        if among_siblings:
+            return log_shares(jll, self.siblings, self.family)
+        return log_shares(jll, np.array([0]), np.zeros(len(self.n), int))
+
+
 class Tree:
     """Classes and the frequent weights of one split as arrays."""
 
@@ -54,7 +62,7 @@ class Tree:
         self.levels = []
         for d, level in enumerate(by_depth, 1):
             place = {tuple(r["class"]): i for i, r in enumerate(level)}
-            parents = [tuple(r.parent) for r in level]
+            eldest = np.array([i == 0 or r.parent != level[i - 1].parent for i, r in enumerate(level)])
             of_path = np.array([place[p[:d]] for p in paths])
             self.levels.append(
                 Level(
@@ -62,7 +70,8 @@ class Tree:
                     np.array([r.n for r in level], float),
                     np.array([r.total for r in level], float),
                     float(level[0].n_features),
-                    np.array([i for i, p in enumerate(parents) if i == 0 or p != parents[i - 1]]),
+                    np.flatnonzero(eldest),
+                    np.cumsum(eldest) - 1,
                     of_path,
                     np.flatnonzero(np.r_[True, of_path[1:] != of_path[:-1]]),
                 )
@@ -103,31 +112,30 @@ class Tree:
         for level, jll in zip(self.levels, likelihoods):
             if deepest_only and level is not self.levels[-1]:
                 continue
-            lp = log_softmax(jll, level.siblings if mode == "conditional" else np.array([0]))
-            out = out + lp[:, level.of_path]
+            shares = level.shares(jll, among_siblings=mode == "conditional")
+            out = out + shares[:, level.of_path]
         return out
 
     def best(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best path, and per depth the mass of its prefix and the distance to the largest other prefix."""
         best = scores.argmax(axis=1)
         mass_of_path = np.exp(scores)
-        rows = np.arange(len(best))
         confidence, margin = [], []
         for level in self.levels:
             mass = np.add.reduceat(mass_of_path, level.first_path, axis=1)
-            chosen = level.of_path[best]
-            mine = mass[rows, chosen].copy()
-            mass[rows, chosen] = -np.inf
+            mine = np.take_along_axis(mass, level.of_path[best][:, None], axis=1)[:, 0]
             confidence.append(mine)
-            margin.append(mine - (mass.max(axis=1) if mass.shape[1] > 1 else 0.0))
+            if mass.shape[1] == 1:
+                margin.append(mine)
+                continue
+            second, first = np.partition(mass, -2, axis=1)[:, -2:].T
+            margin.append(mine - np.where(mine == first, second, first))
         return best, np.stack(confidence, 1), np.stack(margin, 1)
 
 
-def log_softmax(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Log softmax within neighbouring columns; ``starts`` are the first columns of the groups."""
-    width = np.diff(np.r_[starts, scores.shape[1]])
-    z = scores - np.repeat(np.maximum.reduceat(scores, starts, axis=1), width, axis=1)
-    return z - np.repeat(np.log(np.add.reduceat(np.exp(z), starts, axis=1)), width, axis=1)
+def log_shares(scores: np.ndarray, starts: np.ndarray, group_of: np.ndarray) -> np.ndarray:
+    """Log of the share of each column in its group; groups are neighbouring columns, ``starts`` their first."""
+    return scores - np.logaddexp.reduceat(scores, starts, axis=1)[:, group_of]
 
 
 def _end_to_end(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +185,7 @@ def _values(what: str, alpha: float, fit_prior: bool):
         if what == "jll":
             values = np.hstack(likelihoods)
         elif what == "proba":
-            values = np.exp(np.hstack([log_softmax(jll, np.array([0])) for jll in likelihoods]))
+            values = np.exp(np.hstack([lv.shares(jll, False) for jll, lv in zip(likelihoods, tree.levels)]))
         elif what == "best":
             values = np.stack([jll.argmax(1) + lv.at.start for jll, lv in zip(likelihoods, tree.levels)], 1).astype(float)
         else:

@@ -105,7 +105,7 @@ class Evaluation:
         if sample_frac is not None and sample_frac < 1:
             kept = id_hash_sample(kept, cv.fold_key_col if cv.fold_key_col in kept.columns else key, sample_frac, sample_seed)
         spark = items.sparkSession
-        kept.write.mode("overwrite").parquet(f"{folder}/items")
+        kept.write.parquet(f"{folder}/items")  # an existing evaluation is not overwritten
         config = {
             "cv": asdict(cv), "candidates": [c.as_dict() for c in candidates],
             "columns": {

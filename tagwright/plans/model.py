@@ -11,10 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lists import CleaningSettings
 from ..operators import bayes, features as ft, scoring
+from ..operators.joins import attach_names
 from ..operators.running import running_totals
 from ..operators.splits import train_splits
 from ..session import at_most, written
+from .prepare import clean_dataframe
 from .settings import ModelSettings
 
 
@@ -225,3 +228,18 @@ def batch_predict(
     return prediction_table(
         predicted, items, key, model.levels, id_cols, model.levels if labelled else (), text_cols
     )
+
+
+def predict_items(
+    model: Model, vocabulary: DataFrame, items: DataFrame, key: str, text_col: str, cleaned_col: str,
+    english: DataFrame, good_tokens: DataFrame, settings: CleaningSettings | None = None, id_cols=(),
+    lookup: DataFrame | None = None, names=(), **options,
+) -> DataFrame:
+    """Clean new items with the frozen vocabulary of a model and predict every one of them, with names if there is a
+    lookup. Accuracy and bucket tables follow from the result when the items carry labels."""
+    done = clean_dataframe(
+        items, text_col, cleaned_col, english, good_tokens, settings, vocabulary, drop_empty=False
+    )
+    cleaned = written(done.items, "cleaned")  # read for the terms and for the columns beside the predictions
+    pred = batch_predict(model, cleaned, key, cleaned_col, id_cols, [text_col, cleaned_col], **options)
+    return attach_names(pred, lookup, model.levels, names) if lookup is not None else pred

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,6 +12,21 @@ from ..operators.features import ngram_stats
 from ..operators.filters import drop_blank_text, drop_missing_labels, labels_present
 from ..operators.joins import apply_blacklist
 from ..session import written
+from ..sources import scan
+
+
+def cleaning_settings(
+    spark: SparkSession, units: str | None = None, colors=(), sizes: str | None = None, **values
+) -> CleaningSettings:
+    """Settings with lists read from files; what is not given keeps its default. Patterns need their terms on the
+    driver, so lists are limited in length."""
+    if units:
+        values["units"] = scan.unit_list(scan.scan_units(spark, units))
+    if colors:
+        values["colors"] = [t for path in colors for t in scan.term_list(scan.scan_terms(spark, path))]
+    if sizes:
+        values["sizes"] = scan.term_list(scan.scan_terms(spark, sizes))
+    return CleaningSettings(**values)
 
 
 def clean_dataframe(

@@ -2,8 +2,13 @@ from dataclasses import replace
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tagwright.operators import evaluation as ev
+from tagwright.operators import joins
 from tagwright.plans import crossval as cv
 from tagwright.plans import model as pm
+from tagwright.plans.prepare import prepare_items
 from tagwright.plans.settings import ModelSettings, SplitSettings, candidate_grid, candidates_frame, varying_settings
 from tagwright.sources import store
 
@@ -125,3 +130,27 @@ def test_model_round_trip(spark, items, tmp_path):
     store.write_json(spark, manifest, str(tmp_path / "m" / "manifest.json"))
     with pytest.raises(ValueError):
         store.read_model(spark, str(tmp_path / "m"))
+
+
+def test_from_raw_items_to_named_predictions(spark, tmp_path):
+    kinds = [("BALL VALVE", "v", "v1"), ("GATE VALVE", "v", "v2"), ("NITRILE GLOVE", "g", "g1"), ("LEATHER GLOVE", "g", "g2")]
+    rows = [(f"i{n}", f"X{n}Z {kinds[n % 4][0]} {n % 5 + 1} INCHES", *kinds[n % 4][1:]) for n in range(80)]
+    raw = spark.createDataFrame(rows, "id string, descr string, a string, b string").withColumn("bn", F.upper("b"))
+    english = spark.createDataFrame([(w,) for w in "ball gate nitrile leather valve glove".split()], "word string")
+    none = spark.createDataFrame([], "term string")
+    done, counts = prepare_items(raw, "descr", "clean", english, none, levels=["a", "b"])
+    assert counts.first().cleaned_rows == 80
+    base = replace(BASE, rare_path_threshold=5)
+    model = pm.fit(pm.documents(done.items, "id", "clean", ["a", "b"]), base, ["a", "b"])
+    lookup = joins.distinct_lookup(raw, ["a", "b"], ["bn"]).withColumn("an", F.upper("a"))
+    store.write_model(model, str(tmp_path / "m"), done.vocabulary, lookup)
+    model, words, names, _ = store.read_model(spark, str(tmp_path / "m"))
+    new = spark.createDataFrame([("n1", "QQ9 BALL VALVE 2 FEET", "v", "v1"), ("n2", "", "g", "g1")], "id string, descr string, a string, b string")
+    pred = pm.predict_items(
+        model, words, new, "id", "descr", "clean", english, none, id_cols=["id"], lookup=names, names=["an", "bn"]
+    )
+    got = {r.id: r for r in pred.collect()}
+    assert got["n1"].clean == "BALL VALVE <SIZE>FT" and got["n1"]["Predicted b"] == "v1" and got["n1"]["Predicted bn"] == "V1"
+    assert got["n2"].clean == "" and got["n2"].oov_rate == 1.0
+    assert pred.columns[3:7] == ["Predicted a", "Predicted b", "Predicted an", "Predicted bn"]
+    assert ev.accuracy_by_level(pred, ["a", "b"]).first()[1] >= 0.5

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tagwright.functions import lists
 from tagwright.operators import filters, joins
+from tagwright.plans.prepare import cleaning_settings
 from tagwright.sources import scan, store
 
 
@@ -54,6 +55,9 @@ def test_term_and_unit_lists(spark, tmp_path):
     assert sorted(scan.unit_list(everything), key=key) == sorted(lists.units_of(lists.UNITS), key=key)
     with pytest.raises(Exception, match="expected 'ABBREVIATION"):
         scan.scan_units(spark, _file(tmp_path, "bad.txt", "FT feet\n")).collect()
+    settings = cleaning_settings(spark, units=units, colors=[terms], sizes=terms, field_width=30)
+    assert settings.colors == ["COLOR", "FOREST GREEN", "RED"] == settings.sizes and settings.field_width == 30
+    assert [u["abbrev"] for u in settings.units] == ["FT", "GR", "KPA"] and settings.markers == lists.MARKERS
     words = _file(tmp_path, "w.txt", " Ball\nball\n\n")
     assert [r.word for r in scan.scan_words(spark, words).collect()] == ["ball"]
 
