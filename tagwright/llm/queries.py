@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, urlvocab
+from . import bpe, langid, packing, pii, quality, urlvocab, wordrules
+from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,11 +27,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_semi_markov_pii")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.find_spans(documents, pii.fit_field(documents))
+
+
+@query("op2_line_crf_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    field = quality.fit_quality(documents, table(spark, folder, "labels"))
+    scored = quality.score_documents(documents, field)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op3_subword_language")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = langid.identify(documents, langid.train(documents))
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op6_url_vocabulary", urlvocab.verdict_sql())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urlvocab.judge_urls(table(spark, folder, "pages"))
 
 
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return wordrules.judge(documents, wordrules.train(documents, table(spark, folder, "labels")))
+
+
 @query("op8_cost_balanced_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
