@@ -162,3 +162,18 @@ def platt(raw: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[float,
         if abs(da) + abs(db) < 1e-6:
             break
     return max(a, 1e-3), b
+
+
+def replace_texts(df: DataFrame, text_col: str, work: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """All rows and columns, with every text that is not null replaced by what ``work()`` gives for it."""
+    place = df.columns.index(text_col)
+    given = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may clash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = work()
+        for batch in batches:
+            for part in chunks(batch, f"c{place}"):
+                texts = [None if t is None else each(t) for t in part.column(place).to_pylist()]
+                yield part.set_column(place, part.schema.field(place), pa.array(texts, type=pa.string()))
+
+    return given.mapInArrow(run, given.schema).toDF(*df.columns)

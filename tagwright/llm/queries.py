@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii, quality, urlvocab, wordrules
+from . import bpe, hamming, langid, neardup, packing, pii, quality, sitetree, urlvocab, wordrules
 from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,17 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op4_multi_index_hashing", hamming.search_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    codes = hamming.sign_codes(table(spark, folder, "embeddings"))
+    return hamming.top_k(codes, codes.where(F.col("id") % 50 == 0))
+
+
+@query("op5_site_style_tree")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return sitetree.extract(table(spark, folder, "pages"))
+
+
 @query("op6_url_vocabulary", urlvocab.verdict_sql())
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return urlvocab.judge_urls(table(spark, folder, "pages"))
@@ -64,6 +76,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("op9_fast_similarity_sketch")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op10_bpe_automaton")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"))
