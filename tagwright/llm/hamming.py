@@ -2,8 +2,8 @@
 
 A vector's code is the signs of its values, bit i for value i (0 for what is not above zero, missing or no number).
 Codes are cut into ``segments`` parts. Two codes that differ in at most ``segments * (s + 1) - 1`` bits differ in at
-most s bits in some part. So in round s every unfinished query looks up, in each part, all values that differ from its
-own in exactly s bits. What it meets is verified by the full distance. A query is finished when its k-th best distance
+most s bits in some part. So in round s (the first takes all s up to
+``start``) every unfinished query looks up, in each part, all values that differ from its own in exactly s bits. What it meets is verified by the full distance. A query is finished when its k-th best distance
 is at most the distance covered; the others go on with s + 1.
 
 A pair that shares several lookups is taken at the first only: lowest s, then lowest part. Equal codes are one entry
@@ -31,6 +31,7 @@ class SearchSettings:
     k: int = 10
     bits: int = 64
     segments: int = 4  # parts of 16 bits
+    start: int = 2  # the first round looks up all values within this radius, as each radius alone is little work
 
     @property
     def part(self) -> int:
@@ -51,11 +52,11 @@ def _masks(part: int, s: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in combinations(range(part), s)], dtype=np.int64)
 
 
-def lookups(queries: DataFrame, s: int, x: SearchSettings) -> DataFrame:
-    """For every query code, part and mask of ``s`` bits the value to look up."""
+def lookups(queries: DataFrame, radii: range, x: SearchSettings) -> DataFrame:
+    """For every query code, part and mask of as many bits as the radii say, the value to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, low = _masks(x.part, s), (1 << x.part) - 1
+        masks, low = np.concatenate([_masks(x.part, s) for s in radii]), (1 << x.part) - 1
         step = max(1, 500_000 // (len(masks) * x.segments))
         for batch in batches:
             codes, worst = batch.column("asked").to_numpy(), batch.column("worst").to_numpy()
@@ -95,14 +96,16 @@ def top_k(codes: DataFrame, queries: DataFrame, settings: SearchSettings = Searc
     spark = codes.sparkSession
     asked = written(queries.select(F.col("code").alias("asked")).distinct().withColumn("worst", F.lit(x.bits + 1).cast("long")), "asked")
     best, finished = None, []
-    for s in range(x.part + 1):
+    for s in range(min(x.start, x.part), x.part + 1):
+        radii = range(s + 1) if best is None else range(s, s + 1)
         d = [F.bit_count(F.shiftrightunsigned(F.col("asked").bitwiseXOR(F.col("code")), j * x.part).bitwiseAND(F.lit(low))) for j in range(x.segments)]
         segment = F.col("place") % x.segments
+        radius = F.element_at(F.array(*d), (segment + 1).cast("int"))
         new = F.lit(True)
         for j in range(x.segments):  # the pair's first meeting: no part is closer, and no earlier part as close
-            new = new & (d[j] >= s) & ((segment <= j) | (d[j] > s))
+            new = new & (d[j] >= radius) & ((segment <= j) | (d[j] > radius))
         distance = F.bit_count(F.col("asked").bitwiseXOR(F.col("code")))
-        met = lookups(asked, s, x).join(index, "place").where(new & (distance <= F.col("worst")))
+        met = lookups(asked, radii, x).join(index, "place").where(new & (distance <= F.col("worst")))
         met = met.select("asked", "code", distance.alias("distance"))
         # at most k + 1 codes of a query can matter, whatever their ids; equal distances all stay until ids decide
         close = F.rank().over(Window.partitionBy("asked").orderBy("distance"))
@@ -139,7 +142,7 @@ def search_sql(k: int = 10, bits: int = 64, step: int = 50) -> str:
     return f"""
 with codes as (
   select distinct vec_id as id,
-         array_to_string(list_transform(range(1, {bits + 1}), i -> case when embedding[i] > 0 then '1' else '0' end), '') as code
+         array_to_string(list_transform(range(1, {bits + 1}), lambda i: case when embedding[i] > 0 then '1' else '0' end), '') as code
   from embeddings where embedding is not null and vec_id is not null),
 pairs as (
   select q.id as query_id, c.id as neighbor_id, hamming(q.code, c.code) as distance

@@ -183,7 +183,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Nodes of the edges with the smallest node of their component: alternating large and small stars.
+    """All nodes of the edges but the smallest of each component, with that one: alternating large and small stars.
 
     A large star links the greater neighbours of a node with its smallest one, a small star the lesser ones. Both keep
     components; when nothing changes, every node is linked with its component's smallest. A hub is split by adaptive joins.

@@ -118,7 +118,7 @@ def forward_backward(emission: np.ndarray, pair: np.ndarray, first: np.ndarray)
     at = begin
     f[at] /= f[at].sum(1, keepdims=True)
     longest = int(sizes[0]) if len(sizes) else 0
-    live = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="left")  # texts with more than t lines, t from 1
+    live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts with more than t lines
     for t in range(1, longest):
         at = begin[: live[t]] + t
         f[at] *= f[at - 1] @ step

@@ -1,10 +1,10 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree: nodes with the same tags and classes from the root on are one node. For
-every node the tree counts the pages that have it, and how often the pages agree in its presentation (the sequence of
-tags below it) and in its content (the text directly in it). Importance is the entropy of these choices, to the base of the
-number of pages: 0 if all pages show the same, 1 if no two do; ``presentation_share`` weighs the two. Branches of low importance
-are removed. Tags and classes that name a role decide first: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+every node that holds text the tree counts the pages that have it, and how often the pages agree in its presentation (the
+number of blocks it shows) and in its content (their text). Importance is the entropy of these choices, to the base of the
+number of pages: 0 if all pages show the same, 1 if no two do; ``presentation_share`` weighs the two. Nodes of low importance
+are removed with what is below them; a branch whose text is all of low importance goes that way. Tags and classes that name a role decide first: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments have none, and ``article`` and ``main`` are never removed for what they hold, so that copies of an article on
 one host stay. If a page has an article, only articles count.
 
@@ -58,15 +58,6 @@ class TreeSettings:
     presentation_share: float = 0.1
 
 
-@dataclass
-class Node:
-    """A node of one page's tree as it is merged into the site's: its place, and what the page shows there."""
-
-    path: int
-    tags: list[str]
-    content: list[str]
-
-
 def _hash(text: str, seed: int) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed=seed & 0xFFFFFFFFFFFFFFFF)
 
@@ -181,19 +172,11 @@ def _close(stack: list[tuple], name: str) -> None:
 
 
 def page_nodes(page: str) -> dict[int, tuple[int, int]]:
-    """For every node of a page that holds text: hashes of its presentation and of its content."""
-    found: dict[int, Node] = {}
-    for text, (tag, path, _, _, chain) in walk(page):
-        node = found.setdefault(path, Node(path, [], []))
-        node.tags.append(tag)
-        node.content.append(text)
-        above = chain[1] if chain else None
-        if above:
-            found.setdefault(above[0], Node(above[0], [], [])).tags.append(tag)
-    # how many times a node repeats is no presentation of its own: paragraphs of an article merge
-    return {
-        p: (_signed(_hash(" ".join(sorted(set(x.tags))), 1)), _signed(_hash("\n".join(x.content), 2))) for p, x in found.items()
-    }
+    """For every node of a page that holds text itself: how many blocks it shows, and a hash of their text."""
+    found: dict[int, list[str]] = {}
+    for text, (_, path, _, _, _) in walk(page):
+        found.setdefault(path, []).append(text)
+    return {p: (len(x), _signed(_hash("\n".join(x), 2))) for p, x in found.items()}
 
 
 def main_text(page: str, low: set[int]) -> list[str]:

@@ -1,0 +1 @@
+"""The session fixture is that of the folder above."""
