@@ -12,8 +12,8 @@ independent draws. Coordinates are hashed in bands; documents that share a band
 
 Documents with equal sets are one class with the smallest id as its name; only names go on. In a band all members are
 compared with one of them, the member with most companions over all its bands. Components of the links found so are
-formed. Where a band still spans several, its members outside the leader's component are compared with all its members
-of other components, unless size or sketch rule the link out. Bands and sketch test together lose a link at
+formed. Where bands still span several components, pairs across them are compared that share a rare shingle, or that
+share a band and have few enough rare shingles to be linked without (``remaining``), unless size or sketch rule it out. Bands and sketch test together lose a link at
 the threshold with a probability of about 1e-6. All links are confirmed on the full sets.
 
 Defined cases: null text is empty; rows that share an id count as one document with several sets, all in one group;
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -45,6 +45,7 @@ class NearSettings:
     size: int = 120  # coordinates of a sketch; four longs hold two bits of each
     rows: int = 5  # coordinates of a band
     differing: int = 32  # two-bit coordinates in which a linked pair may differ
+    rare: int = 16  # documents that share a shingle which counts as rare
 
     @staticmethod
     def at_80() -> NearSettings:
@@ -209,6 +210,54 @@ def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def main_only(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The sets of the documents in bands that span several components."""
+    return sets.join(members.select("id").distinct(), "id", "left_semi")
+
+
+def remaining(members: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
+    """Pairs of different components that can still be linked; every link between them is among these pairs.
+
+    A shingle is rare if at most ``rare`` of these documents have it. Ordered from the rarest on, the first shingle that
+    two linked documents share is among the first ``n - percent of n + 1`` of both. So a linked pair either shares a rare
+    shingle there, which at most ``rare`` documents do, or shares no rare shingle at all: then neither's rare ones are in
+    the intersection, which bounds it. Only pairs of the second kind are looked for in the bands.
+    """
+    tokens = sets.select("id", F.explode("held").alias("token"))
+    seldom = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= s.rare)
+    held = written(tokens.join(seldom, "token"), "rare")
+    facts = members.dropDuplicates(["id"]).select("id", "n", "component", "s0", "s1", "s2", "s3")
+    counts = held.groupBy("id").agg(F.count(F.lit(1)).alias("r"))
+    facts = written(facts.join(counts, "id", "left").na.fill(0, ["r"]), "facts")
+    common = ["n", "component", "s0", "s1", "s2", "s3", "r"]
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
+
+    x = [F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}")) for i in range(4)]
+    differ = sum(F.bit_count((v.bitwiseOR(F.shiftright(v, 1))).bitwiseAND(F.lit(EVEN_BITS))) for v in x)
+    possible = (
+        (F.col("component") != F.col("o_component"))
+        & (100 * F.least("n", "o_n") >= s.percent * F.greatest("n", "o_n"))
+        & (differ <= s.differing)
+    )
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    first = held.withColumn("place", place).join(facts, "id")
+    first = first.where((F.col("df") > 1) & (100 * (F.col("place") - 1) <= (100 - s.percent) * F.col("n"))).select("id", "token", *common)
+    sharing = first.join(other(first), (F.col("token") == F.col("o_token")) & (F.col("id") < F.col("o_id")) & possible)
+
+    most = F.least(F.col("n") - F.col("r"), F.col("o_n") - F.col("o_r"))
+    enough = 100 * most >= s.percent * (F.col("n") + F.col("o_n") - most)
+    # no partner can make up for too many rare shingles
+    able = members.select("band", "id", "main").join(facts, "id").where(100 * (F.col("n") - F.col("r")) >= s.percent * F.col("n"))
+    outside = other(able.where("component != main"))
+    together = outside.join(
+        able,
+        (F.col("band") == F.col("o_band")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("o_id"))) & possible & enough,
+    )
+    return sharing.select(*ordered("id", "o_id")).unionAll(together.select(*ordered("id", "o_id"))).distinct()
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: NearSettings = NearSettings()
 ) -> DataFrame:
@@ -247,18 +296,7 @@ def near_duplicates(
     )
     facts = names.select("id", "n", "s0", "s1", "s2", "s3")
     members = written(placed.join(torn.join(main, "band").select("band", "main"), "band").join(facts, "id"), "members")
-    outside = members.where("component != main").select(*[F.col(c).alias(f"o_{c}") for c in members.columns])
-    x = [F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}")) for i in range(4)]
-    even = F.lit(EVEN_BITS)
-    differ = sum(F.bit_count((v.bitwiseOR(F.shiftright(v, 1))).bitwiseAND(even)) for v in x)
-    possible = (
-        (F.col("band") == F.col("o_band"))
-        & (F.col("component") != F.col("o_component"))
-        & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("o_id")))
-        & (100 * F.least("n", "o_n") >= s.percent * F.greatest("n", "o_n"))
-        & (differ <= s.differing)
-    )
-    rest = outside.join(members, possible).select(*ordered("id", "o_id")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = remaining(members, main_only(sets, members), s).join(stars, ["a", "b"], "left_anti")
     second = linked(written(rest, "rest"), sets, s.percent)
 
     # rows of one id with several sets hold these together
