@@ -15,7 +15,7 @@ from ..operators import features as ft
 from ..plans import prepare
 from ..session import written
 from . import fixtures as fx
-from .registry import query, table, wide_table
+from .registry import query, table
 
 # English words of the queries: words of the English documents. Good tokens: the part types.
 _ENGLISH_SQL = """
@@ -29,7 +29,7 @@ _SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
 def english_words(spark, folder):
-    found = wide_table(spark, folder, "documents").where("lang = 'en'").select(
+    found = table(spark, folder, "documents").where("lang = 'en'").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")
     )
     return found.where("length(word) > 2").distinct()
@@ -44,7 +44,7 @@ def _upper_items(spark, folder):
 
 
 def _upper_docs(spark, folder):
-    return wide_table(spark, folder, "documents").select("doc_id", cl.upper_text(F.col("text")).alias("text"))
+    return table(spark, folder, "documents").select("doc_id", cl.upper_text(F.col("text")).alias("text"))
 
 
 def _texts(df):
@@ -54,7 +54,7 @@ def _texts(df):
 
 def _back(df, done, key):
     """The texts of the corpus steps beside the rows they came from."""
-    steps = done.select(F.col("id").alias("_id"), F.col("text").alias("_text"))
+    steps = written(done.select(F.col("id").alias("_id"), F.col("text").alias("_text")), "done")
     keyed = df.select(F.col(key), cl.text_id(F.col("text")).alias("_id"))
     return keyed.join(steps, "_id", "left").select(key, F.col("_text").alias("text"))
 
@@ -203,7 +203,7 @@ _DOC_WORDS_SQL = """
     where c in (select c from hyphen) or c in (select c from joined)
        or not contains(c, '-') and {_IN_VOCABULARY.format('c')}""")
 def word_form(spark, folder):
-    words = wide_table(spark, folder, "documents").select(
+    words = table(spark, folder, "documents").select(
         F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z-]+"), F.lit(0))).alias("w")
     ).select(F.lower("w").alias("clean")).distinct()
     english = written(english_words(spark, folder), "english")
@@ -214,7 +214,7 @@ def word_form(spark, folder):
     with english as ({_ENGLISH_SQL}), d as ({_DOC_WORDS_SQL})
     select c as word from d where c in (select word from english) and length(c) > 2""")
 def word_list_semi_join(spark, folder):
-    words = wide_table(spark, folder, "documents").select(
+    words = table(spark, folder, "documents").select(
         F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z-]+"), F.lit(0))).alias("w")
     ).select(F.lower("w").alias("clean")).distinct()
     english = written(english_words(spark, folder), "english")
@@ -308,7 +308,7 @@ def clean_12_collapse(spark, folder):
 
 @query("clean_13_tidy", f"select doc_id, {_SQUEEZE.format('text')} as text from documents")
 def clean_13_tidy(spark, folder):
-    return wide_table(spark, folder, "documents").select("doc_id", cl.tidy_spaces(F.col("text")).alias("text"))
+    return table(spark, folder, "documents").select("doc_id", cl.tidy_spaces(F.col("text")).alias("text"))
 
 
 @query("append_markers", fx.with_views("loose", body=r"""
@@ -360,11 +360,11 @@ def prepare_items(spark, folder):
            as unique_bigrams, count(distinct w) + count(distinct case when x is not null then w || ' ' || x end)
            as unique_unigrams_plus_bigrams from p""")
 def ngram_stats(spark, folder):
-    return ft.ngram_stats(wide_table(spark, folder, "documents"), "text")
+    return ft.ngram_stats(table(spark, folder, "documents"), "text")
 
 
 @query("top_tokens", r"""
     select token, count(*) as count from (select unnest(regexp_extract_all(text, '\S+')) as token from documents)
     group by token order by count(*) desc, token limit 25""")
 def top_tokens(spark, folder):
-    return ft.top_tokens(wide_table(spark, folder, "documents"), "text")
+    return ft.top_tokens(table(spark, folder, "documents"), "text")

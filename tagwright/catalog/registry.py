@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,14 +22,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# Tables whose queries do much work per row; a file that is one split would keep it in one task.
-_SPREAD = {"documents": "doc_id", "lineitem": "l_orderkey"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table over all cores if it has fewer file splits than that."""
-    return spread(table(spark, folder, name), _SPREAD[name])

@@ -7,6 +7,7 @@ good tokens, both too long to state here.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # One unit per line, ``ABBREVIATION = form, form``. ``~`` marks a form that only counts after a number,
@@ -116,7 +117,7 @@ COLOR_ABBREV, FST GRN, NBLU, RBLU, SBLU, AMB, BEI, BLK, BLU, BRN, CLR, GLD, GRN,
 TAN, TRQ, VLT, WHT, YLW, BK, BL, CH, GY, LM, NV, OG, OR, RD, SV, WH, YW
 """
 
-# Clothing sizes; trouser lengths and waists from 28 to 58 follow by rule.
+# Clothing sizes; trouser lengths 28L to 58L and waists X28 to X58 are listed one by one in the range below.
 CLOTHING_SIZES = """
 SIZES, MEDIUMLARGE, SMALL, MEDIUM, LARGE, EXTRALARGE, EXTRA LARGE, XXS, XS, S, ST, SM, M, MED, MD, MT, L, LRG, LG, LT, X,
 XL, XLT, XLRG, XXL, 2XL, 2X, 2XLT, XXXL, 3X, 3XL, 3XLT, XXXXL, 4X, 4XL, 4XLT, XXXXXL, 5X, 5XL, 5XLT
@@ -133,20 +134,21 @@ def terms_of(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in (" ".join(p.split()) for p in text.split(",")) if t))
 
 
+_UNIT_LINE = re.compile(r"\s*(?P<before>>*)\s*(?P<short>[^=]*?)\s*=(?P<forms>.*)")
+_UNIT_FORM = re.compile(r"\s*(?P<needs_number>~*)\s*(?P<form>[^,]*[^,\s])")
+
+
 def units_of(text: str) -> list[dict]:
     """Unit lines as dicts; the table form of the same lines is ``sources.scan_units``."""
-    units = []
-    for line in filter(None, map(str.strip, text.splitlines())):
-        name, _, forms = line.partition("=")
-        cleaned = [" ".join(f.upper().split()) for f in forms.split(",")]
-        units.append(
-            {
-                "abbrev": name.strip().lstrip(">").strip().upper(),
-                "prefix": name.strip().startswith(">"),
-                "forms": [(f.lstrip("~").strip(), f.startswith("~")) for f in cleaned if f],
-            }
-        )
-    return units
+
+    def unit(line: str) -> dict:
+        found = _UNIT_LINE.fullmatch(line)
+        if not found:
+            raise ValueError(f"expected 'ABBREVIATION = form, form', got {line!r}")
+        forms = [(re.sub(r"\s+", " ", f["form"].upper()), bool(f["needs_number"])) for f in _UNIT_FORM.finditer(found["forms"])]
+        return {"abbrev": found["short"].upper(), "prefix": bool(found["before"]), "forms": forms}
+
+    return [unit(line) for line in text.splitlines() if line.strip()]
 
 
 def default_colors() -> list[str]:

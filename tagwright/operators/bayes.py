@@ -2,8 +2,7 @@
 
 A *class* at depth d is the first d labels of a path, so one label under two parents is two classes. Tables:
 
-``vocabulary``  split, term, df, total, idf, tid, reach   terms numbered from the most frequent down; ``reach`` is the
-                                                          number of weights of this and all terms before
+``vocabulary``  split, term, df, total, idf, tid          ``tid`` is what a term is called in the joins of a prediction
 ``classes``     split, code, depth, class, parent, n, total, n_features   numbered by depth, then in label order
 ``weights``     split, tid, code, fc                      feature sums, zeros left out
 ``sums``        split, doc, code, s_0 .. s_k              per class: sum of x * ln(1 + fc / alpha_i)
@@ -17,9 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, at_most
-from .running import running_totals
-
 # Copies of a class table that is too large to broadcast.
 SALTS = 256
 
@@ -99,15 +95,9 @@ def coded(classes: DataFrame) -> DataFrame:
     return classes.withColumn("code", F.row_number().over(order) - 1)
 
 
-def numbered(vocabulary: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds ``tid`` and ``reach`` to the vocabulary: the terms with the most documents come first."""
-    widths = counts.groupBy("split", "term").agg(F.count("*").alias("_w"))
-    wide = vocabulary.join(widths, ["split", "term"], "left").withColumn("_w", F.coalesce("_w", F.lit(0)))
-    order = [F.desc("df"), F.col("term")]
-    return (
-        running_totals(wide, ["split"], order, {"tid": F.lit(1), "reach": F.col("_w")})
-        .withColumn("tid", (F.col("tid") - 1).cast("int")).drop("_w")
-    )
+def keyed(vocabulary: DataFrame) -> DataFrame:
+    """Adds ``tid``, what a term is called in the joins of a prediction; null there means a term outside the vocabulary."""
+    return vocabulary.withColumn("tid", F.col("term"))
 
 
 # ---- scoring --------------------------------------------------------------------------------------------------
@@ -120,45 +110,34 @@ def row_sums(docs: DataFrame, x: DataFrame) -> DataFrame:
     )
 
 
-def lookup_term_weights(
-    x: DataFrame, weights: DataFrame, alphas=(1.0,), broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def lookup_term_weights(x: DataFrame, weights: DataFrame, alphas=(1.0,)) -> DataFrame:
     """``split, doc, code, s_0 ..``: the sparse product of documents and class weights, one sum per alpha.
 
-    Up to ``broadcast_rows`` weights the table goes to every task. Beyond that documents and weights meet by term
-    number, and adaptive execution splits the terms that many documents have.
+    Documents and weights meet by term; adaptive execution splits the terms that many documents have, or sends the
+    weights to every task if their bytes allow it.
     """
-    small = at_most(weights, broadcast_rows)
-    joined = x.join(F.broadcast(weights) if small else weights, ["split", "tid"])
-    sums = [F.sum(F.col("x") * F.log1p(F.col("fc") / F.lit(float(a)))).alias(f"s_{i}") for i, a in enumerate(alphas)]
-    return joined.groupBy("split", "doc", "code").agg(*sums)
+    names = [f"s_{i}" for i in range(len(alphas))]
+    logs = [F.log1p(F.col("fc") / F.lit(float(a))).alias(n) for a, n in zip(alphas, names)]
+    joined = x.join(weights.select("split", "tid", "code", *logs), ["split", "tid"])
+    return joined.groupBy("split", "doc", "code").agg(*[F.sum(F.col("x") * F.col(n)).alias(n) for n in names])
 
 
 def joint_log_likelihood(docs: DataFrame, sums: DataFrame, params: DataFrame) -> DataFrame:
     """``split, doc, code, depth, class, parent, jll`` for every document and class.
 
-    The result has documents x classes rows by definition. ``docs``: ``split, doc, rs``; every class of the split
-    gets the part of the likelihood that needs no term, and the sparse sums are added by one aggregation.
+    The result has documents x classes rows by definition: it is for a look inside, :mod:`.scoring` predicts without.
+    ``docs``: ``split, doc, rs``; every class of the split gets the part of the likelihood that needs no term, and the
+    sparse sums are added by one aggregation. Copies of the class table meet the documents of one salt each.
     """
-    names = params.select("split", "code", "depth", "class", "parent")
-    if at_most(params, BROADCAST_ROWS):
-        names, placed, on = F.broadcast(names), docs, ["split"]
-        per_class = F.broadcast(params.select("split", "code", "const", "prior"))
-    else:
-        # a tree too large to broadcast: copies of it meet the documents of one salt each
-        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        placed = docs.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-        per_class = params.select("split", "code", "const", "prior", copies.alias("_salt"))
-        on = ["split", "_salt"]
-    spine = placed.join(per_class, on).select(
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    placed = docs.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    per_class = params.select("split", "code", "const", "prior", copies.alias("_salt"))
+    spine = placed.join(per_class, ["split", "_salt"]).select(
         "split", "doc", "code", (F.col("rs") * F.col("const") + F.col("prior")).alias("v")
     )
     sparse = sums.select("split", "doc", "code", F.col("s_0").alias("v"))
-    added = (
-        spine.unionByName(sparse).repartition("split", "doc")
-        .groupBy("split", "doc", "code").agg(F.sum("v").alias("jll"))
-    )
-    return added.join(names, ["split", "code"])
+    added = spine.unionByName(sparse).groupBy("split", "doc", "code").agg(F.sum("v").alias("jll"))
+    return added.join(params.select("split", "code", "depth", "class", "parent"), ["split", "code"])
 
 
 def log_softmax(scores: DataFrame, group, value: str = "jll", name: str = "lp") -> DataFrame:

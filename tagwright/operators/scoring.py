@@ -1,13 +1,12 @@
-"""Predictions from one row per document: Spark gathers the features, a small array step scores the classes.
+"""Predictions from one row per document: Spark multiplies terms with class weights, a small array step scores the classes.
 
 A document is scored against all classes at once, because the softmax needs them together. One row per document and
-class would be documents x classes rows through the engine; here a document is one row of term numbers and values,
-and a batch of them is multiplied with the class weights as arrays inside the task.
+class would be documents x classes rows through the engine; here the sparse product of terms and weights is a join and
+an aggregation, its sums are gathered in the document's row, and a batch of rows is completed to all classes as arrays
+inside the task. The steps of a batch are cut by the cells they fill, so a task holds the same for long and short texts.
 
-Two things go along with the tasks, and both are bounded. The class table has the size of the tree; a tree beyond
-``MAX_CLASSES`` takes :func:`.bayes.predictions_by_rows` instead. Of the weights, the most frequent terms up to
-``MAX_WEIGHTS`` go along: they are the skewed join keys and the ones with the most classes. The rare terms beyond are
-joined by a shuffle, have few classes each, and arrive as finished sums in the document's row.
+The class table goes along with the tasks: it is the label tree, a row per label, and a task must hold one score per
+class of a document anyway. The weights stay behind.
 """
 
 from __future__ import annotations
@@ -21,12 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bayes
-from ..session import at_most
+from ..session import written
 
-MAX_CLASSES = 200_000
-MAX_WEIGHTS = 8_000_000
-# Cells of the dense score arrays per step, to bound the memory of a task.
-MAX_CELLS = 4_000_000
+# Cells of the dense score arrays per step, at least one document: the memory of a task, not what it computes.
+STEP_CELLS = 2_000_000
 QUALITY = ("n_tokens", "n_known")
 
 
@@ -52,9 +49,9 @@ class Level:
 
 
 class Tree:
-    """Classes and the frequent weights of one split as arrays."""
+    """Classes of one split as arrays."""
 
-    def __init__(self, classes: list, depth: int, tid: np.ndarray, code: np.ndarray, fc: np.ndarray):
+    def __init__(self, classes: list, depth: int):
         classes = sorted(classes, key=lambda r: r.code)
         self.size = len(classes)
         by_depth = [[r for r in classes if r.depth == d] for d in range(1, depth + 1)]
@@ -76,24 +73,6 @@ class Tree:
                     np.flatnonzero(np.r_[True, of_path[1:] != of_path[:-1]]),
                 )
             )
-        order = np.argsort(tid, kind="stable")
-        self.code, self.fc = code[order], fc[order]
-        self.starts = np.searchsorted(tid[order], np.arange(tid.max(initial=-1) + 2))
-        self._log_weights: dict[float, np.ndarray] = {}
-
-    def sums(self, row: np.ndarray, tid: np.ndarray, x: np.ndarray, rows: int, alpha: float) -> np.ndarray:
-        """Documents x classes: the sum of x * ln(1 + fc / alpha) over the terms of each document."""
-        if alpha not in self._log_weights:
-            self._log_weights[alpha] = np.log1p(self.fc / alpha)
-        weighted = tid < len(self.starts) - 1
-        row, tid, x = row[weighted], tid[weighted], x[weighted]
-        first = self.starts[tid]
-        width = self.starts[tid + 1] - first
-        # for every (document, term) the run of its weights, laid end to end
-        entry = np.repeat(first - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-        cell = np.repeat(row * self.size, width) + self.code[entry]
-        value = np.repeat(x, width) * self._log_weights[alpha][entry]
-        return np.bincount(cell, value, rows * self.size).astype(float, copy=False).reshape(rows, self.size)
 
     def likelihoods(self, sums: np.ndarray, rs: np.ndarray, alpha: float, fit_prior: bool) -> list[np.ndarray]:
         """Joint log likelihood of every class, one documents x classes array per level."""
@@ -145,15 +124,13 @@ def _end_to_end(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), lengths), flat
 
 
-def _sums(tree: Tree, part: pd.DataFrame, alphas: list[float]) -> list[np.ndarray]:
-    """Class sums of the documents per alpha: frequent terms by the weights here, the others as they came."""
-    row, tid = _end_to_end(part["tids"], np.int64)
-    _, x = _end_to_end(part["xs"], float)
-    far_row, far_code = _end_to_end(part["codes"], np.int64)
+def _sums(tree: Tree, part: pd.DataFrame, n_alphas: int) -> list[np.ndarray]:
+    """Class sums of the documents per alpha, documents x classes."""
+    row, code = _end_to_end(part["codes"], np.int64)
     out = []
-    for i, alpha in enumerate(alphas):
-        dense = tree.sums(row, tid, x, len(part), alpha)
-        dense[far_row, far_code] += _end_to_end(part[f"s_{i}"], float)[1]
+    for i in range(n_alphas):
+        dense = np.zeros((len(part), tree.size))
+        dense[row, code] = _end_to_end(part[f"s_{i}"], float)[1]
         out.append(dense)
     return out
 
@@ -161,7 +138,7 @@ def _sums(tree: Tree, part: pd.DataFrame, alphas: list[float]) -> list[np.ndarra
 def _predictions(candidates: list, alphas: list[float]):
     def score(tree: Tree, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         rs = part["rs"].to_numpy()
-        sums = _sums(tree, part, alphas)
+        sums = _sums(tree, part, len(alphas))
         for candidate, alpha, fit_prior, mode in candidates:
             likelihoods = tree.likelihoods(sums[alphas.index(alpha)], rs, alpha, fit_prior)
             best, confidence, margin = tree.best(tree.scores(likelihoods, mode))
@@ -181,7 +158,7 @@ def _values(what: str, alpha: float, fit_prior: bool):
     """One array per document: ``jll`` or ``proba`` of every class, ``best`` class per level, or a mode's path scores."""
 
     def score(tree: Tree, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        likelihoods = tree.likelihoods(_sums(tree, part, [alpha])[0], part["rs"].to_numpy(), alpha, fit_prior)
+        likelihoods = tree.likelihoods(_sums(tree, part, 1)[0], part["rs"].to_numpy(), alpha, fit_prior)
         if what == "jll":
             values = np.hstack(likelihoods)
         elif what == "proba":
@@ -205,76 +182,45 @@ def _in_steps(trees, score):
         for batch in batches:
             for split, part in batch.groupby("split", sort=False):
                 tree = held[int(split)]
-                rows = max(1, MAX_CELLS // tree.size)
+                rows = max(1, STEP_CELLS // tree.size)
                 for at in range(0, len(part), rows):
                     yield from score(tree, part.iloc[at : at + rows])
 
     return run
 
 
-def _trees(model, near: DataFrame, depth: int) -> dict[int, Tree]:
-    """Class and weight arrays per split. Both tables were checked against their bounds."""
+def _trees(model, depth: int) -> dict[int, Tree]:
+    """Class arrays per split."""
     classes: dict[int, list] = {}
-    for r in model.classes.collect():
+    for r in model.classes.collect():  # the label tree
         classes.setdefault(r.split, []).append(r)
-    columns = near.select("split", "tid", "code", "fc").toArrow()
-    split, tid, code, fc = (columns[c].to_numpy() for c in ("split", "tid", "code", "fc"))
-    return {
-        s: Tree(rows, depth, tid[split == s], code[split == s].astype(np.int64), fc[split == s])
-        for s, rows in classes.items()
-    }
-
-
-def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth: int, max_weights: int):
-    """One row per document with its terms and, for terms whose weights stay behind, its class sums; and the arrays."""
-    all_near = at_most(model.weights, max_weights)
-    if all_near:
-        near, terms = model.weights, F.lit(True)
-    else:
-        # terms in order of frequency, until their weights reach the share of the bound that is left to each split
-        n_splits = model.classes.select("split").distinct().count()
-        frequent = F.col("reach") <= max_weights // n_splits
-        last = F.coalesce(F.max(F.when(frequent, F.col("tid"))), F.lit(-1)).alias("last")
-        terms = F.lit(False)
-        for r in model.vocabulary.groupBy("split").agg(last).collect():  # one row per split
-            terms |= (F.col("split") == r.split) & (F.col("tid") <= r.last)
-        near = model.weights.where(terms)
-    valued = F.col("x").isNotNull()
+    return {s: Tree(rows, depth) for s, rows in classes.items()}
+
+
+def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth: int):
+    """One row per document with its class sums, and the class arrays."""
+    valued = written(x, "features")
     quality = [
         F.sum("words").alias("n_tokens"), F.sum(F.when(F.col("tid").isNotNull(), F.col("words"))).alias("n_known")
     ] if "words" in x.columns else []
-    gathered = (
-        x.groupBy("split", "doc")
-        .agg(F.sum("x").alias("rs"), F.collect_list(F.when(valued & terms, F.struct("tid", "x"))).alias("_e"), *quality)
-        .withColumns({"tids": F.col("_e.tid"), "xs": F.col("_e.x")}).drop("_e")
-    )
-    per_doc = docs.select("split", "doc").join(gathered, ["split", "doc"], "left")
+    totals = valued.groupBy("split", "doc").agg(F.sum("x").alias("rs"), *quality)
     names = [f"s_{i}" for i in range(len(alphas))]
-    if not all_near:
-        sums = bayes.lookup_term_weights(x.where(valued & ~terms), model.weights.where(~terms), alphas)
-        rest = sums.groupBy("split", "doc").agg(F.collect_list(F.struct("code", *names)).alias("_f"))
-        per_doc = per_doc.join(rest, ["split", "doc"], "left").withColumns(
-            {"codes": F.col("_f.code"), **{n: F.col(f"_f.{n}") for n in names}}
-        ).drop("_f")
+    sums = bayes.lookup_term_weights(valued.where("x is not null"), model.weights, alphas)
+    listed = sums.groupBy("split", "doc").agg(F.collect_list(F.struct("code", *names)).alias("_f"))
+    per_doc = docs.select("split", "doc").join(totals, ["split", "doc"], "left").join(listed, ["split", "doc"], "left")
 
-    def listed_or_empty(name: str, kind: str):
-        empty = F.array().cast(f"array<{kind}>")
-        return (F.coalesce(name, empty) if name in per_doc.columns else empty).alias(name)
+    def or_empty(name: str, kind: str):
+        return F.coalesce(F.col(f"_f.{name}"), F.array().cast(f"array<{kind}>"))
 
     ready = per_doc.select(
         F.col("split").cast("int").alias("split"), "doc", F.coalesce("rs", F.lit(0.0)).alias("rs"),
-        listed_or_empty("tids", "int"), listed_or_empty("xs", "double"), listed_or_empty("codes", "int"),
-        *[listed_or_empty(n, "double") for n in names],
+        or_empty("code", "int").alias("codes"), *[or_empty(n, "double").alias(n) for n in names],
         *[F.coalesce(n, F.lit(0)).alias(n) for n in QUALITY if n in per_doc.columns],
     )
-    trees = docs.sparkSession.sparkContext.broadcast(_trees(model, near, depth))
-    return ready, trees
+    return ready, docs.sparkSession.sparkContext.broadcast(_trees(model, depth))
 
 
-def predict(
-    docs: DataFrame, x: DataFrame, model, candidates: list, depth: int, max_classes: int = MAX_CLASSES,
-    max_weights: int = MAX_WEIGHTS,
-) -> DataFrame:
+def predict(docs: DataFrame, x: DataFrame, model, candidates: list, depth: int) -> DataFrame:
     """``candidate, split, doc, path, confidence, margin[, n_tokens, n_known]`` for every document and candidate.
 
     ``docs``: ``split, doc``; ``x``: ``split, doc, tid, x``, and for the last two columns ``words``, with the terms
@@ -283,9 +229,7 @@ def predict(
     """
     listed = [(c[0], float(c[1]), bool(c[2]), c[3]) for c in candidates]
     alphas = list(dict.fromkeys(c[1] for c in listed))
-    if not at_most(model.classes, max_classes):
-        return _predict_by_rows(docs, x, model, listed, alphas, depth)
-    ready, trees = _gathered(docs, x, model, alphas, depth, max_weights)
+    ready, trees = _gathered(docs, x, model, alphas, depth)
     doc = ready.schema["doc"].dataType.simpleString()
     quality = [c for c in QUALITY if c in ready.columns]
     scored = ready.mapInPandas(
@@ -294,23 +238,20 @@ def predict(
         + "".join(f", {c} bigint" for c in quality),
     )
     paths = model.classes.where(F.col("depth") == depth).select("split", "code", F.col("class").alias("path"))
-    return scored.join(F.broadcast(paths), ["split", "code"]).select(  # part of the class table checked above
+    return scored.join(paths, ["split", "code"]).select(
         "candidate", "split", "doc", "path", "confidence", "margin", *quality
     )
 
 
 def class_values(
-    docs: DataFrame, x: DataFrame, model, what: str, alpha: float, fit_prior: bool, depth: int,
-    max_classes: int = MAX_CLASSES, max_weights: int = MAX_WEIGHTS,
+    docs: DataFrame, x: DataFrame, model, what: str, alpha: float, fit_prior: bool, depth: int
 ) -> DataFrame:
     """The scores themselves, for a look inside: documents x classes rows by definition.
 
     ``what``: ``jll`` or ``proba`` of every class, the ``best`` class of every level, or the path scores of a mode,
     as ``split, doc, depth, class, value`` (no value for ``best``).
     """
-    if not at_most(model.classes, max_classes):
-        return _class_values_by_rows(docs, x, model, what, alpha, fit_prior, depth)
-    ready, trees = _gathered(docs, x, model, [float(alpha)], depth, max_weights)
+    ready, trees = _gathered(docs, x, model, [float(alpha)], depth)
     doc = ready.schema["doc"].dataType.simpleString()
     arrays = ready.mapInPandas(
         _in_steps(trees, _values(what, float(alpha), fit_prior)), f"split int, doc {doc}, values array<double>"
@@ -318,44 +259,12 @@ def class_values(
     names = model.classes.select("split", "code", "depth", "class")
     if what == "best":
         rows = arrays.select("split", "doc", F.explode(F.col("values").cast("array<int>")).alias("code"))
-        return rows.join(F.broadcast(names), ["split", "code"]).select("split", "doc", "depth", "class")
+        return rows.join(names, ["split", "code"]).select("split", "doc", "depth", "class")
     if what not in ("jll", "proba"):
         first = Window.partitionBy("split")  # as many rows as the tree has classes
         names = names.where(F.col("depth") == depth).withColumn("code", F.col("code") - F.min("code").over(first))
     return (
         arrays.select("split", "doc", F.posexplode("values").alias("code", "value"))
-        .join(F.broadcast(names), ["split", "code"])
+        .join(names, ["split", "code"])
         .select("split", "doc", "depth", "class", "value")
     )
-
-
-def _class_values_by_rows(docs, x, model, what: str, alpha: float, fit_prior: bool, depth: int) -> DataFrame:
-    sums = bayes.lookup_term_weights(x, model.weights, [alpha])
-    params = bayes.class_params(model.classes, alpha, fit_prior)
-    jll = bayes.joint_log_likelihood(bayes.row_sums(docs, x), sums, params)
-    if what == "best":
-        return bayes.flat_predict(jll)
-    if what in ("jll", "proba"):
-        rows = jll.withColumn("value", F.col("jll")) if what == "jll" else bayes.flat_proba(jll).withColumn("value", F.col("proba"))
-        return rows.select("split", "doc", "depth", "class", "value")
-    scores = bayes.path_scores(jll, depth, what)
-    return scores.select("split", "doc", F.lit(depth).alias("depth"), F.col("path").alias("class"), F.col("score").alias("value"))
-
-
-def _predict_by_rows(docs: DataFrame, x: DataFrame, model, listed: list, alphas: list, depth: int) -> DataFrame:
-    sums = bayes.lookup_term_weights(x.where("x is not null"), model.weights, alphas)
-    totals = bayes.row_sums(docs, x)
-    out = None
-    for candidate, alpha, fit_prior, mode in listed:
-        of_alpha = sums.withColumn("s_0", F.col(f"s_{alphas.index(alpha)}"))
-        one = bayes.predictions_by_rows(
-            totals, of_alpha, model.classes, depth, alpha, fit_prior, mode
-        ).select(F.lit(candidate).cast("int").alias("candidate"), "*")
-        out = one if out is None else out.unionByName(one)
-    if "words" not in x.columns:
-        return out
-    known = F.sum(F.when(F.col("tid").isNotNull(), F.col("words")))
-    counted = x.groupBy("split", "doc").agg(F.sum("words").alias("n_tokens"), known.alias("n_known"))
-    return out.join(counted, ["split", "doc"], "left").fillna(0, list(QUALITY)).select(
-        "candidate", "split", "doc", "path", "confidence", "margin", *QUALITY
-    )

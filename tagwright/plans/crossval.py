@@ -127,8 +127,8 @@ class Evaluation:
         found = cls(spark, folder)
         if cv is not None and cv.relevant() != found.cv.relevant():
             raise ValueError(f"split settings differ: saved {found.cv.relevant()}, given {cv.relevant()}")
-        have = {json.dumps(c.effective(), sort_keys=True) for c in found.candidates}
-        new = [c for c in candidates or [] if json.dumps(c.effective(), sort_keys=True) not in have]
+        have = {json.dumps(c.working(), sort_keys=True) for c in found.candidates}
+        new = [c for c in candidates or [] if json.dumps(c.working(), sort_keys=True) not in have]
         if new:
             found.candidates += new
             found.config["candidates"] = [c.as_dict() for c in found.candidates]

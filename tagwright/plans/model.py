@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import CleaningSettings
@@ -16,22 +16,18 @@ from ..operators import bayes, features as ft, scoring
 from ..operators.joins import attach_names
 from ..operators.running import running_totals
 from ..operators.splits import train_splits
-from ..session import at_most, written
+from ..session import written
 from .prepare import clean_dataframe
 from .settings import ModelSettings
 
 
-# Groups up to this number are numbered in one task.
-FEW_GROUPS = 500_000
-
-
 @dataclass
 class Model:
     """Fitted tables. Alpha, prior and mode are not in them: they are applied at prediction."""
 
     settings: ModelSettings
     levels: list[str]
-    vocabulary: DataFrame  # split, term, df, total, idf, tid, reach
+    vocabulary: DataFrame  # split, term, df, total, idf, tid
     weights: DataFrame     # split, tid, code, fc
     classes: DataFrame     # split, code, depth, class, parent, n, total, n_features
 
@@ -63,10 +59,7 @@ def documents(df: DataFrame, key: str, text_col: str, levels, tests: Column | No
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     full = df.select(F.col(f"`{key}`").alias("doc"), text.alias("text"), bayes.path_of(levels).alias("path"), held.alias("tests"))
     sizes = written(full.groupBy("path", "tests").agg(F.count("*").alias("n")), "groups")
-    if at_most(sizes, FEW_GROUPS):
-        groups = sizes.withColumn("grp", F.row_number().over(Window.orderBy("path", "tests")))
-    else:  # many repeats give many combinations of splits
-        groups = running_totals(sizes, [], [F.col("path"), F.col("tests")], {"grp": F.lit(1)})
+    groups = running_totals(sizes, [], [F.col("path"), F.col("tests")], {"grp": F.lit(1)})
     return Documents(full.join(groups.drop("n"), ["path", "tests"]).select("doc", "text", "grp"), groups)
 
 
@@ -152,7 +145,7 @@ def fit(
         .withColumn("parent", F.slice("class", F.lit(1), F.col("depth") - 1))
     )
     classes = written(bayes.coded(bayes.class_totals(sizes, counts, n_features)), "classes")
-    vocabulary = written(bayes.numbered(vocabulary, counts), "vocabulary")
+    vocabulary = bayes.keyed(vocabulary)
     weights = written(
         counts.join(classes.select("split", "depth", "class", "code"), ["split", "depth", "class"])
         .join(vocabulary.select("split", "term", "tid"), ["split", "term"])
@@ -163,7 +156,7 @@ def fit(
 
 
 def predict(
-    model: Model, docs: DataFrame, terms: DataFrame, candidates: list[tuple] | None = None, **options
+    model: Model, docs: DataFrame, terms: DataFrame, candidates: list[tuple] | None = None
 ) -> DataFrame:
     """``candidate, split, doc, path, confidence, margin, n_tokens, n_known``.
 
@@ -173,19 +166,19 @@ def predict(
     s = model.settings
     candidates = candidates or [(0, s.alpha, s.fit_prior, s.prediction_mode)]
     x = ft.features(terms, model.vocabulary, s, unknown=True).select("split", "doc", "tid", "x", "words")
-    return scoring.predict(docs, x, model, candidates, model.depth, **options)
+    return scoring.predict(docs, x, model, candidates, model.depth)
 
 
 def class_values(
     model: Model, docs: DataFrame, terms: DataFrame, what: str, alpha: float | None = None,
-    fit_prior: bool | None = None, **options,
+    fit_prior: bool | None = None,
 ) -> DataFrame:
     """``split, doc, depth, class, value``: see :func:`.scoring.class_values`."""
     s = model.settings
     x = ft.features(terms, model.vocabulary, s).select("split", "doc", "tid", "x")
     return scoring.class_values(
         docs, x, model, what, s.alpha if alpha is None else alpha, s.fit_prior if fit_prior is None else fit_prior,
-        model.depth, **options,
+        model.depth,
     )
 
 

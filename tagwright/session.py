@@ -7,11 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a side may have to be sent to every executor. The count is taken from a written table, so it is the
-# Parquet footer total and not a scan; a larger side takes the shuffle plan of the same operator.
-BROADCAST_ROWS = 2_000_000
-
-
 def build_session(app: str = "tagwright", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Local session for tests and the benchmark. On a cluster the submitted session is used as it is."""
     return (
@@ -70,12 +65,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A written table with fewer file splits than there are cores, over all cores; a larger table as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def placed(df: DataFrame, key: str) -> DataFrame:
     """``df`` partitioned by ``key`` into the session's number of shuffle partitions.
 
@@ -83,8 +72,3 @@ def placed(df: DataFrame, key: str) -> DataFrame:
     texts into one task. The number is named, so it is kept.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
-    return df.limit(rows + 1).count() <= rows

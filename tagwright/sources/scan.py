@@ -147,21 +147,14 @@ def scan_units(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def term_list(terms: DataFrame, limit: int = 10_000) -> list[str]:
-    """The terms for a pattern; their number is checked."""
-    rows = terms.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} terms")
-    return sorted(r.term for r in rows)
-
-
-def unit_list(units: DataFrame, limit: int = 10_000) -> list[dict]:
-    """The unit table as the dicts the pattern builder takes. A pattern needs its terms on the driver, so the
-    number of units is checked."""
-    rows = units.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} units")
+def term_list(terms: DataFrame) -> list[str]:
+    """The terms for a pattern. A pattern is made on the driver; the lists are settings, kept by hand."""
+    return sorted(r.term for r in terms.collect())
+
+
+def unit_list(units: DataFrame) -> list[dict]:
+    """The unit table as the dicts the pattern builder takes; a setting too."""
     return [
         {"abbrev": r.abbrev, "prefix": r.prefix, "forms": [(f.form, f.number_only) for f in r.forms]}
-        for r in sorted(rows)
+        for r in sorted(units.collect())
     ]

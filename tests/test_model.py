@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagwright.operators import bayes
+from tagwright.operators import bayes, features as ft
 from tagwright.plans import model as pm
 from tagwright.plans.settings import ModelSettings
 from tagwright.session import written
@@ -136,29 +136,19 @@ def test_predictions_match_dense(fitted, kind):
             np.testing.assert_allclose(np.exp(scores).sum(1), 1)
 
 
-@pytest.mark.parametrize("options", [{"max_classes": 3}, {"max_weights": 200}, {"max_weights": 0}])
-def test_larger_than_the_bounds_gives_the_same(fitted, options):
+def test_predictions_match_those_by_rows(fitted):
     _, asked, models = fitted
     model, terms = models["tfidf"]
-    one, other = _predicted(model, asked, terms), _predicted(model, asked, terms, **options)
-    assert list(one.path.map(tuple)) == list(other.path.map(tuple))
-    for column in ("confidence", "margin"):
-        np.testing.assert_allclose(np.stack(one[column]), np.stack(other[column]), atol=1e-12)
-
-
-@pytest.mark.parametrize("what", ["jll", "conditional", "best"])
-def test_class_values_match_rows(fitted, what):
-    _, asked, models = fitted
-    model, terms = models["count"]
-
-    def table(**options):
-        rows = pm.class_values(model, asked, terms, what, 0.1, True, **options)
-        return {(r.doc, r.depth, tuple(r["class"])): r.asDict().get("value") for r in rows.collect()}
-
-    one, other = table(), table(max_classes=3)
-    assert one.keys() == other.keys()
-    if what != "best":
-        np.testing.assert_allclose([one[k] for k in one], [other[k] for k in one], atol=1e-9)
+    one = _predicted(model, asked, terms)
+    x = ft.features(terms, model.vocabulary, model.settings).select("split", "doc", "tid", "x")
+    for candidate, alpha, prior, mode in CANDIDATES:
+        sums = bayes.lookup_term_weights(x, model.weights, [alpha])
+        rows = bayes.predictions_by_rows(bayes.row_sums(asked, x), sums, model.classes, 3, alpha, prior, mode)
+        other = {r.doc: r for r in rows.collect()}
+        mine = one[one.candidate == candidate]
+        assert [tuple(p) for p in mine.path] == [tuple(other[d].path) for d in mine.doc]
+        for column in ("confidence", "margin"):
+            np.testing.assert_allclose(np.stack(mine[column]), np.stack([other[d][column] for d in mine.doc]), atol=1e-9)
 
 
 def test_likelihood_matches_dense(fitted):
