@@ -215,7 +215,7 @@ def main_only(sets: DataFrame, members: DataFrame) -> DataFrame:
     return sets.join(members.select("id").distinct(), "id", "left_semi")
 
 
-def remaining(members: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
+def remaining(members: DataFrame, names: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
     """Pairs of different components that can still be linked; every link between them is among these pairs.
 
     A shingle is rare if at most ``rare`` of these documents have it. Ordered from the rarest on, the first shingle that
@@ -226,7 +226,7 @@ def remaining(members: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame
     tokens = sets.select("id", F.explode("held").alias("token"))
     seldom = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= s.rare)
     held = written(tokens.join(seldom, "token"), "rare")
-    facts = members.dropDuplicates(["id"]).select("id", "n", "component", "s0", "s1", "s2", "s3")
+    facts = members.select("id", "component").distinct().join(names.select("id", "n", "s0", "s1", "s2", "s3", "bands"), "id")
     counts = held.groupBy("id").agg(F.count(F.lit(1)).alias("r"))
     facts = written(facts.join(counts, "id", "left").na.fill(0, ["r"]), "facts")
     common = ["n", "component", "s0", "s1", "s2", "s3", "r"]
@@ -251,9 +251,11 @@ def remaining(members: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame
     # no partner can make up for too many rare shingles
     able = members.select("band", "id", "main").join(facts, "id").where(100 * (F.col("n") - F.col("r")) >= s.percent * F.col("n"))
     outside = other(able.where("component != main"))
+    # a pair that shares several bands is taken in one of them
+    once = F.array_min(F.array_intersect("bands", "o_bands")) == F.col("band")
     together = outside.join(
         able,
-        (F.col("band") == F.col("o_band")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("o_id"))) & possible & enough,
+        (F.col("band") == F.col("o_band")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("o_id"))) & possible & enough & once,
     )
     return sharing.select(*ordered("id", "o_id")).unionAll(together.select(*ordered("id", "o_id"))).distinct()
 
@@ -294,9 +296,8 @@ def near_duplicates(
     main = leaders.join(groups, leaders["leader"] == groups["id"], "left").select(
         "band", F.coalesce("component", "leader").alias("main")
     )
-    facts = names.select("id", "n", "s0", "s1", "s2", "s3")
-    members = written(placed.join(torn.join(main, "band").select("band", "main"), "band").join(facts, "id"), "members")
-    rest = remaining(members, main_only(sets, members), s).join(stars, ["a", "b"], "left_anti")
+    members = written(placed.join(torn.join(main, "band").select("band", "main"), "band"), "members")
+    rest = remaining(members, names, main_only(sets, members), s).join(stars, ["a", "b"], "left_anti")
     second = linked(written(rest, "rest"), sets, s.percent)
 
     # rows of one id with several sets hold these together
