@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .common import chunks
-from .urlvocab import _LOWER, host_and_path
+from .urlvocab import host_and_path
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
@@ -41,6 +41,7 @@ BLOCKS = frozenset(
     "thead tr ul".split()
 )
 RAW = frozenset("script style textarea title xmp noframes".split())
+_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_CONTENT = frozenset("nav header footer aside form script style head title noscript template svg iframe object button select textarea menu dialog".split())
 ROLES = frozenset(
@@ -75,7 +76,6 @@ def walk(page: str) -> Iterator[tuple[str, tuple[int, ...], bool, bool, int, str
     stack: list[tuple] = [("", 0, False, False, None)]
     text: list[str] = []
     at, n = 0, len(page)
-    lower = page.translate(_LOWER)  # of the same length
 
     def block():
         joined = " ".join(references.unescape("".join(text)).split())
@@ -135,10 +135,10 @@ def walk(page: str) -> Iterator[tuple[str, tuple[int, ...], bool, bool, int, str
         elif name == "br":
             text.append("\n")
         if name in RAW:
-            end = lower.find("</" + name, at)
-            if end < 0:
+            end = _END[name].search(page, at)
+            if not end:
                 break
-            stop = page.find(">", end)
+            stop = page.find(">", end.end())
             at = n if stop < 0 else stop + 1
             continue
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
