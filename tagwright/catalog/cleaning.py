@@ -268,6 +268,12 @@ def clean_09_sizes(spark, folder):
     return tx.apply_steps(_upper_items(spark, folder), "text", cl.replace_sizes(lists.default_sizes(), patterns))
 
 
+# a mark between two letters goes: pairs may share a letter, so the even and the odd ones are taken in turn
+_MARK = r"([\p{L}\p{Nl}\p{No}])[.'’]([\p{L}\p{Nl}\p{No}])"
+_MARK_SQL = _MARK.replace("'", "''")
+_JOINED = f"regexp_replace(regexp_replace(text, '{_MARK_SQL}', '\\1\\2', 'g'), '{_MARK_SQL}', '\\1\\2', 'g')"
+
+
 @query("clean_10_punctuation", rf"""
     with t as ({_UPPER_DOCS})
     select doc_id, replace(regexp_replace(text, '(<[A-Z]+>)|[^\p{{L}}\p{{N}}_\s]|_', '\1', 'g'), '><', '> <') as text
@@ -276,6 +282,15 @@ def clean_10_punctuation(spark, folder):
     return _upper_docs(spark, folder).withColumn("text", cl.remove_punctuation(F.col("text"), "delete"))
 
 
+@query("clean_10_punctuation_space", rf"""
+    with t as ({_UPPER_DOCS}),
+    kept as (select doc_id, regexp_replace(text, '(<[A-Z]+>)|[^\p{{L}}\p{{N}}_\s]|_', chr(1) || '\1', 'g') as text from (
+        select doc_id, {_JOINED} as text from t))
+    select doc_id, replace(replace(replace(text, chr(1) || '<', '<'), chr(1), ' '), '><', '> <') as text from kept""")
+def clean_10_punctuation_space(spark, folder):
+    return _upper_docs(spark, folder).withColumn("text", cl.remove_punctuation(F.col("text"), "space"))
+
+
 @query("clean_11_rare_words", fx.with_views("docs", body=rf"""
     , t as ({_UPPER_DOCS}), words as (select doc_id, unnest(regexp_extract_all(text, '\S+')) as w,
         generate_subscripts(regexp_extract_all(text, '\S+'), 1) as i from t),

@@ -13,7 +13,7 @@ from ..operators import filters
 from ..operators import features as ft
 from ..plans import crossval as cv
 from ..plans import model as pm
-from ..plans.settings import ModelSettings, SplitSettings, candidate_grid, candidates_frame, varying_settings
+from ..plans.settings import ModelSettings, SplitSettings, candidate_grid, candidates_frame
 from ..session import scratch_path, written
 from ..sources import store
 from . import fixtures as fx
@@ -366,25 +366,26 @@ def prefix_margin(spark, folder):
     return _by_depth(predicted, "doc").select("doc", "depth", _round("margin"))
 
 
-_TABLE_SQL = """
-    , wide as (select doc, max(confidence) filter (depth = 1) as c1, max(confidence) filter (depth = 2) as c2,
-        max(confidence) filter (depth = 3) as c3, max(confidence) filter (depth = 4) as c4,
-        max(margin) filter (depth = 1) as m1, max(margin) filter (depth = 4) as m4 from conf group by doc),
+_WIDE = ", ".join(
+    f"max({name}) filter (depth = {d}) as {name[0]}{d}" for name in ("confidence", "margin") for d in (1, 2, 3, 4)
+)
+_TABLE_SQL = f"""
+    , wide as (select doc, {_WIDE} from conf group by doc),
     k as (select doc, count(*) as n_tokens, count(v.term) as n_known
           from toks left join vocabulary v on v.term = t group by doc)
-    select i.id, i.l1 as actual_1, i.l4 as actual_4, string_split(b.path, '|')[1] as predicted_1,
-           string_split(b.path, '|')[4] as predicted_4, round(c1, 6) as c1, round(c2, 6) as c2, round(c3, 6) as c3,
-           round(c4, 6) as c4, round(m1, 6) as m1, round(m4, 6) as m4, n_tokens, n_known,
+    select i.id, {", ".join(f"i.l{d} as actual_{d}" for d in (1, 2, 3, 4))},
+           {", ".join(f"string_split(b.path, '|')[{d}] as predicted_{d}" for d in (1, 2, 3, 4))},
+           {", ".join(f"round({n}{d}, 6) as {n}{d}" for n in "cm" for d in (1, 2, 3, 4))}, n_tokens, n_known,
            round(1 - n_known / n_tokens, 6) as oov_rate, i.descr
     from items i join best b on b.doc = i.id join wide w on w.doc = i.id join k on k.doc = i.id"""
 
 
 def _table_columns(table_):
     return table_.selectExpr(
-        "id", "`Actual l1` as actual_1", "`Actual l4` as actual_4", "`Predicted l1` as predicted_1",
-        "`Predicted l4` as predicted_4",
+        "id", *[f"`Actual l{d}` as actual_{d}" for d in (1, 2, 3, 4)],
+        *[f"`Predicted l{d}` as predicted_{d}" for d in (1, 2, 3, 4)],
         *[f"round(`L{d} Confidence`, 6) as c{d}" for d in (1, 2, 3, 4)],
-        *[f"round(`L{d} Margin`, 6) as m{d}" for d in (1, 4)],
+        *[f"round(`L{d} Margin`, 6) as m{d}" for d in (1, 2, 3, 4)],
         "n_tokens", "n_known", "round(oov_rate, 6) as oov_rate", "descr",
     )
 
@@ -476,10 +477,11 @@ def _cv_tables(spark, folder, candidates=(COUNTS,), pending=None):
 
 @query("cross_validate", _cv_sql() + """
     select cast(fold as int) as fold, doc as id, string_split(path, '|')[1] as predicted_1,
+           string_split(path, '|')[2] as predicted_2, string_split(path, '|')[3] as predicted_3,
            string_split(path, '|')[4] as predicted_4 from oof""")
 def cross_validate(spark, folder):
     return _cv_tables(spark, folder).selectExpr(
-        "fold", "id", "`Predicted l1` as predicted_1", "`Predicted l4` as predicted_4"
+        "fold", "id", *[f"`Predicted l{d}` as predicted_{d}" for d in (1, 2, 3, 4)]
     )
 
 
@@ -553,32 +555,3 @@ def sort_results(spark, folder):
     ordered = ev.sort_results(_results(spark, folder).where("splits_done > 0"), "L1 Accuracy")
     place = F.row_number().over(Window.orderBy(F.desc("L1 Accuracy"), "candidate"))  # one row per candidate
     return ordered.select(place.cast("bigint").alias("place"), "candidate")
-
-
-@query("varying_settings", fx.with_views("preds", body=f"""
-    , g as ({_GRID_SQL}), seen as (select * from g where candidate in (select candidate from preds))
-    select 'alpha' as setting, count(distinct alpha) as n_values from seen
-    union all select 'prediction_mode', count(distinct prediction_mode) from seen"""))
-def varying(spark, folder):
-    evaluated = fx.predictions(spark, folder).select("candidate").distinct()
-    return varying_settings(candidates_frame(spark, _grid()).join(evaluated, "candidate", "left_semi"))
-
-
-@query("candidate_grid", fx.with_views("preds", body=f"""
-    select g.candidate, g.alpha, g.prediction_mode, count(p.id) as n_rows from ({_GRID_SQL}) g
-    left join preds p using (candidate) group by all"""))
-def candidate_grid_rows(spark, folder):
-    grid = candidates_frame(spark, _grid())
-    return grid.join(fx.predictions(spark, folder), "candidate", "left").groupBy(
-        "candidate", "alpha", "prediction_mode"
-    ).agg(F.count("id").alias("n_rows"))
-
-
-@query("feature_key", fx.with_views("preds", body=f"""
-    select count(distinct 1) as n_keys, count(distinct g.candidate) as n_candidates from ({_GRID_SQL}) g
-    join (select distinct candidate from preds) p using (candidate)"""))
-def feature_key(spark, folder):
-    evaluated = fx.predictions(spark, folder).select("candidate").distinct()
-    return candidates_frame(spark, _grid()).join(evaluated, "candidate", "left_semi").agg(
-        F.count_distinct("key").alias("n_keys"), F.count("*").alias("n_candidates")
-    )
