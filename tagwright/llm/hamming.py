@@ -105,7 +105,8 @@ def top_k(codes: DataFrame, queries: DataFrame, settings: SearchSettings = Searc
         for j in range(x.segments):  # the pair's first meeting: no part is closer, and no earlier part as close
             new = new & (d[j] >= radius) & ((segment <= j) | (d[j] > radius))
         distance = F.bit_count(F.col("asked").bitwiseXOR(F.col("code")))
-        met = lookups(asked, radii, x).join(index, "place").where(new & (distance <= F.col("worst")))
+        # the optimiser takes the lookups to be as few as the queries and would send them to every task
+        met = lookups(asked, radii, x).join(index.hint("merge"), "place").where(new & (distance <= F.col("worst")))
         met = met.select("asked", "code", distance.alias("distance"))
         # at most k + 1 codes of a query can matter, whatever their ids; equal distances all stay until ids decide
         close = F.rank().over(Window.partitionBy("asked").orderBy("distance"))
