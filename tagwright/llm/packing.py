@@ -40,7 +40,7 @@ class PackSettings:
     block: int = 256  # sequences
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
-    cached_words: int = 600_000  # a cache inside a task, emptied when full
+    cached_words: int = 1_500_000  # a cache inside a task, emptied when full
 
 
 class WordEncoder:
