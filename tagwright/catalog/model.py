@@ -13,6 +13,8 @@ from ..operators import filters
 from ..operators import features as ft
 from ..plans import crossval as cv
 from ..plans import model as pm
+from ..functions.lists import CleaningSettings
+from ..operators.cleaning import clean_items
 from ..plans.settings import ModelSettings, SplitSettings, candidate_grid, candidates_frame
 from ..session import scratch_path, written
 from ..sources import store
@@ -406,6 +408,21 @@ def batch_predict(spark, folder):
     return _table_columns(pm.batch_predict(model, fx.items(spark, folder), "id", "descr", ["id"], ["descr"]))
 
 
+@query("predict_items")
+def predict_items(spark, folder):
+    """Items cleaned and fitted, the model stored with its cleaning state, raw items predicted from the folder alone."""
+    from .cleaning import english_words, good_tokens
+
+    settings, path = CleaningSettings(), scratch_path(spark, "model")
+    english, good = written(english_words(spark, folder), "english"), written(good_tokens(spark, folder), "good")
+    items = fx.items(spark, folder)
+    done = clean_items(items, "descr", "cleaned", english, good, settings)
+    model = pm.fit(pm.documents(done.items, "id", "cleaned", fx.LEVELS), SETTINGS, fx.LEVELS)
+    store.write_model(model, path, state=store.CleaningState(settings, english, good, done.vocabulary))
+    table_ = pm.predict_saved(spark, path, items, "id", "descr", "cleaned", ["id"])
+    return table_.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in table_.columns])
+
+
 @query("write_model", _items_sql("select (select count(*) from vocabulary) as n_features, count(*) filter (depth = 4) as n_paths, "
                                  "count(*) as n_classes from cls", "fit"))
 def write_model(spark, folder):

@@ -8,7 +8,7 @@ good tokens, both too long to state here.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 # One unit per line, ``ABBREVIATION = form, form``. ``~`` marks a form that only counts after a number,
 # ``>`` a unit that is glued to the number behind it.
@@ -177,3 +177,14 @@ class CleaningSettings:
     collapse_placeholders: tuple[str, ...] = PLACEHOLDERS
     append_fields: dict = field(default_factory=dict)
     append_nulls_as_none: bool = True
+
+    def as_dict(self) -> dict:
+        """For JSON."""
+        return asdict(self)
+
+    @classmethod
+    def from_dict(cls, values: dict) -> CleaningSettings:
+        """From the stored dict; JSON knows no tuples."""
+        units = [{**u, "forms": [tuple(f) for f in u["forms"]]} for u in values["units"]]
+        fixed = {n: tuple(values[n]) for n in ("markers", "collapse_placeholders")}
+        return cls(**{**values, **fixed, "units": units})

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lists import CleaningSettings
@@ -17,6 +17,7 @@ from ..operators.joins import attach_names
 from ..operators.running import running_totals
 from ..operators.splits import train_splits
 from ..session import written
+from ..sources import store
 from .prepare import clean_dataframe
 from .settings import ModelSettings
 
@@ -210,13 +211,13 @@ def prediction_table(
 
 
 def batch_predict(
-    model: Model, items: DataFrame, key: str, cleaned_col: str, id_cols=(), text_cols=(), **options
+    model: Model, items: DataFrame, key: str, cleaned_col: str, id_cols=(), text_cols=()
 ) -> DataFrame:
     """Predictions of a saved model for new items. No row is dropped; labels are carried along if all are there."""
     text = F.coalesce(F.col(f"`{cleaned_col}`"), F.lit(""))
     rows = items.select(F.col(f"`{key}`").alias("doc"), text.alias("text"))
     terms = terms_of(rows, model.settings).withColumn("split", F.lit(0))
-    predicted = predict(model, rows.select(F.lit(0).alias("split"), "doc"), terms, **options)
+    predicted = predict(model, rows.select(F.lit(0).alias("split"), "doc"), terms)
     labelled = all(c in items.columns for c in model.levels)
     return prediction_table(
         predicted, items, key, model.levels, id_cols, model.levels if labelled else (), text_cols
@@ -226,7 +227,7 @@ def batch_predict(
 def predict_items(
     model: Model, vocabulary: DataFrame, items: DataFrame, key: str, text_col: str, cleaned_col: str,
     english: DataFrame, good_tokens: DataFrame, settings: CleaningSettings | None = None, id_cols=(),
-    lookup: DataFrame | None = None, names=(), **options,
+    lookup: DataFrame | None = None, names=(),
 ) -> DataFrame:
     """Clean new items with the frozen vocabulary of a model and predict every one of them, with names if there is a
     lookup. Accuracy and bucket tables follow from the result when the items carry labels."""
@@ -234,5 +235,19 @@ def predict_items(
         items, text_col, cleaned_col, english, good_tokens, settings, vocabulary, drop_empty=False
     )
     cleaned = written(done.items, "cleaned")  # read for the terms and for the columns beside the predictions
-    pred = batch_predict(model, cleaned, key, cleaned_col, id_cols, [text_col, cleaned_col], **options)
+    pred = batch_predict(model, cleaned, key, cleaned_col, id_cols, [text_col, cleaned_col])
     return attach_names(pred, lookup, model.levels, names) if lookup is not None else pred
+
+
+def predict_saved(
+    spark: SparkSession, folder: str, items: DataFrame, key: str, text_col: str, cleaned_col: str, id_cols=(), names=()
+) -> DataFrame:
+    """As ``predict_items``, with nothing but a model folder that holds its cleaning state."""
+    model, _, lookup, manifest = store.read_model(spark, folder)
+    if not manifest.get("has_cleaning_state"):
+        raise ValueError(f"the model in {folder} was stored without its cleaning state")
+    state = store.read_cleaning(spark, f"{folder}/cleaning")
+    return predict_items(
+        model, state.vocabulary, items, key, text_col, cleaned_col, state.english, state.good_tokens, state.settings,
+        id_cols, lookup, names,
+    )

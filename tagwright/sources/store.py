@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lists import CleaningSettings
 from .scan import DELIMITER, null_markers
 
 
@@ -93,6 +95,31 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# ---- the state of cleaning ------------------------------------------------------------------------------------
+
+@dataclass
+class CleaningState:
+    """All that cleaning depends on beside the items. Stored with a data set or a model, so that new items are cleaned
+    as the training items were."""
+
+    settings: CleaningSettings
+    english: DataFrame      # word
+    good_tokens: DataFrame  # term
+    vocabulary: DataFrame   # word, descriptions
+
+
+def write_cleaning(state: CleaningState, folder: str) -> None:
+    for name, column in (("english", "word"), ("good_tokens", "term")):
+        getattr(state, name).select(column).distinct().write.mode("overwrite").parquet(f"{folder}/{name}")
+    state.vocabulary.select("word", "descriptions").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    write_json(state.vocabulary.sparkSession, state.settings.as_dict(), f"{folder}/settings.json")
+
+
+def read_cleaning(spark: SparkSession, folder: str) -> CleaningState:
+    settings = CleaningSettings.from_dict(read_json(spark, f"{folder}/settings.json"))
+    return CleaningState(settings, *(spark.read.parquet(f"{folder}/{n}") for n in ("english", "good_tokens", "vocabulary")))
+
+
 # ---- models ---------------------------------------------------------------------------------------------------
 
 TABLES = ("vocabulary", "weights", "classes")
@@ -117,9 +144,12 @@ def fingerprint(shape: dict) -> str:
 
 def write_model(
     model, folder: str, cleaning_vocabulary: DataFrame | None = None, lookup: DataFrame | None = None,
-    metadata: dict | None = None, cleaning: dict | None = None,
+    metadata: dict | None = None, cleaning: dict | None = None, state: CleaningState | None = None,
 ) -> dict:
+    """The model's tables and a manifest; with ``state`` also all that is needed to clean new items (``cleaning/``)."""
     spark = model.classes.sparkSession
+    if state is not None:
+        write_cleaning(state, f"{folder}/cleaning")
     for table in TABLES:
         getattr(model, table).write.mode("overwrite").parquet(f"{folder}/{table}")
     if cleaning_vocabulary is not None:
@@ -131,6 +161,7 @@ def write_model(
         "fingerprint": fingerprint(shape), **shape, "settings": model.settings.as_dict(),
         "training": metadata or {}, "cleaning": cleaning or {},
         "has_cleaning_vocabulary": cleaning_vocabulary is not None, "has_lookup": lookup is not None,
+        "has_cleaning_state": state is not None,
     }
     write_json(spark, manifest, f"{folder}/manifest.json")
     return manifest

@@ -120,3 +120,21 @@ def test_rare_paths_group_nulls(spark):
     }
     with pytest.raises(KeyError):
         filters.keep_columns(df, ["l1"], required=["id"])
+
+
+def test_cleaning_state_survives_storing(spark, tmp_path):
+    from dataclasses import replace
+
+    from tagwright.functions.lists import CleaningSettings
+    from tagwright.operators.cleaning import clean_items
+    from tagwright.sources import store
+
+    settings = replace(CleaningSettings(), min_word_descriptions=1, append_fields={"v": "VEND"})
+    items = spark.createDataFrame([("hammer 2 in blk", "a"), ("steel bolt 1/2 x 3 inch", None)], "t string, v string")
+    english, good = spark.createDataFrame([("hammer",)], "word string"), spark.createDataFrame([("bolt",)], "term string")
+    done = clean_items(items, "t", "c", english, good, settings)
+    store.write_cleaning(store.CleaningState(settings, english, good, done.vocabulary), str(tmp_path / "s"))
+    state = store.read_cleaning(spark, str(tmp_path / "s"))
+    assert state.settings == settings
+    again = clean_items(items, "t", "c", state.english, state.good_tokens, state.settings, state.vocabulary)
+    assert sorted(again.items.collect(), key=str) == sorted(done.items.collect(), key=str)
