@@ -81,6 +81,20 @@ def spread_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(29), F.col(f"`{key}`")), F.col(f"`{key}`")).limit(rows)
 
 
+def texts_by_id(df: DataFrame, id_col: str, text_col: str, picked: list[tuple], label: str) -> list[tuple]:
+    """(text, label) of the rows whose ids were picked, one row an id. The number of ids bounds broadcast and result."""
+    if not picked:
+        return []
+    spark = df.sparkSession
+    id_type = df.schema[id_col].dataType.simpleString()
+    chosen = F.broadcast(spark.createDataFrame(picked, f"_picked {id_type}, _label {label}"))
+    found = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(
+        chosen, F.col("_id") == F.col("_picked")
+    )
+    rows = found.select("_id", "_text", "_label").dropDuplicates(["_id"]).orderBy("_id").collect()
+    return [(r["_text"], r["_label"]) for r in rows]
+
+
 # ---- hashes inside a task -------------------------------------------------------------------------------------------
 
 _U = np.uint64

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keep_rows, map_texts, spread_sample
+from .common import crc_mod, keep_rows, map_texts, texts_by_id
 
 UNKNOWN = "und"
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
@@ -116,16 +116,15 @@ def language_sample(documents: DataFrame, settings: LanguageSettings) -> list[tu
     usable = documents.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1)
         & (F.length("text") <= settings.longest) & (F.col("lang") != UNKNOWN)
-    ).select("doc_id", "lang", "text")
-    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    )
+    names = documents.where(F.col("lang").isNotNull()).select("lang").distinct().count()
     if not names:
         return []
-    each = max(1, settings.sample_rows // len(names))
-    parts = [spread_sample(usable.where(F.col("lang") == n), "doc_id", each) for n in names]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    return [(r["text"], r["lang"]) for r in rows.collect()]
+    # ids first: a sample of texts would bring that many texts from every partition together
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id"))
+    ranked = usable.select("doc_id", "lang").withColumn("_rank", order)
+    picked = ranked.where(F.col("_rank") <= max(1, settings.sample_rows // names)).select("doc_id", "lang").limit(settings.sample_rows)
+    return texts_by_id(usable, "doc_id", "text", [tuple(r) for r in picked.collect()], "string")
 
 
 def fit_language(rows: list[tuple[str, str]], settings: LanguageSettings = LanguageSettings()) -> LanguageModel:

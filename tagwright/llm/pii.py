@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, spread_sample
+from .common import map_texts, spread_sample, texts_by_id
 
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -354,9 +354,11 @@ def document_examples(texts: list[str], most: int = 400) -> list[tuple[str, list
 def fit_field(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: PiiSettings = PiiSettings()) -> SpanField:
     """Fitted on templates and on a bounded sample of documents that hold ten digits or an ``@``."""
     given = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    with_data = given.where("_text rlike '[0-9]{4}|@' and length(_text) < 20000")
-    rows = spread_sample(with_data, "_id", settings.sample_documents).collect()
-    examples = template_examples(settings.seed) + document_examples([r["_text"] for r in rows])
+    with_data = given.where("_id is not null and _text rlike '[0-9]{4}|@' and length(_text) < 20000")
+    # ids first: a sample of texts would bring that many texts from every partition together
+    ids = [(r["_id"], 0) for r in spread_sample(with_data.select("_id"), "_id", settings.sample_documents).collect()]
+    texts = [t for t, _ in texts_by_id(with_data, "_id", "_text", ids, "int")]
+    examples = template_examples(settings.seed) + document_examples(texts)
     return SpanField(settings.max_tokens).fit(examples, settings.epochs, settings.rate, settings.seed)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, keep_rows, map_texts, mix, platt, sigmoid, spread_sample
+from .common import Words, crc_mod, keep_rows, map_texts, mix, platt, sigmoid, spread_sample, texts_by_id
 
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[*range(97, 123)]] = 1  # lower-case letter
@@ -178,19 +178,8 @@ def labelled_sample(
         for q in (0, 1)
         for r in spread_sample(usable.where(F.col("quality") == q), "doc_id", rows // 2).collect()
     ]
-    if not picked:
-        return []
-    spark = documents.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(picked, "_doc long, _quality int"))
-    found = (
-        documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-        .where(F.length("_text") <= longest)
-        .join(chosen, F.col("_id") == F.col("_doc"))
-        .dropDuplicates(["_id"])
-        .orderBy("_id")
-        .collect()
-    )
-    return [(r["_text"], r["_quality"]) for r in found]
+    short = documents.where(F.length("text") <= longest)
+    return texts_by_id(short, "doc_id", "text", picked, "int")
 
 
 def fit_lines(rows: list[tuple[str, int]], settings: QualitySettings = QualitySettings()) -> LineField:
