@@ -139,8 +139,10 @@ class Evaluation:
         return store.read_split_results(self.spark, f"{self.folder}/predictions")
 
     def pending(self) -> DataFrame:
-        results = self._results()
-        done = None if results is None else results.select("candidate", "split").distinct()
+        finished = store.read_split_results(self.spark, f"{self.folder}/finished")
+        results = self._results()  # of a run that ended early; partition columns only
+        parts = [d.selectExpr("cast(candidate as int) as candidate", "cast(split as int) as split") for d in (finished, results) if d is not None]
+        done = store.union_splits(parts).distinct() if parts else None
         return pending_work(self.spark, len(self.candidates), self.cv.n_splits, done)
 
     def run(self) -> DataFrame:
@@ -156,6 +158,9 @@ class Evaluation:
                 store.write_split_result(
                     table.withColumnRenamed(self.cv.split_col, "split"), f"{self.folder}/predictions"
                 )
+            store.write_finished(
+                self.spark, [(c, s) for c, splits in pending.items() for s in sorted(splits)], f"{self.folder}/finished"
+            )
         return self.results()
 
     def predictions(self, candidate: int, with_text: bool = True) -> DataFrame:

@@ -18,8 +18,7 @@ from ..sources import scan
 def cleaning_settings(
     spark: SparkSession, units: str | None = None, colors=(), sizes: str | None = None, **values
 ) -> CleaningSettings:
-    """Settings with lists read from files; what is not given keeps its default. Patterns need their terms on the
-    driver, so lists are limited in length."""
+    """Settings with lists read from files; what is not given keeps its default. Patterns are made on the driver."""
     if units:
         values["units"] = scan.unit_list(scan.scan_units(spark, units))
     if colors:
