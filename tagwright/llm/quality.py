@@ -188,7 +188,11 @@ def fit_lines(rows: list[tuple[str, int]], settings: QualitySettings = QualitySe
     d = 3 * N_BASE + 3
     if len(set(label.tolist())) < 2:
         return LineField(np.zeros(N_BASE), np.ones(N_BASE), np.zeros(d), np.zeros((2, 2)))
-    x, _, first = line_features(texts)
+    # a hundred texts at a time: the arrays over their characters are the largest of the fit
+    runs = [texts[i : i + 100] for i in range(0, len(texts), 100)]
+    parts = [line_features(r) for r in runs]
+    x = np.concatenate([p[0] for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     mean, scale = x.mean(0), x.std(0) + 1e-3
     field = LineField(mean, scale, np.zeros(d), np.zeros((2, 2)))
     x = with_neighbours((x - mean) / scale, first)
@@ -209,7 +213,7 @@ def fit_lines(rows: list[tuple[str, int]], settings: QualitySettings = QualitySe
             moments[i] = 0.9 * moments[i] + 0.1 * g
             squares[i] = 0.99 * squares[i] + 0.01 * g * g
             w += settings.rate * 0.3 * (moments[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.99**step)) + 1e-8)
-    field.slope, field.offset = platt(field.raw(texts), label)
+    field.slope, field.offset = platt(np.concatenate([field.raw(r) for r in runs]), label)
     return field
 
 

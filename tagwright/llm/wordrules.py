@@ -141,7 +141,8 @@ def fit_ngrams(rows: list[tuple[str, int]], settings: RuleSettings = RuleSetting
                 step = g * share
                 squares[k][ids] += step * step
                 model.weights[k][ids] += settings.rate * 0.1 * step / np.sqrt(squares[k][ids])
-    raw = model.raw([rows[i][0] for i in np.flatnonzero(left_out)])
+    held = np.flatnonzero(left_out).tolist()
+    raw = np.concatenate([model.raw([rows[i][0] for i in held[j : j + 100]]) for j in range(0, len(held), 100)])
     model.slope, model.shift = platt(raw, label[left_out])
     model.weights = model.weights.astype(np.float32)
     return model
