@@ -10,7 +10,8 @@ i - size, so every coordinate is filled after twice as many rounds; large sets f
 agree in a coordinate with the probability of their similarity, and the number of agreements is concentrated as that of
 independent draws. Coordinates are hashed in bands; documents that share a band are candidates.
 
-Documents with equal sets are one class with the smallest id as its name; only names go on. In a band all members are
+Documents with equal sets are one class with the smallest id as its name; only one row of each class goes on, under a
+number of its own, so that neither repeated rows nor several sets of one id count twice. In a band all members are
 compared with one of them, the member with most companions over all its bands. Components of the links found so are
 formed. Where bands still span several components, pairs across them are compared that share a rare shingle, or that
 share a band and have few enough rare shingles to be linked without (``remaining``), unless size or sketch rule it out. Bands and sketch test together lose a link at
@@ -124,10 +125,7 @@ def sketches(df: DataFrame, s: NearSettings, id_col: str = "doc_id", text_col: s
         def each(texts: list[str]) -> list:
             value, start = shingles(texts, s.words)
             n = np.diff(start)
-            sums = []
-            for k in (1, 2):
-                total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(value * _GOLD + _U(k)))])
-                sums.append((total[start[1:]] - total[start[:-1]]).view(np.int64))
+            sums = set_hashes(value, start)
             c = sketch(value, start, s.size)
             band = np.tile(salt, (len(texts), 1))
             for k in range(s.rows):
@@ -148,17 +146,40 @@ def sketches(df: DataFrame, s: NearSettings, id_col: str = "doc_id", text_col: s
     return map_texts(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", fields, work)
 
 
+def set_hashes(value: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    sums = []
+    for k in (1, 2):
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(value * _GOLD + _U(k)))])
+        sums.append((total[start[1:]] - total[start[:-1]]).view(np.int64))
+    return sums
+
+
 def sets_of(df: DataFrame, words: int) -> DataFrame:
-    """``id``, ``text`` -> ``id`` and its sorted shingle hashes."""
+    """``id``, ``text`` -> ``id``, the size and two hashes that name its set, and its sorted shingle hashes."""
 
     def work():
         def each(texts: list[str]) -> list:
             value, start = shingles(texts, words)
-            return [pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(value.view(np.int64)))]
+            held = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(value.view(np.int64)))
+            return [np.diff(start).astype(np.int64), *set_hashes(value, start), held]
 
         return each
 
-    return map_texts(df, "id", "text", "held array<long>", work)
+    return map_texts(df, "id", "text", "n long, h1 long, h2 long, held array<long>", work)
+
+
+def one_row_sets(given: DataFrame, needed: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
+    """``id`` (the number of a set) and ``held``, one row for each of ``needed``.
+
+    An id with one row has the set of that row. Of the ``repeated`` ids all rows are read, and the set says which is which.
+    """
+    once = needed.join(repeated, needed["name"] == repeated["id"], "left_anti").select(F.col("id").alias("_set"), F.col("name").alias("id"))
+    once = given.join(once, "id").select(F.col("_set").alias("id"), "text")
+    again = needed.join(repeated.withColumnRenamed("id", "name"), "name", "left_semi")
+    many = sets_of(given.join(again.select(F.col("name").alias("id")).distinct(), "id", "left_semi"), words)
+    many = many.withColumnRenamed("id", "name").join(again, ["name", "n", "h1", "h2"])
+    return sets_of(once, words).select("id", "held").unionAll(many.select("id", "held").dropDuplicates(["id"]))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,11 +289,13 @@ def near_duplicates(
     given = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketched = written(sketches(given, s, "id", "text"), "sketches")
     full = sketched.where("n > 0 and id is not null")
-    classes = written(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("name")), "classes")
+    # the number of a set is that of the written row
+    classes = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("name")).withColumn("set", F.monotonically_increasing_id())
+    classes = written(classes, "classes")
     named = full.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"]).select("id", "name")
     own = full.join(classes.select(F.col("name").alias("id")).distinct(), "id", "left_semi")  # of names only
-    own = own.join(classes.select("h1", "h2", "n", F.col("name").alias("_name")), ["h1", "h2", "n"]).where("id = _name")
-    names = written(own.dropDuplicates(["id", "h1", "h2"]).drop("_name"), "names")
+    own = own.join(classes, ["h1", "h2", "n"]).where("id = name").drop("id").withColumnRenamed("set", "id")
+    names = written(own.dropDuplicates(["id"]), "names")
 
     in_band = names.select("id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -285,8 +308,9 @@ def near_duplicates(
     stars = written(
         entries.join(leaders, "band").where("id != leader").select(*ordered("id", "leader")).distinct(), "stars"
     )
-    needed = entries.select("id").distinct()
-    sets = written(sets_of(given.join(needed, "id", "left_semi"), s.words), "sets")
+    needed = written(names.select("id", "name", "n", "h1", "h2").join(entries.select("id").distinct(), "id", "left_semi"), "needed")
+    repeated = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
+    sets = written(one_row_sets(given, needed, written(repeated, "repeated"), s.words), "sets")
     first = written(linked(stars, sets, s.percent), "links")
     groups = components(first)
 
@@ -300,11 +324,14 @@ def near_duplicates(
     rest = remaining(members, names, main_only(sets, members), s).join(stars, ["a", "b"], "left_anti")
     second = linked(written(rest, "rest"), sets, s.percent)
 
-    # rows of one id with several sets hold these together
-    edges = first.unionAll(second).unionAll(named.where("id != name").select(F.col("name").alias("a"), F.col("id").alias("b")).join(
-        names.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
+    # from the numbers of sets back to ids; rows of one id with several sets hold these together
+    edges = first.unionAll(second)
+    for side in ("a", "b"):
+        edges = edges.join(classes.select(F.col("set").alias(side), F.col("name").alias(f"_{side}")), side).drop(side)
+    edges = edges.select(*ordered("_a", "_b")).unionAll(named.where("id != name").select(F.col("name").alias("a"), F.col("id").alias("b")).join(
+        classes.select(F.col("name").alias("b")), "b", "left_semi").select("a", "b"))
     final = components(edges)
-    found = sketched.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    found = sketched.select("id", "n", "h1", "h2").join(classes.drop("set"), ["h1", "h2", "n"], "left")
     result = found.join(final.withColumnRenamed("id", "name"), "name", "left")
     component = F.coalesce("component", "name", "id")
     return result.select(

@@ -293,6 +293,29 @@ def test_groups_are_those_of_all_pairs(spark, s):
     assert sorted(x.doc_id for x in left.collect()) == sorted(set(group))
 
 
+def test_repeated_rows_and_several_sets_of_an_id_in_torn_bands(spark):
+    """A and B are linked by 92 of 108 shingles; the leaders of their bands are linked with neither."""
+    rows, group = [], {}
+    for k in range(12):
+        core, first = [f"c{k}w{i}" for i in range(94)], 1000 * (k + 1)
+        a, b = (" ".join(core + [f"{x}{k}w{i}" for i in range(8)]) for x in "ab")
+        rows += [(first, a), (first + 1, b)]
+        rows += [(first, a)] if k % 2 else [(first, " ".join(f"z{k}w{i}" for i in range(40)))]  # again, or another set of it
+        group |= {first: first, first + 1: first}
+        for f in range(6):
+            for i in range(5):
+                own = [f"l{k}f{f}w{j}" for j in range(8)] + [f"l{k}f{f}i{i}"]
+                rows.append((first + 10 * (f + 1) + i, " ".join(core[:93] + own)))
+                group[rows[-1][0]] = first + 10 * (f + 1)
+    sets = [(i, plain_set(t)) for i, t in rows]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], TEXT)
+    out = neardup.near_duplicates(df).collect()
+    linked_ = {(i, j) for i, x in sets for j, y in sets if i < j and 100 * len(x & y) >= 85 * len(x | y)}
+    assert all((group[i] == group[j]) == ((i, j) in linked_) for i in group for j in group if i < j)
+    assert sorted((r.doc_id, r.n_shingles) for r in out) == sorted((i, len(s)) for i, s in sets)
+    assert {(r.doc_id, r.component_id) for r in out} == set(group.items())
+
+
 def test_sketch_agrees_as_often_as_sets_do():
     r = np.random.default_rng(3)
     common_, one, two = (r.integers(1, 2**63, n, dtype=np.uint64) for n in (300, 50, 50))
