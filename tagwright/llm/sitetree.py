@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: nodes with the same tags and class
 every node that holds text the tree counts the pages that have it, and how often the pages agree in its presentation (the
 number of blocks it shows) and in its content (their text). Importance is the entropy of these choices, to the base of the
 number of pages: 0 if all pages show the same, 1 if no two do; ``presentation_share`` weighs the two. Nodes of low importance
-are removed with what is below them; a branch whose text is all of low importance goes that way. Tags and classes that name a role decide first: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+are removed with what is below them; a branch whose text is all of low importance goes that way. Tags and classes that name a role as a whole decide first (a class
+only where no ``article`` or ``main`` is inside): menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments have none, and ``article`` and ``main`` are never removed for what they hold, so that copies of an article on
 one host stay. If a page has an article, only articles count.
 
@@ -49,6 +50,8 @@ ROLES = frozenset(
     "advertisement sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe "
     "comment comments disqus form search".split()
 )
+# words that may stand beside a role in a name: site-header, ad-slot-3, comment-list; not has-sidebar or search-results
+BESIDE = frozenset("site main top bottom left right primary secondary global mobile box bar list item link links widget slot unit section area".split())
 CONTENT = frozenset(["article", "main"])
 
 
@@ -67,13 +70,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def walk(page: str) -> Iterator[tuple[str, tuple[int, ...], bool, bool, int, str]]:
-    """Blocks of a page in order: text, paths from the root, whether a role removes it, whether it is in an article, its parent's path, its tag.
+def names_role(marks: str) -> bool:
+    """Whether one of the names, as a whole, is that of a role."""
+    for name in marks.split():
+        parts = [p for p in _SPLIT.split(name) if p and not p.isdigit()]
+        if not ROLES.isdisjoint(parts) and all(p in ROLES or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+def gone(removed: tuple) -> bool:
+    """Whether a role removes an element: for good by a tag, or by a class until an article is found inside."""
+    return removed[0] or removed[1] is not None and removed[1][0]
+
+
+def walk(page: str) -> Iterator[tuple[str, tuple]]:
+    """Blocks of a page in order: text and the open element. Ask ``gone`` after the last block only.
 
     A path is given as the chain of node numbers, shared between blocks, so deep pages stay linear.
     """
-    # an open element: tag, node number, removed by role, in an article, chain of nodes above and itself
-    stack: list[tuple] = [("", 0, False, False, None)]
+    # an open element: tag, node number, removed by role, in an article, chain of nodes above and itself; a removal by
+    # class is a list of whether it holds and the one around it, which never holds where this one does not
+    stack: list[tuple] = [("", 0, (False, None), False, None)]
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -118,14 +136,14 @@ def walk(page: str) -> Iterator[tuple[str, tuple[int, ...], bool, bool, int, str
                     yield joined, stack[-1]
                 while stack[-1][0] != name:
                     stack.pop()
-                if joined is None and len(stack) > 1 and stack[-1][2] != stack[-2][2]:
+                if joined is None and len(stack) > 1 and stack[-1][2] is not stack[-2][2]:
                     text.clear()  # an inline element without content
                 stack.pop()
             continue
         marks = ""
         if m[3]:
             marks = " ".join(a or b or c for a, b, c in _MARK.findall(m[3])).lower()
-        role = name in NO_CONTENT or bool(marks) and not ROLES.isdisjoint(_SPLIT.split(marks))
+        role = name in NO_CONTENT or bool(marks) and name not in CONTENT and names_role(marks)
         if name in BLOCKS or role and name not in VOID:
             joined = block()
             if joined:
@@ -146,8 +164,15 @@ def walk(page: str) -> Iterator[tuple[str, tuple[int, ...], bool, bool, int, str
         if name in BLOCKS or role:
             _, path, removed, inside, chain = stack[-1]
             number = _hash(name + "." + _NUMBER.sub("0", marks), path)
-            removed = removed or role and name not in ("body", "html") and not (name in CONTENT and name == marks)
-            stack.append((name, number, removed, inside or name in CONTENT and not removed, (number, chain)))
+            if name in NO_CONTENT:
+                removed = (True, removed[1])
+            elif role and name not in ("body", "html"):
+                removed = (removed[0], [True, removed[1]])
+            if name in CONTENT and not removed[0]:
+                around = removed[1]
+                while around and around[0]:
+                    around[0], around = False, around[1]
+            stack.append((name, number, removed, inside or name in CONTENT and not gone(removed), (number, chain)))
     joined = block()
     if joined:
         yield joined, stack[-1]
@@ -182,8 +207,8 @@ def page_nodes(page: str) -> dict[int, tuple[int, int]]:
 def main_text(page: str, low: set[int]) -> list[str]:
     """The blocks that stay; ``low`` are the numbers of nodes of low importance on the page's host."""
     blocks, article = [], False
-    for text, (_, _, removed, inside, chain) in walk(page):
-        if removed:
+    for text, (_, _, removed, inside, chain) in list(walk(page)):
+        if gone(removed):
             continue
         if not inside and low:
             c = chain

@@ -167,6 +167,19 @@ def test_main_text():
     assert sitetree.main_text("", set()) == [] and sitetree.main_text("a < b <", set()) == ["a < b <"]
 
 
+@pytest.mark.parametrize("wrap", ['div class="content has-sidebar"', 'main class="no-sidebar"', 'div id="search-results"', "div class=page-with-header", "article class='post sidebar'", "section class=widget"])
+def test_classes_of_wrappers_remove_nothing(wrap):
+    assert sitetree.main_text(f"<body><{wrap}><p>text</p></{wrap.split()[0]}></body>", set()) == ["text"]
+
+
+def test_classes_of_roles():
+    for name in ("ad", "site-header", "ad-slot-3", "x cookie-notice", "main_nav", "comment-list"):
+        assert sitetree.main_text(f"<div class='{name}'><div><p>a</p></div></div><p>b", set()) == ["b"]
+    page = "<div class=header>x<div id=search><article><p>a</p><div class=ad>b</div></article></div></div><div class=header>c</div>"
+    assert sitetree.main_text(page, set()) == ["a"]
+    assert sitetree.main_text("<aside class=ad><article>a</article></aside><p>b", set()) == ["b"]
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div class=x><p>same on all</p></div><div class=y><p>page {i} says {i * i}</p></div></body>") for i in range(12)]
     rows += [(20, "http://h.org/a", None), (21, None, "<p>alone"), (22, "http://one.org/", "<div class=x><p>same on all</p></div>")]
