@@ -6,8 +6,9 @@ number of blocks it shows) and in its content (their text). Importance is the en
 number of pages: 0 if all pages show the same, 1 if no two do; ``presentation_share`` weighs the two. Nodes of low importance
 are removed with what is below them; a branch whose text is all of low importance goes that way. Tags and classes that name a role as a whole decide first (a class
 only where no ``article`` or ``main`` is inside): menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments have none, and ``article`` and ``main`` are never removed for what they hold, so that copies of an article on
-one host stay. If a page has an article, only articles count.
+comments have none. Inside an ``article`` or ``main`` the tree judges what is below it, never the article itself. Pages on
+which the rest of the text is the same (or nearly: the smallest hashes of its shingles) count once for a node, so that copies
+of an article on one host stay. Outside the article of a page only nodes that the tree has found important count.
 
 Text: character references decoded, white space in a block turned into one space and trimmed, blocks joined by an empty
 line. Null or empty pages have an empty text. Null addresses share the empty host. A tag that is not closed ends with its parent.
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import chunks
+from .common import chunks, mix
+from .neardup import shingles
 from .urlvocab import host_and_path
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -172,7 +174,10 @@ def walk(page: str) -> Iterator[tuple[str, tuple]]:
                 around = removed[1]
                 while around and around[0]:
                     around[0], around = False, around[1]
-            stack.append((name, number, removed, inside or name in CONTENT and not gone(removed), (number, chain)))
+            if name in CONTENT and not gone(removed):
+                stack.append((name, number, removed, True, None))  # its own root and what is around it are not judged
+                continue
+            stack.append((name, number, removed, inside, (number, chain)))
     joined = block()
     if joined:
         yield joined, stack[-1]
@@ -196,29 +201,42 @@ def _close(stack: list[tuple], name: str) -> None:
             return
 
 
-def page_nodes(page: str) -> dict[int, tuple[int, int]]:
-    """For every node of a page that holds text itself: how many blocks it shows, and a hash of their text."""
+def page_nodes(page: str) -> dict[int, tuple[int, int, int]]:
+    """For every node of a page that holds text itself: the blocks it shows, a hash of their text, and one of the page's other text.
+
+    The last is made of the two smallest hashes, by two functions, of the shingles of the other nodes that stay; most near copies share it.
+    """
     found: dict[int, list[str]] = {}
-    for text, (_, path, _, _, _) in walk(page):
+    stays: dict[int, bool] = {}  # and whether in an article
+    for text, (_, path, removed, inside, _) in list(walk(page)):
         found.setdefault(path, []).append(text)
-    return {p: (len(x), _signed(_hash("\n".join(x), 2))) for p, x in found.items()}
-
-
-def main_text(page: str, low: set[int]) -> list[str]:
-    """The blocks that stay; ``low`` are the numbers of nodes of low importance on the page's host."""
+        if not gone(removed):
+            stays[path] = stays.get(path, False) or inside
+    if any(stays.values()):
+        stays = {p: x for p, x in stays.items() if x}
+    value, start = shingles(["\n".join(found[p]) for p in stays], 3)
+    rests = dict.fromkeys(found, 0)
+    for hashes in (value, mix(value)):
+        least = {p: int(hashes[i:j].min()) for p, i, j in zip(stays, start[:-1].tolist(), start[1:].tolist()) if i < j}
+        first, second = (sorted(least.values()) + [0, 0])[:2]
+        for p in found:
+            rests[p] = (rests[p] * 31 + (second if least.get(p) == first else first)) & 0xFFFFFFFFFFFFFFFF
+    return {p: (len(x), _signed(_hash("\n".join(x), 2)), _signed(rests[p])) for p, x in found.items()}
+
+
+def main_text(page: str, low: set[int], high: set[int] | frozenset[int] = frozenset()) -> list[str]:
+    """The blocks that stay; ``low`` and ``high`` are the numbers of the nodes judged, by importance, on the page's host."""
     blocks, article = [], False
-    for text, (_, _, removed, inside, chain) in list(walk(page)):
+    for text, (_, path, removed, inside, chain) in list(walk(page)):
         if gone(removed):
             continue
-        if not inside and low:
-            c = chain
-            while c and c[0] not in low:
-                c = c[1]
-            if c:
-                continue
+        c = chain if low else None
+        while c and c[0] not in low:
+            c = c[1]
         article = article or inside
-        blocks.append((text, inside))
-    return [t for t, inside in blocks if inside or not article]
+        if not c:
+            blocks.append((text, inside or path in high))
+    return [t for t, counts in blocks if counts or not article]
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", settings: TreeSettings = TreeSettings()) -> DataFrame:
@@ -232,13 +250,13 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", s
                 out: list[tuple] = []
                 for url, page in zip(part.column("_url").to_pylist(), part.column("_html").to_pylist()):
                     host = host_and_path(url)[0]
-                    out += [(host, _signed(p), look, content) for p, (look, content) in page_nodes(page or "").items()]
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                    out += [(host, _signed(p), *x) for p, x in page_nodes(page or "").items()]
+                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=["host", "node", "look", "content"]
+                    [pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=["host", "node", "look", "content", "rest"]
                 )
 
-    shown = given.mapInArrow(run, "host string, node long, look long, content long")
+    shown = given.mapInArrow(run, "host string, node long, look long, content long, rest long").distinct()
     # one pass for both choices: a row for each, counted by value, then their entropy
     choices = shown.select(
         "host", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("c")
@@ -258,16 +276,19 @@ def extract(
     """Per page its main text, the length of that, and the number of its blocks."""
     s = settings
     tree = style_tree(pages, url_col, html_col, s)
-    low = tree.where((F.col("pages") >= s.min_pages) & (F.col("importance") < s.threshold))
-    # nodes of low importance only, by host; the written size decides how it is joined
-    low = written(low.groupBy("host").agg(F.collect_list("node").alias("_low")), "low-nodes")
+    unimportant = F.col("importance") < s.threshold
+    # the nodes judged, by host; the written size decides how it is joined
+    judged = tree.where(F.col("pages") >= s.min_pages).groupBy("host").agg(
+        F.collect_list(F.when(unimportant, F.col("node"))).alias("_low"), F.collect_list(F.when(~unimportant, F.col("node"))).alias("_high")
+    )
+    judged = written(judged, "judged-nodes")
     given = pages.select(
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("_url"),
         F.col(f"`{html_col}`").cast("string").alias("_html"),
     )
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     host = F.translate(F.regexp_extract(F.coalesce("_url", F.lit("")), "://([^/?#]*)", 1), upper, lower)
-    joined = given.withColumn("host", host).join(low, "host", "left").select("_id", "_url", "_html", "_low")
+    joined = given.withColumn("host", host).join(judged, "host", "left").select("_id", "_url", "_html", "_low", "_high")
     id_type = given.schema["_id"].dataType.simpleString()
     names = [id_col, "url", "text", "n_chars", "n_blocks"]
 
@@ -275,8 +296,8 @@ def extract(
         for batch in batches:
             for part in chunks(batch, "_html"):
                 found = [
-                    main_text(page or "", {x & 0xFFFFFFFFFFFFFFFF for x in nodes or ()})
-                    for page, nodes in zip(part.column("_html").to_pylist(), part.column("_low").to_pylist())
+                    main_text(page or "", *({x & 0xFFFFFFFFFFFFFFFF for x in nodes or ()} for nodes in judged))
+                    for page, *judged in zip(*(part.column(c).to_pylist() for c in ("_html", "_low", "_high")))
                 ]
                 texts = ["\n\n".join(b) for b in found]
                 yield pa.RecordBatch.from_arrays(

@@ -190,6 +190,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert {r.text for r in sitetree.extract(copies).collect()} == {"same"}
 
 
+def test_style_tree_acts_on_pages_with_an_article(spark):
+    box, other = "<div class=more><p>read this also</p></div>", "<div class=t>outside page {0} tells {0}</div>"
+    page = "<body>" + other + "<div class=s>seen everywhere</div><article>Root<h1>Title of {0}</h1><p>page {0} says {0} and more of {0}</p>" + box + "</article></body>"
+    near = "<article><h1>One title</h1><p>" + " ".join(f"w{i}" for i in range(2000)) + " {0}</p></article>"
+    rows = [(i, "http://h.org/", page.format(i * i)) for i in range(12)] + [(100 + i, "http://n.org/", near.format(i)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in sitetree.extract(pages).collect()}
+    assert all(out[i] == f"outside page {i * i} tells {i * i}\n\nRoot\n\nTitle of {i * i}\n\npage {i * i} says {i * i} and more of {i * i}" for i in range(12))
+    assert all(out[100 + i].startswith("One title\n\nw0 w1") for i in range(12))
+    none = sitetree.extract(pages, settings=sitetree.TreeSettings(threshold=-1.0)).where("page_id = 3").first()
+    assert "read this also" in none.text
+
+
 # ---- 6 addresses
 
 
