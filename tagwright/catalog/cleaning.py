@@ -156,7 +156,7 @@ _FIRST_WORDS = rf"""
 def _decisions(spark, folder, texts, settings=None):
     return cl.first_word_decisions(
         texts, written(english_words(spark, folder), "english"), good_tokens(spark, folder),
-        settings or CleaningSettings(keep_measurements=False),
+        settings or CleaningSettings(),
     )
 
 
