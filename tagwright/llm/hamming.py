@@ -39,10 +39,11 @@ class SearchSettings:
 
 
 def sign_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64) -> DataFrame:
-    """``id`` and ``code``, a long whose bits are the signs of the first ``bits`` values."""
+    """``id`` and ``code``, a long whose bits are the signs of the values; a vector of more than ``bits`` is an error."""
     v = F.col(f"`{vector_col}`")
     bit = lambda i: F.when((v[i] > 0) & ~F.isnan(v[i]), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0))
     code = sum((F.when(F.size(v) > i, bit(i)).otherwise(F.lit(0)) for i in range(1, bits)), F.when(F.size(v) > 0, bit(0)).otherwise(F.lit(0)))
+    code = F.when(F.size(v) > bits, F.raise_error(F.lit(f"a vector has more than {bits} values"))).otherwise(code)
     return df.where(v.isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("id"), code.cast("long").alias("code")
     )

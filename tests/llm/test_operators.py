@@ -153,6 +153,13 @@ def test_top_k_is_that_of_all_pairs(spark):
     assert hamming.top_k(codes.limit(0), codes.limit(0)).count() == 0
 
 
+def test_long_vectors_are_not_cut(spark):
+    rows = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 65)], "vec_id long, embedding array<double>")
+    assert hamming.sign_codes(rows.where("vec_id = 1")).first().code == -1
+    with pytest.raises(Exception, match="more than 64 values"):
+        hamming.sign_codes(rows).collect()
+
+
 # ---- 5 pages
 
 
