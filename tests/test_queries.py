@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import TESTDATA
+from tables import TESTDATA
 
 import __spark_entry__ as registered
 
