@@ -10,5 +10,8 @@
 ``packing``      token sequences: cost-balanced packing
 ``neardup``      near duplicates: fast similarity sketching, banding, exact verification
 ``bpe``          byte-pair encoding as a deterministic automaton
+``align``        alignment of two tokenizations: divide and conquer at shared cuts
+``exact``        exact duplicates: deterministic block naming
+``runs``         periodic runs of words: suffix automaton with link-cut access
 ``queries``      the registered queries and their SQL
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, neardup, packing, pii, quality, sitetree, urlvocab, wordrules
+from . import align, bpe, exact, hamming, langid, neardup, packing, pii, quality, runs, sitetree, urlvocab, wordrules
 from .common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe_automaton")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"))
+
+
+@query("op11_shared_cut_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align_documents(table(spark, folder, "documents"))
+
+
+@query("op12_block_naming", exact.groups_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op13_suffix_automaton_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.find_runs(runs.with_periods(table(spark, folder, "documents")))
