@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,7 @@ from .common import map_texts
 class AlignSettings:
     bytes_bpe: str = field(default_factory=lambda: public_tokenizers.path("byte_bpe_50k.json"))
     pieces: str = field(default_factory=lambda: public_tokenizers.path("piece_bpe_32k.model"))
+    step_bytes: int = 512 << 10  # text that is worked on at once, one text at least
     slice_rows: int = 2_000_000  # pairs of a slice of the pair table, the most that is broadcast at once
 
 
@@ -100,7 +102,7 @@ class Sequences:
 
     def __init__(self, ids: list[list[int]], length_of: np.ndarray):
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        self.ids = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(self.first[-1]))
+        self.ids = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(self.first[-1]))
         self.ends = np.cumsum(length_of[self.ids])
 
 
@@ -160,9 +162,13 @@ def groups_of(a: Sequences, b: Sequences) -> Groups:
 
 def links_of(a: Sequences, b: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The linked tokens of both sequences, and the text of each link: one link for each piece between consecutive ends."""
-    ends = np.union1d(a.ends, b.ends)
-    x, y = np.searchsorted(a.ends, ends), np.searchsorted(b.ends, ends)
-    return x, y, np.searchsorted(a.first, x, side="right") - 1
+    merged = np.sort(np.concatenate([2 * a.ends, 2 * b.ends + 1]), kind="stable")  # even: an end of the first sequence
+    first = merged % 2 == 0
+    new = np.ones(len(merged), dtype=bool)
+    new[1:] = merged[1:] // 2 != merged[:-1] // 2
+    x = (np.cumsum(first) - first)[new]
+    y = (np.cumsum(~first) - ~first)[new]
+    return x, y, np.repeat(np.arange(len(a.first) - 1), np.diff(np.searchsorted(x, a.first)))
 
 
 class GroupWriter:
@@ -219,7 +225,8 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Alig
             digests = [hashlib.sha256(t).hexdigest() if t else "" for t in writer.texts(a, b, g)]
             x, y, owner = links_of(a, b)
             pair = a.ids[x] * n_b + b.ids[y]
-            order = np.lexsort((pair, owner))
+            order = np.argsort(pair, kind="stable")
+            order = order[np.argsort(owner[order], kind="stable")]
             pair, owner = pair[order], owner[order]
             new = np.ones(len(pair), dtype=bool)
             new[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
@@ -235,7 +242,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Alig
 
         return each
 
-    return map_texts(df, id_col, text_col, FIELDS, work)
+    return map_texts(df, id_col, text_col, FIELDS, work, s.step_bytes)
 
 
 def pair_counts(aligned: DataFrame, n_b: int) -> DataFrame:

@@ -32,12 +32,13 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def map_texts(
-    df: DataFrame, id_col: str, text_col: str, fields: str, work: Callable[[], Callable[[list[str]], list]]
+    df: DataFrame, id_col: str, text_col: str, fields: str, work: Callable[[], Callable[[list[str]], list]],
+    limit: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per input row: the id and what ``work()`` gives for its text.
 
     ``work`` is called once per task and returns a function from a list of texts to a list of columns, in the order
-    of ``fields`` (a DDL list). Only the id and the text are read, so further columns cannot clash.
+    of ``fields`` (a DDL list). A list has about ``limit`` bytes, one text at least. Only the id and the text are read, so further columns cannot clash.
     """
     given = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     id_type = given.schema["_id"].dataType.simpleString()
@@ -45,7 +46,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", limit):
                 columns = each(texts_of(part, "_text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]], names=names
