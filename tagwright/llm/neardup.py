@@ -47,6 +47,8 @@ class NearSettings:
     rows: int = 5  # coordinates of a band
     differing: int = 32  # two-bit coordinates in which a linked pair may differ
     rare: int = 16  # documents that share a shingle which counts as rare
+    few: int = 24  # members of a band that are compared with each other; larger bands go by rare shingles
+    share: int = 512  # pairs of one set that are confirmed beside one copy of it
 
     @staticmethod
     def at_80() -> NearSettings:
@@ -169,11 +171,25 @@ def sets_of(df: DataFrame, words: int) -> DataFrame:
     return map_texts(df, "id", "text", "n long, h1 long, h2 long, held array<long>", work)
 
 
+def sieved(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` may be one of ``ids``, without a shuffle of the rows.
+
+    The ids' hashes set bits of 2^20 words of 64 bits, which bounds what is broadcast. Rows of other ids pass with the
+    share of bits that are set, so a join has to follow; it finds the rows of all ``ids`` here, however many these are.
+    """
+    word, bit = F.shiftrightunsigned(F.xxhash64("id"), 44), F.shiftrightunsigned(F.xxhash64("id"), 38).bitwiseAND(F.lit(63))
+    mask = F.expr("shiftleft(1L, cast(_bit as int))")
+    words = ids.select(word.alias("_w"), bit.alias("_bit")).groupBy("_w").agg(F.bit_or(mask).alias("_mask"))
+    met = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(words), F.col("_word") == F.col("_w"))
+    return met.where(F.col("_mask").bitwiseAND(mask) != 0).select(*df.columns)
+
+
 def one_row_sets(given: DataFrame, needed: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
     """``id`` (the number of a set) and ``held``, one row for each of ``needed``.
 
     An id with one row has the set of that row. Of the ``repeated`` ids all rows are read, and the set says which is which.
     """
+    given = sieved(given, needed.select(F.col("name").alias("id")))
     once = needed.join(repeated, needed["name"] == repeated["id"], "left_anti").select(F.col("id").alias("_set"), F.col("name").alias("id"))
     once = given.join(once, "id").select(F.col("_set").alias("id"), "text")
     again = needed.join(repeated.withColumnRenamed("id", "name"), "name", "left_semi")
@@ -182,26 +198,37 @@ def one_row_sets(given: DataFrame, needed: DataFrame, repeated: DataFrame, words
     return sets_of(once, words).select("id", "held").unionAll(many.select("id", "held").dropDuplicates(["id"]))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "held": "held_a"}), "a").join(
-        sets.withColumnsRenamed({"id": "b", "held": "held_b"}), "b"
-    )
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, share: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
+
+    The sets of the b of one a come to one task in parts of about ``share``, after one copy of the set of a, and are
+    read one by one; so a set with very many partners is neither copied to each of them nor gathered with them.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).alias("parts"))
+    placed = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    heads = placed.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
+    asked = heads.unionAll(placed.select(F.col("b").alias("id"), "a", "part", "b"))
+    rows = sieved(sets, asked.select("id")).join(asked, "id").select("a", "part", "b", "held")
+    ordered_rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, dtype=np.int64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("held_a"), batch.column("held_b")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for b, held in zip(batch.column("b").to_pylist(), batch.column("held")):
+                x = held.values.to_numpy()
+                if b is None:
+                    head = x.copy()
+                    keep.append(False)
+                    continue
                 # each is distinct in itself, so equal neighbours after sorting are the intersection
-                z = np.concatenate([x, y])
+                z = np.concatenate([head, x])
                 z.sort(kind="stable")
                 common = int((z[1:] == z[:-1]).sum())
                 keep.append(100 * common >= percent * (len(z) - common))
-            kept = batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-            yield kept
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.select("a", "b", "held_a", "held_b").mapInArrow(run, "a long, b long")
+    return ordered_rows.select("a", "b", "held").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,46 +258,64 @@ def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def main_only(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """The sets of the documents in bands that span several components."""
-    return sets.join(members.select("id").distinct(), "id", "left_semi")
+def other(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
+
+
+def alike(s: NearSettings):
+    """Whether sizes and sketches of a row and of its ``o_`` columns allow a link."""
+    x = [F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}")) for i in range(4)]
+    differ = sum(F.bit_count((v.bitwiseOR(F.shiftright(v, 1))).bitwiseAND(F.lit(EVEN_BITS))) for v in x)
+    return (100 * F.least("n", "o_n") >= s.percent * F.greatest("n", "o_n")) & (differ <= s.differing)
+
+
+SKETCH = ["n", "s0", "s1", "s2", "s3"]
+
+
+def star_pairs(entries: DataFrame, leaders: DataFrame, names: DataFrame, s: NearSettings) -> DataFrame:
+    """Members of bands with the leader of the band, where size and sketch allow a link."""
+    facts = names.select("id", *SKETCH)
+    pairs = entries.join(leaders, "band").where("id != leader").select("id", F.col("leader").alias("o_id")).distinct()
+    both = pairs.join(facts, "id").join(other(facts), "o_id")
+    return both.where(alike(s)).select(*ordered("id", "o_id")).distinct()
 
 
 def remaining(members: DataFrame, names: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
     """Pairs of different components that can still be linked; every link between them is among these pairs.
 
-    A shingle is rare if at most ``rare`` of these documents have it. Ordered from the rarest on, the first shingle that
-    two linked documents share is among the first ``n - percent of n + 1`` of both. So a linked pair either shares a rare
-    shingle there, which at most ``rare`` documents do, or shares no rare shingle at all: then neither's rare ones are in
-    the intersection, which bounds it. Only pairs of the second kind are looked for in the bands.
+    Two such documents share a band, and that band spans several components. In a band of at most ``few`` members all
+    are compared by size and sketch. In larger bands pairs are found through their shingles. A shingle is rare if at
+    most ``rare`` of these documents have it. Ordered from the rarest on, the first shingle that two linked documents
+    share is among the first ``n - percent of n + 1`` of both. So a linked pair either shares a rare shingle there, which
+    at most ``rare`` documents do, or shares no rare shingle at all: then neither's rare ones are in the intersection,
+    which bounds it. Only pairs of the second kind are looked for in the large bands.
     """
-    tokens = sets.select("id", F.explode("held").alias("token"))
+    possible = (F.col("component") != F.col("o_component")) & alike(s)
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("many"))
+    members = written(members.join(sizes, "band"), "torn")
+    small = members.where(F.col("many") <= s.few).select("band", "id", "component").join(names.select("id", *SKETCH), "id")
+    small = written(small, "small")
+    near = small.join(other(small), (F.col("band") == F.col("o_band")) & (F.col("id") < F.col("o_id")) & possible)
+    near = near.select(*ordered("id", "o_id"))
+
+    large = members.where(F.col("many") > s.few)
+    tokens = sets.join(large.select("id").distinct(), "id", "left_semi").select("id", F.explode("held").alias("token"))
     seldom = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= s.rare)
     held = written(tokens.join(seldom, "token"), "rare")
-    facts = members.select("id", "component").distinct().join(names.select("id", "n", "s0", "s1", "s2", "s3", "bands"), "id")
+    facts = large.select("id", "component").distinct().join(names.select("id", *SKETCH, "bands"), "id")
     counts = held.groupBy("id").agg(F.count(F.lit(1)).alias("r"))
     facts = written(facts.join(counts, "id", "left").na.fill(0, ["r"]), "facts")
-    common = ["n", "component", "s0", "s1", "s2", "s3", "r"]
+    common = [*SKETCH, "component", "r"]
 
-    def other(df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
-
-    x = [F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}")) for i in range(4)]
-    differ = sum(F.bit_count((v.bitwiseOR(F.shiftright(v, 1))).bitwiseAND(F.lit(EVEN_BITS))) for v in x)
-    possible = (
-        (F.col("component") != F.col("o_component"))
-        & (100 * F.least("n", "o_n") >= s.percent * F.greatest("n", "o_n"))
-        & (differ <= s.differing)
-    )
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
-    first = held.withColumn("place", place).join(facts, "id")
-    first = first.where((F.col("df") > 1) & (100 * (F.col("place") - 1) <= (100 - s.percent) * F.col("n"))).select("id", "token", *common)
+    first = held.withColumn("place", place).where("df > 1").join(facts, "id")
+    first = first.where(100 * (F.col("place") - 1) <= (100 - s.percent) * F.col("n")).select("id", "token", *common)
     sharing = first.join(other(first), (F.col("token") == F.col("o_token")) & (F.col("id") < F.col("o_id")) & possible)
 
     most = F.least(F.col("n") - F.col("r"), F.col("o_n") - F.col("o_r"))
     enough = 100 * most >= s.percent * (F.col("n") + F.col("o_n") - most)
     # no partner can make up for too many rare shingles
-    able = members.select("band", "id", "main").join(facts, "id").where(100 * (F.col("n") - F.col("r")) >= s.percent * F.col("n"))
+    able = large.select("band", "id", "main").join(facts, "id").where(100 * (F.col("n") - F.col("r")) >= s.percent * F.col("n"))
     outside = other(able.where("component != main"))
     # a pair that shares several bands is taken in one of them
     once = F.array_min(F.array_intersect("bands", "o_bands")) == F.col("band")
@@ -278,7 +323,8 @@ def remaining(members: DataFrame, names: DataFrame, sets: DataFrame, s: NearSett
         able,
         (F.col("band") == F.col("o_band")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("o_id"))) & possible & enough & once,
     )
-    return sharing.select(*ordered("id", "o_id")).unionAll(together.select(*ordered("id", "o_id"))).distinct()
+    found = near.unionAll(sharing.select(*ordered("id", "o_id"))).unionAll(together.select(*ordered("id", "o_id")))
+    return found.distinct()
 
 
 def near_duplicates(
@@ -305,13 +351,11 @@ def near_duplicates(
         F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("top")
     )
     leaders = written(leaders.select("band", (-F.col("top.minus")).alias("leader")), "leaders")
-    stars = written(
-        entries.join(leaders, "band").where("id != leader").select(*ordered("id", "leader")).distinct(), "stars"
-    )
+    stars = written(star_pairs(entries, leaders, names, s), "stars")
     needed = written(names.select("id", "name", "n", "h1", "h2").join(entries.select("id").distinct(), "id", "left_semi"), "needed")
     repeated = sketched.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
     sets = written(one_row_sets(given, needed, written(repeated, "repeated"), s.words), "sets")
-    first = written(linked(stars, sets, s.percent), "links")
+    first = written(linked(stars, sets, s.percent, s.share), "links")
     groups = components(first)
 
     # bands that still span several components
@@ -321,8 +365,8 @@ def near_duplicates(
         "band", F.coalesce("component", "leader").alias("main")
     )
     members = written(placed.join(torn.join(main, "band").select("band", "main"), "band"), "members")
-    rest = remaining(members, names, main_only(sets, members), s).join(stars, ["a", "b"], "left_anti")
-    second = linked(written(rest, "rest"), sets, s.percent)
+    rest = remaining(members, names, sets, s).join(stars, ["a", "b"], "left_anti")
+    second = linked(written(rest, "rest"), sets, s.percent, s.share)
 
     # from the numbers of sets back to ids; rows of one id with several sets hold these together
     edges = first.unionAll(second)

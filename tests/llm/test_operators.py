@@ -326,7 +326,8 @@ def test_groups_are_those_of_all_pairs(spark, s):
     assert sorted(x.doc_id for x in left.collect()) == sorted(set(group))
 
 
-def test_repeated_rows_and_several_sets_of_an_id_in_torn_bands(spark):
+@pytest.mark.parametrize("s", [neardup.NearSettings(), neardup.NearSettings(few=2, share=3)])
+def test_repeated_rows_and_several_sets_of_an_id_in_torn_bands(spark, s):
     """A and B are linked by 92 of 108 shingles; the leaders of their bands are linked with neither."""
     rows, group = [], {}
     for k in range(12):
@@ -342,7 +343,7 @@ def test_repeated_rows_and_several_sets_of_an_id_in_torn_bands(spark):
                 group[rows[-1][0]] = first + 10 * (f + 1)
     sets = [(i, plain_set(t)) for i, t in rows]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], TEXT)
-    out = neardup.near_duplicates(df).collect()
+    out = neardup.near_duplicates(df, settings=s).collect()
     linked_ = {(i, j) for i, x in sets for j, y in sets if i < j and 100 * len(x & y) >= 85 * len(x | y)}
     assert all((group[i] == group[j]) == ((i, j) in linked_) for i in group for j in group if i < j)
     assert sorted((r.doc_id, r.n_shingles) for r in out) == sorted((i, len(s)) for i, s in sets)
