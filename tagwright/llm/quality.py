@@ -13,6 +13,7 @@ scoring.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +47,9 @@ class QualitySettings:
     threshold: float = 0.3
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_features(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines of the texts, their lengths in bytes, and the first line of each text and of the end."""
-    words = Words([t.encode() for t in texts])
+    words = Words([t if isinstance(t, bytes) else t.encode() for t in texts])
     data, text_start = words.data, words.text_start
     # a line ends at each \n and at the blank that follows every text
     ends = np.flatnonzero(data == 10)
@@ -136,6 +137,87 @@ def forward_backward(emission: np.ndarray, pair: np.ndarray, first: np.ndarray)
     return p[:, 1] / p.sum(1), expected
 
 
+def _scan(steps: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``start @ steps[0] @ .. @ steps[t]`` for every t, each made to sum to one.
+
+    The steps are laid out as blocks of about their square root: the products of all blocks are formed side by side,
+    carried from block to block, and followed inside all blocks side by side.
+    """
+    n = len(steps)
+    width = max(1, int(np.sqrt(n)))
+    blocks = -(-n // width)
+    held = np.tile(np.eye(2), (blocks * width, 1, 1))
+    held[:n] = steps
+    held = held.reshape(blocks, width, 2, 2)
+    whole = np.tile(np.eye(2), (blocks, 1, 1))
+    for j in range(width):
+        whole = whole @ held[:, j]
+        whole /= whole.sum((1, 2), keepdims=True)
+    at = np.empty((blocks, 2))
+    for k in range(blocks):
+        at[k] = start
+        start = start @ whole[k]
+        start = start / start.sum()
+    out = np.empty((blocks, width, 2))
+    for j in range(width):
+        at = (at[:, None] @ held[:, j])[:, 0]
+        at /= at.sum(1, keepdims=True)
+        out[:, j] = at
+    return out.reshape(-1, 2)[:n]
+
+
+def long_marginals(emission: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Probability that each line of one text is good, as :func:`forward_backward`, without a step for every line."""
+    n = len(emission)
+    own = np.ones((n, 2))
+    own[:, 1] = np.exp(np.clip(emission, -30, 30))
+    step = np.exp(pair)
+    f, b = np.empty((n, 2)), np.empty((n, 2))
+    f[0], b[-1] = own[0] / own[0].sum(), 0.5
+    f[1:] = _scan(step[None] * own[1:, None, :], f[0])
+    b[:-1] = _scan((step[None] * own[1:, None, :])[::-1].transpose(0, 2, 1), b[-1])[::-1]
+    p = f * b
+    return p[:, 1] / p.sum(1)
+
+
+LONG = 512  # lines of a text that is worked on by itself
+STEP_LINES = 1 << 15  # lines whose features are held at once
+
+
+def marginals(emission: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Probability that each line is good."""
+    sizes = np.diff(first)
+    out = np.empty(len(emission))
+    short = np.repeat(sizes <= LONG, sizes)
+    if short.any():
+        begins = np.concatenate([[0], np.cumsum(sizes[sizes <= LONG])])
+        out[short] = forward_backward(emission[short], pair, begins)[0]
+    for t in np.flatnonzero(sizes > LONG).tolist():
+        out[first[t] : first[t + 1]] = long_marginals(emission[first[t] : first[t + 1]], pair)
+    return out
+
+
+def line_runs(texts: list[str]) -> Iterator[tuple[list[bytes], list[int]]]:
+    """The texts in runs of about ``STEP_LINES`` lines, and whose each part is; only a longer text is cut, between lines."""
+    run, owners, held = [], [], 0
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        cuts = [-1]
+        if raw.count(b"\n") >= STEP_LINES:
+            cuts += np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)[STEP_LINES - 1 :: STEP_LINES].tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(raw)]):
+            part = raw[a + 1 : b]
+            lines = part.count(b"\n") + 1
+            if held and held + lines > STEP_LINES:
+                yield run, owners
+                run, owners, held = [], [], 0
+            run.append(part)
+            owners.append(i)
+            held += lines
+    if run:
+        yield run, owners
+
+
 @dataclass
 class LineField:
     mean: np.ndarray
@@ -145,14 +227,36 @@ class LineField:
     slope: float = 1.0
     offset: float = 0.0
 
-    def lines(self, texts: list[str]):
-        x, length, first = line_features(texts)
-        return with_neighbours((x - self.mean) / self.scale, first), length, first
+    def lines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of "good" of all lines, their lengths, and the first line of each text and of the end.
+
+        A line's score is the sum of what its own features, those of the line before and those of the line after give.
+        Features are held for a bounded number of lines, three sums for each line of the step.
+        """
+        d = len(self.mean)
+        three = self.weights[: 3 * d].reshape(3, d).T
+        sums, lengths, sizes = [], [], np.zeros(len(texts), dtype=np.int64)
+        for run, owners in line_runs(texts):
+            x, length, first = line_features(run)
+            sums.append(((x - self.mean) / self.scale) @ three)
+            lengths.append(length)
+            np.add.at(sizes, owners, np.diff(first))
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        own, before, after = np.concatenate(sums).T
+        begins, closes = first[:-1], first[1:] - 1
+        emission = own + self.weights[3 * d + 2]
+        emission[1:] += before[:-1]
+        emission[:-1] += after[1:]
+        emission[begins[1:]] -= before[begins[1:] - 1]
+        emission[closes[:-1]] -= after[closes[:-1] + 1]
+        emission[begins] += self.weights[3 * d]
+        emission[closes] += self.weights[3 * d + 1]
+        return emission, np.concatenate(lengths), first
 
     def raw(self, texts: list[str]) -> np.ndarray:
         """Log odds of the length-weighted mean of the lines' probabilities."""
-        x, length, first = self.lines(texts)
-        good, _ = forward_backward(x @ self.weights, self.pair, first)
+        emission, length, first = self.lines(texts)
+        good = marginals(emission, self.pair, first)
         weight = length + 1.0
         total = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
         total = np.clip(total, 1e-6, 1 - 1e-6)

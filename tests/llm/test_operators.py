@@ -91,6 +91,42 @@ GOOD = ["The quick brown fox went home.\nIt was late and the road was long.", "R
 BAD = ["BUY!! NOW!! GO!! ###\n$$$ &&& ***", "buy buy buy buy buy buy\nnow now now now"]
 
 
+def test_scores_of_lines_are_those_of_all_features_at_once():
+    r = np.random.default_rng(6)
+    d = quality.N_BASE
+    field = quality.LineField(r.normal(size=d), 1 + r.random(d), r.normal(size=3 * d + 3) / 4, r.normal(size=(2, 2)))
+    texts = ["", "one", "a b\n\nc d e.\n", "x\n" * 700, "\n", "last, line\nof 3"]
+    x, length, first = quality.line_features(texts)
+    x = quality.with_neighbours((x - field.mean) / field.scale, first)
+    emission, lengths, begins = field.lines(texts)
+    assert np.allclose(emission, x @ field.weights) and (lengths == length).all() and (begins == first).all()
+    good = quality.forward_backward(emission, field.pair, first)[0]
+    assert np.allclose(quality.marginals(emission, field.pair, first), good)
+
+
+def test_lines_are_cut_only_between_lines(monkeypatch):
+    monkeypatch.setattr(quality, "STEP_LINES", 3)
+    texts = ["a\nb\nc\nd\n", "", "\n\n\n", "e", "f\ng\nh"]
+    back = [b"" for _ in texts]
+    for run, owners in quality.line_runs(texts):
+        assert sum(t.count(b"\n") + 1 for t in run) <= 3
+        for t, i in zip(run, owners):
+            back[i] += t + b"\n"
+    assert [t[:-1].decode() for t in back] == texts
+
+
+def test_memory_of_short_lines_is_bounded():
+    import tracemalloc
+
+    d = quality.N_BASE
+    field = quality.LineField(np.zeros(d), np.ones(d), np.ones(3 * d + 3), np.zeros((2, 2)))
+    tracemalloc.start()
+    field.score(["a\n" * 1_000_000, *["b\n" * 1000] * 1000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20  # 3 million lines
+
+
 def test_forward_backward_is_the_sum_over_all_labellings():
     r = np.random.default_rng(0)
     e, pair, first = r.normal(size=6), r.normal(size=(2, 2)), np.array([0, 4, 5, 6])
