@@ -1,9 +1,8 @@
 """Predictions from one row per document: Spark multiplies terms with class weights, a small array step scores the classes.
 
 A document is scored against all classes at once, because the softmax needs them together. One row per document and
-class would be documents x classes rows through the engine; here the sparse product of terms and weights is a join and
-an aggregation, its sums are gathered in the document's row, and a batch of rows is completed to all classes as arrays
-inside the task. The steps of a batch are cut by the cells they fill, so a task holds the same for long and short texts.
+class would be documents x classes rows through the engine; here the sparse product (:mod:`.product`) gives lists of sums
+for each document, and a batch of documents is completed to all classes as arrays inside the task. The steps of a batch are cut by the cells they fill, so a task holds the same for long and short texts.
 
 The class table goes along with the tasks: it is the label tree, a row per label, and a task must hold one score per
 class of a document anyway. The weights stay behind.
@@ -19,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bayes
 from ..session import written
+from .product import sums_by_document
 
 # Cells of the dense score arrays per step, at least one document: the memory of a task, not what it computes.
 STEP_CELLS = 2_000_000
@@ -125,14 +124,12 @@ def _end_to_end(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(tree: Tree, part: pd.DataFrame, n_alphas: int) -> list[np.ndarray]:
-    """Class sums of the documents per alpha, documents x classes."""
+    """Class sums of the documents per alpha, documents x classes. A class may come once for each block of terms."""
     row, code = _end_to_end(part["codes"], np.int64)
-    out = []
-    for i in range(n_alphas):
-        dense = np.zeros((len(part), tree.size))
-        dense[row, code] = _end_to_end(part[f"s_{i}"], float)[1]
-        out.append(dense)
-    return out
+    cell, shape = row * tree.size + code, (len(part), tree.size)
+    return [
+        np.bincount(cell, _end_to_end(part[f"s_{i}"], float)[1], len(part) * tree.size).reshape(shape) for i in range(n_alphas)
+    ]
 
 
 def _predictions(candidates: list, alphas: list[float]):
@@ -205,16 +202,15 @@ def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth:
     ] if "words" in x.columns else []
     totals = valued.groupBy("split", "doc").agg(F.sum("x").alias("rs"), *quality)
     names = [f"s_{i}" for i in range(len(alphas))]
-    sums = bayes.lookup_term_weights(valued.where("x is not null"), model.weights, alphas)
-    listed = sums.groupBy("split", "doc").agg(F.collect_list(F.struct("code", *names)).alias("_f"))
+    listed = sums_by_document(valued.where("x is not null"), model.weights, alphas)
     per_doc = docs.select("split", "doc").join(totals, ["split", "doc"], "left").join(listed, ["split", "doc"], "left")
 
     def or_empty(name: str, kind: str):
-        return F.coalesce(F.col(f"_f.{name}"), F.array().cast(f"array<{kind}>"))
+        return F.coalesce(F.col(name), F.array().cast(f"array<{kind}>")).alias(name)
 
     ready = per_doc.select(
         F.col("split").cast("int").alias("split"), "doc", F.coalesce("rs", F.lit(0.0)).alias("rs"),
-        or_empty("code", "int").alias("codes"), *[or_empty(n, "double").alias(n) for n in names],
+        or_empty("codes", "int"), *[or_empty(n, "double") for n in names],
         *[F.coalesce(n, F.lit(0)).alias(n) for n in QUALITY if n in per_doc.columns],
     )
     return ready, docs.sparkSession.sparkContext.broadcast(_trees(model, depth))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.lists import CleaningSettings
 from ..operators import bayes, features as ft, scoring
 from ..operators.joins import attach_names
-from ..operators.running import running_totals
 from ..operators.splits import train_splits
 from ..session import written
 from ..sources import store
@@ -59,8 +58,8 @@ def documents(df: DataFrame, key: str, text_col: str, levels, tests: Column | No
     held = tests if tests is not None else F.array().cast("array<int>")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     full = df.select(F.col(f"`{key}`").alias("doc"), text.alias("text"), bayes.path_of(levels).alias("path"), held.alias("tests"))
-    sizes = written(full.groupBy("path", "tests").agg(F.count("*").alias("n")), "groups")
-    groups = running_totals(sizes, [], [F.col("path"), F.col("tests")], {"grp": F.lit(1)})
+    sizes = full.groupBy("path", "tests").agg(F.count("*").alias("n"))
+    groups = written(sizes.withColumn("grp", F.monotonically_increasing_id()), "groups")  # numbered once, then read
     return Documents(full.join(groups.drop("n"), ["path", "tests"]).select("doc", "text", "grp"), groups)
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import by_rows
 from tagwright.operators import bayes, features as ft
 from tagwright.plans import model as pm
 from tagwright.plans.settings import ModelSettings
@@ -143,7 +144,7 @@ def test_predictions_match_those_by_rows(fitted):
     x = ft.features(terms, model.vocabulary, model.settings).select("split", "doc", "tid", "x")
     for candidate, alpha, prior, mode in CANDIDATES:
         sums = bayes.lookup_term_weights(x, model.weights, [alpha])
-        rows = bayes.predictions_by_rows(bayes.row_sums(asked, x), sums, model.classes, 3, alpha, prior, mode)
+        rows = by_rows.predictions_by_rows(bayes.row_sums(asked, x), sums, model.classes, 3, alpha, prior, mode)
         other = {r.doc: r for r in rows.collect()}
         mine = one[one.candidate == candidate]
         assert [tuple(p) for p in mine.path] == [tuple(other[d].path) for d in mine.doc]
