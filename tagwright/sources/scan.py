@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .quoted import scan_quoted
 
 # The strings read as null. "NA" and "N/A" are values.
 NULL_MARKERS = ("", "NULL", "null", "None", "nan", "NaN", "<NA>")
@@ -45,15 +46,12 @@ def scan_query(spark: SparkSession, sql: str) -> DataFrame:
 def scan_delimited(spark: SparkSession, path: str, delimiter: str = DELIMITER, quoted: bool = True) -> DataFrame:
     """Delimited text with a header. ``quoted=False`` reads ``"`` as an ordinary character (an inch mark).
 
-    Files without quoting can be split by line, so one large file is read by many tasks; with quoting a field may
-    hold a line break.
+    A quoted field may hold a line break; both kinds of files are read by many tasks (:mod:`.quoted`).
     """
-    reader = spark.read.option("header", True).option("sep", delimiter).option("inferSchema", False)
     if quoted:
-        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", True)
-    else:
-        reader = reader.option("quote", "").option("escape", "")
-    return null_markers(reader.csv(path))
+        return null_markers(scan_quoted(spark, path, delimiter))
+    reader = spark.read.option("header", True).option("sep", delimiter).option("inferSchema", False)
+    return null_markers(reader.option("quote", "").option("escape", "").csv(path))
 
 
 def load_source(

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.lists import CleaningSettings
-from .scan import DELIMITER, null_markers
+from .scan import DELIMITER, scan_delimited
 
 
 def write_json(spark: SparkSession, value: Any, path: str) -> None:
@@ -70,10 +70,7 @@ def read_dataset(spark: SparkSession, folder: str, name: str | None = None) -> t
     if name is not None:
         folder = latest_folder(spark, folder) if name.lower() == "latest" else f"{folder}/{name}"
     meta = read_json(spark, f"{folder}/metadata.json")
-    items = null_markers(
-        spark.read.option("header", True).option("sep", meta["delimiter"]).option("quote", '"')
-        .option("escape", '"').option("multiLine", True).csv(f"{folder}/{meta['files']['cleaned']}")
-    )
+    items = scan_delimited(spark, f"{folder}/{meta['files']['cleaned']}", meta["delimiter"])
     if meta.get("cleaned_col"):
         items = items.fillna("", [meta["cleaned_col"]])
     return items, read_vocabulary(spark, f"{folder}/{meta['files']['vocabulary']}"), meta
