@@ -47,7 +47,6 @@ class NearSettings:
     rows: int = 5  # coordinates of a band
     differing: int = 32  # two-bit coordinates in which a linked pair may differ
     rare: int = 16  # documents that share a shingle which counts as rare
-    few: int = 24  # members of a band that are compared with each other; larger bands go by rare shingles
     share: int = 512  # pairs of one set that are confirmed beside one copy of it
 
     @staticmethod
@@ -193,7 +192,8 @@ def one_row_sets(given: DataFrame, needed: DataFrame, repeated: DataFrame, words
     once = needed.join(repeated, needed["name"] == repeated["id"], "left_anti").select(F.col("id").alias("_set"), F.col("name").alias("id"))
     once = given.join(once, "id").select(F.col("_set").alias("id"), "text")
     again = needed.join(repeated.withColumnRenamed("id", "name"), "name", "left_semi")
-    many = sets_of(given.join(again.select(F.col("name").alias("id")).distinct(), "id", "left_semi"), words)
+    # no semi join here: it would be moved below the sieve and take all texts through a shuffle
+    many = sets_of(given.join(again.select(F.col("name").alias("id")).distinct(), "id").select("id", "text"), words)
     many = many.withColumnRenamed("id", "name").join(again, ["name", "n", "h1", "h2"])
     return sets_of(once, words).select("id", "held").unionAll(many.select("id", "held").dropDuplicates(["id"]))
 
@@ -283,26 +283,17 @@ def star_pairs(entries: DataFrame, leaders: DataFrame, names: DataFrame, s: Near
 def remaining(members: DataFrame, names: DataFrame, sets: DataFrame, s: NearSettings) -> DataFrame:
     """Pairs of different components that can still be linked; every link between them is among these pairs.
 
-    Two such documents share a band, and that band spans several components. In a band of at most ``few`` members all
-    are compared by size and sketch. In larger bands pairs are found through their shingles. A shingle is rare if at
-    most ``rare`` of these documents have it. Ordered from the rarest on, the first shingle that two linked documents
-    share is among the first ``n - percent of n + 1`` of both. So a linked pair either shares a rare shingle there, which
-    at most ``rare`` documents do, or shares no rare shingle at all: then neither's rare ones are in the intersection,
-    which bounds it. Only pairs of the second kind are looked for in the large bands.
+    Two such documents share a band, and that band spans several components. A shingle is rare if at most ``rare`` of
+    these documents have it. Ordered from the rarest on, the first shingle that two linked documents share is among the
+    first ``n - percent of n + 1`` of both. So a linked pair either shares a rare shingle there, which at most ``rare``
+    documents do, or shares no rare shingle at all: then neither's rare ones are in the intersection, which bounds it.
+    Only pairs of the second kind are looked for in the bands.
     """
     possible = (F.col("component") != F.col("o_component")) & alike(s)
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("many"))
-    members = written(members.join(sizes, "band"), "torn")
-    small = members.where(F.col("many") <= s.few).select("band", "id", "component").join(names.select("id", *SKETCH), "id")
-    small = written(small, "small")
-    near = small.join(other(small), (F.col("band") == F.col("o_band")) & (F.col("id") < F.col("o_id")) & possible)
-    near = near.select(*ordered("id", "o_id"))
-
-    large = members.where(F.col("many") > s.few)
-    tokens = sets.join(large.select("id").distinct(), "id", "left_semi").select("id", F.explode("held").alias("token"))
+    tokens = sieved(sets, members.select("id")).join(members.select("id").distinct(), "id").select("id", F.explode("held").alias("token"))
     seldom = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= s.rare)
     held = written(tokens.join(seldom, "token"), "rare")
-    facts = large.select("id", "component").distinct().join(names.select("id", *SKETCH, "bands"), "id")
+    facts = members.select("id", "component").distinct().join(names.select("id", *SKETCH, "bands"), "id")
     counts = held.groupBy("id").agg(F.count(F.lit(1)).alias("r"))
     facts = written(facts.join(counts, "id", "left").na.fill(0, ["r"]), "facts")
     common = [*SKETCH, "component", "r"]
@@ -315,7 +306,7 @@ def remaining(members: DataFrame, names: DataFrame, sets: DataFrame, s: NearSett
     most = F.least(F.col("n") - F.col("r"), F.col("o_n") - F.col("o_r"))
     enough = 100 * most >= s.percent * (F.col("n") + F.col("o_n") - most)
     # no partner can make up for too many rare shingles
-    able = large.select("band", "id", "main").join(facts, "id").where(100 * (F.col("n") - F.col("r")) >= s.percent * F.col("n"))
+    able = members.select("band", "id", "main").join(facts, "id").where(100 * (F.col("n") - F.col("r")) >= s.percent * F.col("n"))
     outside = other(able.where("component != main"))
     # a pair that shares several bands is taken in one of them
     once = F.array_min(F.array_intersect("bands", "o_bands")) == F.col("band")
@@ -323,8 +314,7 @@ def remaining(members: DataFrame, names: DataFrame, sets: DataFrame, s: NearSett
         able,
         (F.col("band") == F.col("o_band")) & ((F.col("component") == F.col("main")) | (F.col("id") < F.col("o_id"))) & possible & enough & once,
     )
-    found = near.unionAll(sharing.select(*ordered("id", "o_id"))).unionAll(together.select(*ordered("id", "o_id")))
-    return found.distinct()
+    return sharing.select(*ordered("id", "o_id")).unionAll(together.select(*ordered("id", "o_id"))).distinct()
 
 
 def near_duplicates(

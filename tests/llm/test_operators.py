@@ -362,7 +362,7 @@ def test_groups_are_those_of_all_pairs(spark, s):
     assert sorted(x.doc_id for x in left.collect()) == sorted(set(group))
 
 
-@pytest.mark.parametrize("s", [neardup.NearSettings(), neardup.NearSettings(few=2, share=3)])
+@pytest.mark.parametrize("s", [neardup.NearSettings(), neardup.NearSettings(share=3)])
 def test_repeated_rows_and_several_sets_of_an_id_in_torn_bands(spark, s):
     """A and B are linked by 92 of 108 shingles; the leaders of their bands are linked with neither."""
     rows, group = [], {}
