@@ -2,8 +2,9 @@
 
 Letters are lower-cased, other characters become word boundaries. Runs of two, three and four characters are hashed to
 embeddings; their mean goes through a linear softmax. Both are trained by stochastic gradient descent. Since both are linear, a text is
-scored with the product of the two: one number per run and language. A temperature and a rejection threshold are set on
-rows left out of training: the probability below which fewer than ``false_rejection`` of the rightly named rows fall.
+scored with the product of the two: one number per run and language. A temperature and rejection thresholds are set on
+rows left out of training, one threshold for each class of length: ``slack`` log odds below the least sure of the rightly
+named rows of that class. A text of a language that was not learnt has less than that, unless it is much like a learnt one.
 
 A text that is null, empty or without a letter is ``und`` with score 0, and so is every text if no language could be
 learnt. Repeated rows get equal results; an empty table gives none; only id and text are read for prediction.
@@ -32,7 +33,8 @@ class LanguageSettings:
     dimensions: int = 12
     epochs: int = 4
     rate: float = 1.0
-    false_rejection: float = 0.001
+    classes: tuple[int, ...] = (50, 200)  # letters where the next class of length begins
+    slack: float = 2.0  # log odds; the rows left out are too few to show the least sure of all rows
     seed: int = 5
 
 
@@ -78,16 +80,17 @@ class LanguageModel:
     table: np.ndarray  # language x hash
     offset: np.ndarray
     temperature: float
-    threshold: float
+    thresholds: np.ndarray  # one for each class of length
+    classes: tuple[int, ...]
     bits: int
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the languages, and whether the text has a letter."""
+        """Scores of the languages, and the number of letters of each text."""
         hashed, start, letter = grams(texts, self.bits)
         n = len(letter) - 1
         begin, end = np.minimum(start[:-1], n), np.minimum(start[1:], n)
         held = np.concatenate([[0], np.cumsum(letter, dtype=np.int64)])
-        has = held[np.minimum(end + 1, n + 1)] - held[begin] > 0
+        letters = held[np.minimum(end + 1, n + 1)] - held[begin]
         # a run counts if its second character is a letter: blanks alone say nothing
         live = letter[1 : n + 1]
         weight = np.concatenate([[0], np.cumsum(live, dtype=np.int64)])
@@ -97,18 +100,23 @@ class LanguageModel:
             total = np.zeros(n + 1)
             np.cumsum((row[hashed[0]] + row[hashed[1]] + row[hashed[2]]) * live, dtype=np.float64, out=total[1:])
             out[:, i] = (total[end] - total[begin]) / count + self.offset[i]
-        return out, has
+        return out, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its probability, and whether that is too low for the length of the text."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        z, has = self.logits(texts)
-        z = (z - z.max(1, keepdims=True)) / self.temperature
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        z, letters = self.logits(texts)
+        p = probabilities(z / self.temperature)
+        best, has = p.argmax(1), letters > 0
         names = [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
-        return names, np.where(has, p[np.arange(len(best)), best], 0.0)
+        score = np.where(has, p[np.arange(len(best)), best], 0.0)
+        return names, score, ~has | (score < self.thresholds[np.searchsorted(self.classes, letters, side="right")])
+
+
+def probabilities(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def language_sample(documents: DataFrame, settings: LanguageSettings) -> list[tuple[str, str]]:
@@ -117,7 +125,7 @@ def language_sample(documents: DataFrame, settings: LanguageSettings) -> list[tu
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1)
         & (F.length("text") <= settings.longest) & (F.col("lang") != UNKNOWN)
     )
-    names = documents.where(F.col("lang").isNotNull()).select("lang").distinct().count()
+    names = usable.select("lang").distinct().count()
     if not names:
         return []
     # ids first: a sample of texts would bring that many texts from every partition together
@@ -130,7 +138,7 @@ def language_sample(documents: DataFrame, settings: LanguageSettings) -> list[tu
 def fit_language(rows: list[tuple[str, str]], settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
     languages = sorted({name for _, name in rows})
     if not languages:
-        return LanguageModel([], np.zeros((0, 1 << settings.bits)), np.zeros(0), 1.0, 0.0, settings.bits)
+        return LanguageModel([], np.zeros((0, 1 << settings.bits)), np.zeros(0), 1.0, np.zeros(len(settings.classes) + 1), settings.classes, settings.bits)
     random = np.random.default_rng(settings.seed)
     place = {name: i for i, name in enumerate(languages)}
     # short cuts of the texts are examples too, so that short texts are judged well
@@ -169,17 +177,19 @@ def fit_language(rows: list[tuple[str, str]], settings: LanguageSettings = Langu
             # a mean of many runs moves each a little; the root keeps rare runs learning
             embedding[ids] -= rate * 4 * np.sqrt(share)[:, None] * back[None, :]
             done += 1
-    model = LanguageModel(languages, (embedding @ output).T.astype(np.float32).copy(), offset, 1.0, 0.0, settings.bits)
+    table = (embedding @ output).T.astype(np.float32).copy()
+    model = LanguageModel(languages, table, offset, 1.0, np.zeros(len(settings.classes) + 1), settings.classes, settings.bits)
     held = [e for e, out in zip(examples, left_out) if out]
     return calibrated(model, held, settings)
 
 
 def calibrated(model: LanguageModel, held: list[tuple[str, int]], settings: LanguageSettings) -> LanguageModel:
-    """Temperature by the likelihood of the rows left out, then the rejection threshold."""
+    """Temperature by the likelihood of the rows left out, then the rejection thresholds."""
     if not held:
         return model
-    z, has = model.logits([t for t, _ in held])
-    z, label = z[has], np.asarray([i for _, i in held])[has]
+    z, letters = model.logits([t for t, _ in held])
+    label = np.asarray([i for _, i in held])[letters > 0]
+    z, letters = z[letters > 0], letters[letters > 0]
     if not len(z):
         return model
 
@@ -189,13 +199,14 @@ def calibrated(model: LanguageModel, held: list[tuple[str, int]], settings: Lang
         return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), label]).mean())
 
     model.temperature = min(np.geomspace(0.1, 10, 60), key=loss)
-    s = z / model.temperature
-    p = np.exp(s - s.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    right = p.argmax(1) == label
-    if right.any():
-        # never above even odds: a language that is likelier than all others together is not rejected
-        model.threshold = float(min(0.5, np.quantile(p.max(1)[right], settings.false_rejection)))
+    p = probabilities(z / model.temperature)
+    right, p = p.argmax(1) == label, np.clip(p.max(1), 1e-9, 1 - 1e-9)
+    odds, size = np.log(p / (1 - p)), np.searchsorted(settings.classes, letters, side="right")
+    for k in range(len(model.thresholds)):
+        # a class without enough rows takes all
+        own = right & (size == k) if (right & (size == k)).sum() >= 20 else right
+        if own.any():
+            model.thresholds[k] = 1 / (1 + np.exp(settings.slack - odds[own].min()))
     return model
 
 
@@ -208,8 +219,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
     def work():
         def each(texts: list[str]) -> list:
-            names, p = model.predict(texts)
-            rejected = [n == UNKNOWN or s < model.threshold for n, s in zip(names, p.tolist())]
+            names, p, rejected = model.predict(texts)
             return [pa.array(names, type=pa.string()), p, pa.array(rejected, type=pa.bool_())]
 
         return each
@@ -220,11 +230,4 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The documents whose language is not rejected, with all their columns."""
 
-    def work():
-        def each(texts: list[str]) -> np.ndarray:
-            names, p = model.predict(texts)
-            return np.asarray([n != UNKNOWN for n in names]) & (p >= model.threshold)
-
-        return each
-
-    return keep_rows(df, text_col, work)
+    return keep_rows(df, text_col, lambda: lambda texts: ~model.predict(texts)[2])

@@ -171,6 +171,42 @@ def test_language(spark):
     assert none.predict(["the"])[0] == ["und"]
 
 
+def invented(rng, syllables, words):
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(words))
+
+
+SYLLABLES = {"a": ["th", "er", "ing", "and", "on", "es"], "b": ["ach", "ung", "sch", "ei", "en", "ver"], "c": ["ión", "ado", "qu", "ez", "la", "os"],
+             "d": ["wsz", "ęć", "ło", "rzy", "ką", "dzi"]}
+
+
+def test_a_language_that_was_left_out_is_rejected(spark):
+    rng = random.Random(7)
+    texts = {k: [invented(rng, v, rng.randint(5, 150)) for _ in range(150)] for k, v in SYLLABLES.items()}
+    model = langid.fit_language([(t, k) for k in "abc" for t in texts[k][:100]])
+    known = [(t, k) for k in "abc" for t in texts[k][100:]]
+    out = langid.identify(documents(spark, [t for t, _ in known]), model).orderBy("doc_id").collect()
+    assert sum(r.lang_pred == k and not r.rejected for r, (_, k) in zip(out, known)) >= 0.98 * len(known)
+    far = langid.identify(documents(spark, [t for t in texts["d"] if len(t) > 200]), model).collect()
+    assert sum(r.rejected for r in far) >= 0.8 * len(far) and len(far) > 50
+    left = langid.keep_identified(documents(spark, [texts["a"][120], None, "123", *texts["d"][:5]]), model)
+    assert 0 in [r.doc_id for r in left.collect()] and 1 not in [r.doc_id for r in left.collect()]
+
+
+def test_scores_are_plain_means_of_subword_scores():
+    model = langid.fit_language([("the house and the dog", "en"), ("das haus und der hund", "de")] * 20)
+    for text in ["The dog", "a", "x1y", "Der Hund, das Haus!", "é ñ"]:
+        c = [0, *[ord(x.lower()) if x.isalpha() else 0 for x in text], 0, 0, 0, 0]
+        total, n = np.zeros(2), 0
+        for i in range(len(c) - 4):
+            if c[i + 1]:  # runs count by their second character
+                for size in (2, 3, 4):
+                    hashed, _, _ = langid.grams(["".join(chr(x) if x else " " for x in c[1:])], model.bits)
+                    total += model.table[:, hashed[size - 2][i]]
+                    n += 1
+        z, letters = model.logits([text])
+        assert np.allclose(z[0], total / max(n, 1) + model.offset, atol=1e-5) and letters[0] == sum(x.isalpha() for x in text)
+
+
 # ---- 4 search
 
 
@@ -256,6 +292,13 @@ def test_urls(spark):
     assert (out[7].host, out[7].path, out[7].rule) == ("x.example.com", "/en/71", "example.com/en/7") and out[4].host == ""
 
 
+def test_weights_decide_between_pairs_of_soft_terms():
+    judge = urlvocab.UrlJudge(urlvocab.UrlVocabulary())
+    urls = {"http://a.b/win-free": "allow", "http://a.b/win-bet": "block", "http://a.b/bet-poker": "block", "http://a.b/win-free-click": "block",
+            "http://a.b/bet-bet": "allow", "http://a.b/poker": "allow", "http://a.b/casino": "block", "http://a.b/" + "free-" * 20000: "allow"}
+    assert {u: judge(u)[3] for u in urls} == urls
+
+
 # ---- 7 rules
 
 
