@@ -44,7 +44,7 @@ def _upper_items(spark, folder):
 
 
 def _upper_docs(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", cl.upper_text(F.col("text")).alias("text"))
+    return fx.documents(spark, folder).select("doc_id", cl.upper_text(F.col("text")).alias("text"))
 
 
 def _texts(df):
@@ -375,11 +375,11 @@ def prepare_items(spark, folder):
            as unique_bigrams, count(distinct w) + count(distinct case when x is not null then w || ' ' || x end)
            as unique_unigrams_plus_bigrams from p""")
 def ngram_stats(spark, folder):
-    return ft.ngram_stats(table(spark, folder, "documents"), "text")
+    return ft.ngram_stats(fx.documents(spark, folder), "text")
 
 
 @query("top_tokens", r"""
     select token, count(*) as count from (select unnest(regexp_extract_all(text, '\S+')) as token from documents)
     group by token order by count(*) desc, token limit 25""")
 def top_tokens(spark, folder):
-    return ft.top_tokens(table(spark, folder, "documents"), "text")
+    return ft.top_tokens(fx.documents(spark, folder), "text")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import placed
 from .registry import table
 
 ITEMS = """
@@ -99,7 +100,7 @@ PRED_LEVELS = ["one", "two"]
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(ITEMS.replace("from part", "from {part}"), part=table(spark, folder, "part"))
+    return spark.sql(ITEMS.replace("from part", "from {part}"), part=placed(table(spark, folder, "part"), "p_partkey"))
 
 
 def _over_items(spark: SparkSession, folder: str, text: str) -> DataFrame:
@@ -110,8 +111,13 @@ def loose_items(spark: SparkSession, folder: str) -> DataFrame:
     return _over_items(spark, folder, LOOSE_ITEMS)
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts, spread over the cores: a file may be one range for the reader, and what follows is heavy per byte."""
+    return placed(table(spark, folder, "documents"), "doc_id")
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(DOCS.replace("from documents", "from {documents}"), documents=table(spark, folder, "documents"))
+    return spark.sql(DOCS.replace("from documents", "from {documents}"), documents=documents(spark, folder))
 
 
 def tree(spark: SparkSession, folder: str) -> DataFrame:

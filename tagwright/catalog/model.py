@@ -423,15 +423,23 @@ def predict_items(spark, folder):
     return table_.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in table_.columns])
 
 
-@query("write_model", _items_sql("select (select count(*) from vocabulary) as n_features, count(*) filter (depth = 4) as n_paths, "
-                                 "count(*) as n_classes from cls", "fit"))
+@query("write_model", _items_sql("""
+    select 'vocabulary' as part, null as class, term, df as n, round(idf, 6) as value from vocabulary
+    union all select 'classes', class, null, n, round(total, 6) from cls
+    union all select 'weights', class, term, depth, round(fc, 6) from fc""", "fit"))
 def write_model(spark, folder):
+    """The tables of a stored model as they are read again, one below the other."""
     path = scratch_path(spark, "model")
     store.write_model(_fitted(spark, folder)[2], path)
     model = store.read_model(spark, path)[0]
-    return model.classes.agg(
-        F.max("n_features").alias("n_features"), F.count_if(F.col("depth") == 4).alias("n_paths"),
-        F.count("*").alias("n_classes"),
+    nothing, long = F.lit(None).cast("string"), "bigint"
+    classes = model.classes.select("split", "code", "depth", _key().alias("class"))
+    weights = model.weights.join(classes, ["split", "code"]).join(model.vocabulary.select("split", "tid", "term"), ["split", "tid"])
+    columns = ["part", "class", "term", "n", "value"]
+    return (
+        model.vocabulary.select(F.lit("vocabulary"), nothing, "term", F.col("df").cast(long), F.round("idf", 6)).toDF(*columns)
+        .unionAll(model.classes.select(F.lit("classes"), _key(), nothing, F.col("n").cast(long), F.round("total", 6)).toDF(*columns))
+        .unionAll(weights.select(F.lit("weights"), "class", "term", F.col("depth").cast(long), F.round("fc", 6)).toDF(*columns))
     )
 
 
@@ -442,13 +450,24 @@ def write_predictions(spark, folder):
     return spark.read.option("header", True).csv(written_to)
 
 
-@query("reuse_counts", _items_sql("""
-    , other as (select 1 as candidate, doc, path from best) select candidate, doc, path from other""", mode="flattened"))
+_CANDIDATES = [(0, 0.5, False, "conditional"), (1, 0.01, True, "flattened"), (2, 1.0, True, "independent")]
+
+
+def _reuse_sql() -> str:
+    """Three candidates over the same features."""
+    shared = [_terms_sql("items", True), _kept_sql("items", 4, 2), _vocabulary_sql(2), _TFIDF_X]
+    each = [
+        f"select {i} as candidate, doc, path from (with {', '.join([_fit_sql(4, a, p), _jll_sql(a, 'items'), _path_sql(4, m)])} "
+        "select doc, path from score qualify row_number() over (partition by doc order by round(score, 9) desc, path) = 1)"
+        for i, a, p, m in _CANDIDATES
+    ]
+    return fx.with_views("items", body="," + ", ".join(shared) + " " + " union all ".join(each))
+
+
+@query("reuse_counts", _reuse_sql())
 def reuse_counts(spark, folder):
-    predicted = _predicted(
-        spark, folder, [(0, 0.5, False, "conditional"), (1, 0.01, True, "flattened"), (2, 1.0, True, "independent")]
-    )
-    return predicted.where("candidate = 1").select("candidate", "doc", _key("path").alias("path"))
+    """Three candidates that differ in alpha, prior and mode, from one pass over the counts."""
+    return _predicted(spark, folder, _CANDIDATES).select("candidate", "doc", _key("path").alias("path"))
 
 
 # ---- grids and cross-validation --------------------------------------------------------------------------------

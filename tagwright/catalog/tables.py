@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import functions as F
 
 from ..operators import filters, joins, splits
 from ..plans.crossval import pending_work
 from ..session import scratch_path, written
 from ..sources import scan, store
+from ..sources.runlog import RunLog
 from . import fixtures as fx
 from .registry import query, table
 
@@ -54,6 +58,18 @@ def load_source(spark, folder):
     return found.select("id", "descr", "l1")
 
 
+@query("load_source_query", "select cast(o_orderkey as varchar) as o_orderkey, o_orderstatus from orders")
+def load_source_query(spark, folder):
+    """The rows of a named SQL text, found in a folder of such texts."""
+    table(spark, folder, "orders").createOrReplaceTempView("orders_to_load")
+    with tempfile.TemporaryDirectory() as texts:
+        with open(os.path.join(texts, "orders.sql"), "w", encoding="utf-8") as f:
+            f.write("select o_orderkey, o_orderstatus from orders_to_load")
+        found, record = scan.load_source(spark, query="orders", query_folder=texts)
+    assert record["type"] == "sql" and len(record["query_sha256"]) == 16
+    return found
+
+
 @query("to_string_frame", """
     select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus
     from orders""")
@@ -141,13 +157,15 @@ def write_vocabulary(spark, folder):
 @query("write_split_result", fx.with_views("preds", body="""
     select candidate, fold as split, count(*) as n, cast(sum(num) as bigint) as ids from preds group by all"""))
 def write_split_result(spark, folder):
-    path = scratch_path(spark, "results")
-    pred = fx.predictions(spark, folder).withColumnRenamed("fold", "split")
-    store.write_split_result(pred, path)
-    store.write_split_result(pred.where("candidate = 1"), path)  # a re-run replaces its own partitions only
-    return store.read_split_results(spark, path).groupBy("candidate", "split").agg(
-        F.count("*").alias("n"), F.sum("num").alias("ids")
-    )
+    """Two writers for overlapping pairs: the second one's rows count only where the first has claimed nothing."""
+    log, pred = RunLog(spark, scratch_path(spark, "results")), fx.predictions(spark, folder).withColumnRenamed("fold", "split")
+    first, second = log.new_run(), log.new_run()
+    log.write(first, pred.where("candidate <> 2"))
+    log.write(second, pred.where("candidate > 0"))
+    log.commit(first, [(c, s) for c in (0, 1) for s in range(5)])
+    log.commit(second, [(c, s) for c in (1, 2) for s in range(5)])
+    rows = log.results().select(F.col("candidate").cast("int").alias("candidate"), F.col("split").cast("int").alias("split"), "num")
+    return rows.groupBy("candidate", "split").agg(F.count("*").alias("n"), F.sum("num").alias("ids"))
 
 
 @query("pending_work", fx.with_views("preds", body="""
@@ -156,10 +174,12 @@ def write_split_result(spark, folder):
     anti join (select distinct candidate, fold from preds where conf_1 < 2 and candidate <> 2) d
       on d.candidate = c.c and d.fold = s.s"""))
 def pending(spark, folder):
-    done = fx.predictions(spark, folder).where("candidate <> 2").select(
-        "candidate", F.col("fold").alias("split")
-    ).distinct()
-    return pending_work(spark, 4, 5, done)
+    """What a log without candidate 2 leaves to do; its pairs come from the rows that were written."""
+    log, run = RunLog(spark, scratch_path(spark, "results")), RunLog.new_run()
+    pred = fx.predictions(spark, folder).where("candidate <> 2").withColumnRenamed("fold", "split")
+    log.write(run, pred)
+    log.commit(run, [(r["candidate"], r["split"]) for r in pred.select("candidate", "split").distinct().collect()])
+    return pending_work(spark, 4, 5, log.finished())
 
 
 # ---- projections and filters ----------------------------------------------------------------------------------

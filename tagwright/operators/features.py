@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import placed
-from .running import running_totals
+from ..session import placed, written
+from .selection import kth_rows
 
 PATTERNS = {"whitespace": rf"[^{tx.SPACE}]+", "sklearn": rf"[{tx.WORD}]{{2,}}"}
 
@@ -106,10 +106,17 @@ def term_vocabulary(cells: DataFrame, n_docs: DataFrame, settings) -> DataFrame:
     )
     if settings.max_features is None:
         return kept
-    order = [F.desc("total"), F.col("term")]
-    return running_totals(kept, ["split"], order, {"_rank": F.lit(1)}).where(
-        F.col("_rank") <= settings.max_features
-    ).drop("_rank")
+    kept = written(kept, "terms_kept")
+    digits = [-F.col("total"), *[F.substring("term", 1, n) for n in (1, 2, 4, 8)]]
+    last = kth_rows(kept, "split", digits, [-F.col("total"), F.col("term")], settings.max_features)
+    if not last:
+        return kept
+    cuts = kept.sparkSession.createDataFrame(
+        [(s, -r["o0"], r["o1"]) for s, r in last.items()], f"split {dict(kept.dtypes)['split']}, _total long, _term string"
+    )
+    above = (F.col("total") > F.col("_total")) | ((F.col("total") == F.col("_total")) & (F.col("term") <= F.col("_term")))
+    # a split with fewer terms has no cut
+    return kept.join(F.broadcast(cuts), "split", "left").where(F.coalesce(above, F.lit(True))).drop("_total", "_term")
 
 
 def document_cells(tf: DataFrame, binary: bool, keep=()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .running import running_totals
+from .selection import kth_rows
 
 
 def _halves(*parts: Column) -> tuple[Column, Column]:
@@ -68,15 +69,37 @@ def holdout_size(n_rows: int, test_size: float) -> int:
     return round(test_size * n_rows)
 
 
+def holdout_tests(df: DataFrame, key: str, n_repeats: int, test_size: float, seed: int) -> Column:
+    """The repeats in which a row of ``df`` is held out: per repeat exactly the share asked for, those with the smallest hashes.
+
+    The last hash of every repeat is found by radix selection over the keys; then each row is judged by itself.
+    """
+    held = holdout_size(df.count(), test_size)
+
+    def digest(repeat: Column) -> Column:
+        return F.sha1(F.concat_ws("|", (repeat + seed).cast("string"), F.col(f"`{key}`")))
+
+    every = df.select(F.col(f"`{key}`"), F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("_repeat"))
+    every = every.select("_repeat", F.col(f"`{key}`").alias("_key"), digest(F.col("_repeat")).alias("_hash"))
+    parts = [F.substring("_hash", at, 3) for at in (1, 4, 7)]
+    last = kth_rows(every, "_repeat", parts, [F.col("_hash"), F.col("_key")], held)
+    if held >= 1 and not last:
+        return F.array().cast("array<int>")  # no rows
+    kind = df.schema[key].dataType
+    tests = [
+        F.when(
+            (digest(F.lit(r)) < row["o0"]) | ((digest(F.lit(r)) == row["o0"]) & (F.col(f"`{key}`") <= F.lit(row["o1"]).cast(kind))),
+            F.lit(r),
+        )
+        for r, row in sorted(last.items())
+    ]
+    return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+
+
 def holdout_splits(df: DataFrame, key: str, n_repeats: int, test_size: float, seed: int) -> DataFrame:
-    """``key, repeat`` of the held-out rows: per repeat exactly the share asked for, those with the smallest hashes."""
-    keys = df.select(F.col(f"`{key}`"))
-    held = holdout_size(keys.count(), test_size)
-    every = keys.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    order = [F.sha1(F.concat_ws("|", (F.col("repeat") + seed).cast("string"), F.col(f"`{key}`"))), F.col(f"`{key}`")]
-    return (
-        running_totals(every, ["repeat"], order, {"_rank": F.lit(1)}).where(F.col("_rank") <= held).drop("_rank")
-    )
+    """``key, repeat`` of the held-out rows."""
+    tests = holdout_tests(df, key, n_repeats, test_size, seed)
+    return df.select(F.col(f"`{key}`"), F.explode(tests).alias("repeat"))
 
 
 def make_splits(df: DataFrame, settings, key: str, label: str) -> DataFrame:
@@ -91,9 +114,7 @@ def make_splits(df: DataFrame, settings, key: str, label: str) -> DataFrame:
         else:
             folds = stratified_folds(df, label, key, settings.n_folds, settings.fold_seed, "_fold")
         return folds.withColumn("tests", F.array("_fold")).drop("_fold")
-    held = holdout_splits(df, key, settings.n_repeats, settings.test_size, settings.holdout_seed)
-    tests = held.groupBy(F.col(f"`{key}`")).agg(F.array_sort(F.collect_list("repeat")).alias("tests"))
-    return df.join(tests, key, "left").withColumn("tests", F.coalesce("tests", F.array().cast("array<int>")))
+    return df.withColumn("tests", holdout_tests(df, key, settings.n_repeats, settings.test_size, settings.holdout_seed))
 
 
 def train_splits(n_splits: int) -> Column:

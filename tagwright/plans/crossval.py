@@ -15,6 +15,7 @@ from ..operators.filters import keep_columns
 from ..operators.splits import id_hash_sample, make_splits
 from ..session import written
 from ..sources import store
+from ..sources.runlog import RunLog
 from .model import documents, fit, held_out, predict, prediction_table, terms_of
 from .settings import ModelSettings, SplitSettings, candidates_frame
 
@@ -135,32 +136,33 @@ class Evaluation:
             store.write_json(spark, found.config, f"{found.folder}/config.json")
         return found
 
+    @property
+    def log(self) -> RunLog:
+        return RunLog(self.spark, f"{self.folder}/predictions")
+
     def _results(self) -> DataFrame | None:
-        return store.read_split_results(self.spark, f"{self.folder}/predictions")
+        return self.log.results()
 
     def pending(self) -> DataFrame:
-        finished = store.read_split_results(self.spark, f"{self.folder}/finished")
-        results = self._results()  # of a run that ended early; partition columns only
-        parts = [d.selectExpr("cast(candidate as int) as candidate", "cast(split as int) as split") for d in (finished, results) if d is not None]
-        done = store.union_splits(parts).distinct() if parts else None
-        return pending_work(self.spark, len(self.candidates), self.cv.n_splits, done)
+        """Pairs without a result, by the log alone."""
+        return pending_work(self.spark, len(self.candidates), self.cv.n_splits, self.log.finished())
 
     def run(self) -> DataFrame:
-        """Predict every pending pair; each group of candidates is written by one job."""
+        """Predict every pending pair; each group of candidates is written by one job and committed when it is whole.
+
+        Several writers may run at once: a pair belongs to the one that commits it first. A run that dies leaves no result.
+        """
         pending: dict[int, set[int]] = {}
         for row in self.pending().collect():  # candidates x splits
             pending.setdefault(row.candidate, set()).add(row.split)
         if pending:
-            c = self.columns
+            c, log, run = self.columns, self.log, RunLog.new_run()
             for table in cross_validate(
                 self.items, c["key"], c["cleaned_col"], self.levels, self.candidates, self.cv, c["id_cols"], pending
             ):
-                store.write_split_result(
-                    table.withColumnRenamed(self.cv.split_col, "split"), f"{self.folder}/predictions"
-                )
-            store.write_finished(
-                self.spark, [(c, s) for c, splits in pending.items() for s in sorted(splits)], f"{self.folder}/finished"
-            )
+                log.write(run, table.withColumnRenamed(self.cv.split_col, "split"))
+            # pairs without a held-out row are finished too
+            log.commit(run, [(candidate, s) for candidate, splits in pending.items() for s in splits])
         return self.results()
 
     def predictions(self, candidate: int, with_text: bool = True) -> DataFrame:

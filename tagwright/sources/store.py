@@ -188,32 +188,11 @@ def write_predictions(pred: DataFrame, path: str, record: dict) -> str:
     return f"{path}.csv"
 
 
-def write_split_result(table: DataFrame, path: str) -> None:
-    """One partition per candidate and split; only the partitions written are replaced, when the job commits.
-
-    The rows of a pair are brought together first, in files of the session's advisory size.
-    """
-    (
-        table.hint("rebalance", "candidate", "split").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("candidate", "split").parquet(path)
-    )
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
-def read_split_results(spark: SparkSession, path: str) -> DataFrame | None:
-    """All split results, or None before the first. Results that cannot be read are an error."""
-    return spark.read.parquet(path) if exists(spark, path) else None
-
-
-def write_finished(spark: SparkSession, pairs: list[tuple[int, int]], path: str) -> None:
-    """Notes pairs of candidate and split as finished, those without a held-out row too."""
-    spark.createDataFrame(pairs, "candidate int, split int").coalesce(1).write.mode("append").parquet(path)
-
-
 def union_splits(tables: list[DataFrame]) -> DataFrame:
     """Split results one below the other, by column name."""
     out = tables[0]
