@@ -223,7 +223,7 @@ def word_list_semi_join(spark, folder):
 
 @query("measurement")
 def measurement(spark, folder):
-    patterns = unit_patterns(lists.units_of(lists.UNITS))
+    patterns = unit_patterns(lists.UNITS)
     words = fx.items(spark, folder).select(F.explode(tx.words(F.upper("descr"))).alias("word")).distinct()
     return cl.with_measurement(words, patterns).select("word", "measurement")
 
@@ -252,19 +252,19 @@ def clean_06_colors(spark, folder):
 
 @query("clean_07_units")
 def clean_07_units(spark, folder):
-    patterns = unit_patterns(lists.units_of(lists.UNITS))
+    patterns = unit_patterns(lists.UNITS)
     return tx.apply_steps(_upper_items(spark, folder), "text", cl.standardize_units(patterns))
 
 
 @query("clean_08_glue")
 def clean_08_glue(spark, folder):
-    patterns = unit_patterns(lists.units_of(lists.UNITS))
+    patterns = unit_patterns(lists.UNITS)
     return tx.apply_steps(_upper_items(spark, folder), "text", cl.glue_units(patterns))
 
 
 @query("clean_09_sizes")
 def clean_09_sizes(spark, folder):
-    patterns = unit_patterns(lists.units_of(lists.UNITS))
+    patterns = unit_patterns(lists.UNITS)
     return tx.apply_steps(_upper_items(spark, folder), "text", cl.replace_sizes(lists.default_sizes(), patterns))
 
 

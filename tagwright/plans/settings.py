@@ -6,7 +6,6 @@ features, the columns of the candidate table and the settings that must agree on
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
@@ -106,21 +105,27 @@ class ModelSettings(Declared):
 def candidate_grid(spec: dict, grid_search: bool) -> list[ModelSettings]:
     """The candidates of a settings dict. Lists are searched, tuples are single values; every setting must be named.
 
-    Candidates that come to the same model are listed once.
+    Candidates grow setting by setting in the order of the declarations. Where a setting has no effect, because of a
+    value chosen before, its first value stands for all; so no two candidates come to the same model.
     """
-    odd = set(spec) ^ set(ModelSettings.names())
-    if odd:
-        raise KeyError(f"settings must be named exactly; wrong or missing: {sorted(odd)}")
-    if isinstance(spec["ngram_range"], list) and any(_number(n) for n in spec["ngram_range"]):
-        raise ValueError("ngram_range is a tuple (lo, hi), or a list of such tuples to search")
-    searched = {n: v for n, v in spec.items() if isinstance(v, list)}
-    if not grid_search and any(len(v) != 1 for v in searched.values()):
-        raise ValueError(f"without a grid search each setting has one value: {sorted(searched)}")
-    found: dict[str, ModelSettings] = {}
-    for chosen in itertools.product(*searched.values()):
-        candidate = ModelSettings(**{**spec, **dict(zip(searched, chosen))})
-        found.setdefault(json.dumps(candidate.working(), sort_keys=True), candidate)
-    return list(found.values())
+    grown: list[dict] = [{}]
+    for f in fields(ModelSettings):
+        if f.name not in spec:
+            raise KeyError(f"setting {f.name} is missing")
+        given = spec[f.name]
+        values = list({repr(v): v for v in given}.values()) if isinstance(given, list) else [given]
+        if f.name == "ngram_range" and not all(isinstance(v, (list, tuple)) for v in values):
+            raise ValueError("ngram_range is a tuple (lo, hi), or a list of such tuples to search")
+        if len(values) != 1 and not grid_search:
+            raise ValueError(f"without a grid search {f.name} has one value, not {len(values)}")
+        grown = [
+            {**chosen, f.name: v} for chosen in grown
+            for v in (values if all(chosen[n] == needed for n, needed in f.metadata["only"].items()) else values[:1])
+        ]
+    unknown = sorted(set(spec) - set(ModelSettings.names()))
+    if unknown:
+        raise KeyError(f"no such settings: {unknown}")
+    return [ModelSettings(**chosen) for chosen in grown]
 
 
 _OOF, _HOLDOUT = {"cv_type": "oof"}, {"cv_type": "repeated_holdout"}

@@ -50,9 +50,10 @@ def test_term_and_unit_lists(spark, tmp_path):
         {"abbrev": "GR", "prefix": True, "forms": [("GRADE", False)]},
         {"abbrev": "KPA", "prefix": False, "forms": []},
     ]
-    everything = scan.scan_units(spark, _file(tmp_path, "all.txt", lists.UNITS))
+    lines = [f"{'>' * u['prefix']}{u['abbrev']} = " + ", ".join("~" * n + form for form, n in u["forms"]) for u in lists.UNITS]
+    everything = scan.scan_units(spark, _file(tmp_path, "all.txt", "\n".join(lines)))
     key = lambda u: u["abbrev"]
-    assert sorted(scan.unit_list(everything), key=key) == sorted(lists.units_of(lists.UNITS), key=key)
+    assert sorted(scan.unit_list(everything), key=key) == sorted(lists.UNITS, key=key)
     with pytest.raises(Exception, match="expected 'ABBREVIATION"):
         scan.scan_units(spark, _file(tmp_path, "bad.txt", "FT feet\n")).collect()
     settings = cleaning_settings(spark, units=units, colors=[terms], sizes=terms, field_width=30)
