@@ -206,6 +206,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, share: int) -> DataF
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).alias("parts"))
     placed = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    placed = written(placed, "placed")  # read for the heads, the partners and the sieve
     heads = placed.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
     asked = heads.unionAll(placed.select(F.col("b").alias("id"), "a", "part", "b"))
     rows = sieved(sets, asked.select("id")).join(asked, "id").select("a", "part", "b", "held")
