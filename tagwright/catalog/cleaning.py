@@ -357,14 +357,57 @@ def clean_items(spark, folder):
     ).items
 
 
-@query("prepare_items")
-def prepare_items(spark, folder):
-    listed = fx.items(spark, folder).where("cast(substr(id, 3) as int) % 50 = 0").select(F.col("id").alias("item"))
-    _, counts = prepare.prepare_items(
+def _every(spark, folder, n):
+    """A blacklist of the items whose key is divisible by ``n``."""
+    return fx.items(spark, folder).where(f"cast(substr(id, 3) as int) % {n} = 0").select(F.col("id").alias("item"))
+
+
+def _prepared(spark, folder):
+    return prepare.prepare_items(
         fx.loose_items(spark, folder), "descr", "cleaned", english_words(spark, folder), good_tokens(spark, folder),
-        replace(CleaningSettings(), min_word_descriptions=5), blacklist=listed, blacklist_col="id", levels=fx.LEVELS,
+        replace(CleaningSettings(), min_word_descriptions=5), blacklist=_every(spark, folder, 50), blacklist_col="id",
+        levels=fx.LEVELS,
     )
-    return counts
+
+
+@query("prepare_items")
+def prepare_items(spark, folder):
+    return _prepared(spark, folder)[0].items
+
+
+# every description holds a size, and its placeholder is always kept: cleaning empties none
+_PREPARED_SQL = f"""
+    , k as (select *, cast(substr(id, 3) as int) as k, {' or '.join(f"trim(coalesce({c}, '')) = ''" for c in fx.LEVELS)}
+            as unlabelled, trim(coalesce(descr, '')) = '' as blank from loose),
+    listed as (select * from k where k % 50 <> 0),
+    done as (select * from listed where not unlabelled and not blank)"""
+_PREPARED_COUNTS_SQL = """
+    select (select count(*) from k) as raw_rows, (select count(*) from k) - (select count(*) from listed) {more} as
+           blacklisted_dropped, (select count(*) from listed where unlabelled) as missing_label_dropped,
+           (select count(*) from listed where not unlabelled and blank) as blank_raw_dropped,
+           0::bigint as emptied_by_cleaning_dropped, (select count(*) from {left}) as cleaned_rows,
+           (select count(*) from k) - (select count(*) from {left}) as total_dropped"""
+
+
+@query("prepare_counts", fx.with_views("loose", body=_PREPARED_SQL + _PREPARED_COUNTS_SQL.format(more="", left="done")))
+def prepare_counts(spark, folder):
+    return _prepared(spark, folder)[1]
+
+
+@query("blacklist_prepared", fx.with_views("loose", body=f"""{_PREPARED_SQL}
+    select id, descr, l1, l2, l3, l4 from done where k % 20 <> 0"""))
+def blacklist_prepared(spark, folder):
+    done, counts = _prepared(spark, folder)
+    left, _ = prepare.blacklist_prepared(done.items, counts, _every(spark, folder, 20), "id")
+    return left.select("id", "descr", *fx.LEVELS)
+
+
+@query("blacklist_prepared_counts", fx.with_views("loose", body=f"""{_PREPARED_SQL},
+    kept as (select * from done where k % 20 <> 0)""" + _PREPARED_COUNTS_SQL.format(
+        more="+ (select count(*) from done) - (select count(*) from kept)", left="kept")))
+def blacklist_prepared_counts(spark, folder):
+    done, counts = _prepared(spark, folder)
+    return prepare.blacklist_prepared(done.items, counts, _every(spark, folder, 20), "id")[1]
 
 
 @query("ngram_stats", r"""

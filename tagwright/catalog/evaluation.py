@@ -103,6 +103,20 @@ def coverage_curve(spark, folder):
     )
 
 
+_TARGETS = (0.55, 0.6, 0.65, 0.9)
+
+
+@query("coverage_at", fx.with_views("preds", body=_LONG.format(w=0.1, n=10) + f"""
+    , r as (select depth, row_number() over o as rank, count(*) over (partition by depth) as n, sum(ok) over o as hits
+            from i window o as (partition by depth order by c desc, id rows unbounded preceding)),
+    targets as (select cast(unnest([{', '.join(map(str, _TARGETS))}]) as double) as target)
+    select depth, target, round(max(rank / n), 6) as coverage from r join targets on hits / rank >= target
+    group by depth, target"""))
+def coverage_at(spark, folder):
+    curve = ev.coverage_curve(fx.predictions(spark, folder), fx.PRED_LEVELS, "id")
+    return ev.coverage_at(curve, _TARGETS).withColumn("coverage", F.round("coverage", 6))
+
+
 @query("union_splits", fx.with_views("preds", body="""
     select id, fold, candidate, actual_1, conf_1 from preds"""))
 def union_splits(spark, folder):
