@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         start = end
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task. Spark keeps its Python workers for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]
@@ -51,6 +60,7 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id"), *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]], names=names
                 )
+        release()
 
     schema = f"`{id_col}` {id_type}, {fields}"
     names = [id_col, *[f.strip().split()[0] for f in fields.split(",")]]
@@ -68,6 +78,7 @@ def keep_rows(df: DataFrame, text_col: str, work: Callable[[], Callable[[list[st
         for batch in batches:
             for part in chunks(batch, name):
                 yield part.filter(pa.array(np.asarray(each(texts_of(part, name)), dtype=bool)))
+        release()
 
     return given.mapInArrow(run, given.schema).toDF(*df.columns)
 
@@ -190,5 +201,6 @@ def replace_texts(df: DataFrame, text_col: str, work: Callable[[], Callable[[str
             for part in chunks(batch, f"c{place}"):
                 texts = [None if t is None else each(t) for t in part.column(place).to_pylist()]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, type=pa.string()))
+        release()
 
     return given.mapInArrow(run, given.schema).toDF(*df.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import chunks, texts_of
+from .common import chunks, release, texts_of
 
 
 @dataclass(frozen=True)
@@ -40,23 +40,33 @@ class PackSettings:
     block: int = 256  # sequences
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
-    cached_words: int = 1_500_000  # a cache inside a task, emptied when full
+    cached_bytes: int = 16 << 20  # words whose ids a Python worker remembers, twice: those of now and those of before
 
 
 class WordEncoder:
-    """Ids of texts, by words between ASCII blanks: the vocabulary's splits never cross one, so words stand alone."""
+    """Ids of texts, by words between ASCII blanks: the vocabulary's splits never cross one, so words stand alone.
 
-    def __init__(self, path: str, cached: int):
+    Words are remembered in two tables. When the one in use is full it becomes the one of before, from which words are
+    taken over when they are met again; so frequent words stay and rare ones are forgotten.
+    """
+
+    ENTRY = 150  # bytes of an entry besides the word and its ids
+
+    def __init__(self, path: str, cached_bytes: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cached = cached
+        self.cached_bytes = cached_bytes
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def keep(self, found: dict[bytes, bytes]) -> None:
+        self.words.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY * len(found)
 
     def learn(self, new: set[bytes]) -> None:
         """Encode new words, a thousand in one text with blanks between; a token belongs to the word it starts in."""
-        if len(self.words) + len(new) > self.cached:
-            self.words.clear()
         listed = sorted(new)
         for i in range(0, len(listed), 1000):
             run = [w.decode() for w in listed[i : i + 1000]]
@@ -66,20 +76,18 @@ class WordEncoder:
             starts = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(ids))
             cut = np.searchsorted(starts, begins).tolist()
             data = ids.tobytes()
-            self.words.update(
-                (w, data[4 * cut[j] : 4 * cut[j + 1]]) for j, w in enumerate(listed[i : i + 1000])
-            )
+            self.keep({w: data[4 * cut[j] : 4 * cut[j + 1]] for j, w in enumerate(listed[i : i + 1000])})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if self.held > self.cached_bytes:
+            self.before, self.words, self.held = self.words, {}, 0
         split = [_words(t) for t in texts]
-        new = set().union(*split)
+        new = {w for w in set().union(*split) if w not in self.words}
+        again = {w: self.before[w] for w in new if w in self.before}
+        self.keep(again)
+        self.learn(new - again.keys())
         known = self.words
-        new = {w for w in new if w not in known}
-        if new:
-            if len(known) + len(new) > self.cached:
-                new = set().union(*split)  # the cache is emptied first
-            self.learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -95,8 +103,8 @@ def _words(text: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str, cached: int) -> WordEncoder:
-    return WordEncoder(path, cached)
+def _encoder(path: str, cached_bytes: int) -> WordEncoder:
+    return WordEncoder(path, cached_bytes)
 
 
 @dataclass
@@ -160,7 +168,7 @@ def pack(
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(s.tokenizer, s.cached_words)
+        encode = _encoder(s.tokenizer, s.cached_bytes)
         closing = np.asarray([s.closing_id], dtype="<u4").tobytes()
         number = TaskContext.get().partitionId() << 33
         id_type = None
@@ -204,6 +212,7 @@ def pack(
         if rests:
             sequences, rests = place(rests, held // s.capacity, s)
             yield rows(sequences + powers(rests))
+        release()
 
     return given.mapInArrow(
         run,

@@ -271,3 +271,15 @@ def test_runs_of_empty_tables_null_ids_and_clashing_names(spark):
 def test_a_very_long_text(spark):
     row = runs.find_runs(documents(spark, ["one two three " * 30_000 + "end"])).first()
     assert (row.n_runs, row.start, row.length, row.period) == (1, 0, 90_000, 3)
+
+
+def test_forgotten_words_keep_their_ids():
+    from tagwright.llm.packing import PackSettings, WordEncoder
+
+    path = PackSettings().tokenizer
+    texts = [" ".join(f"word{j % 7} w{i}x{j}, the End." for j in range(300)) for i in range(12)]
+    small, large = WordEncoder(path, 10_000), WordEncoder(path, 1 << 30)
+    assert [small([t]) for t in [*texts, *texts[:3], ""]] == [large([t]) for t in [*texts, *texts[:3], ""]]
+    assert len(small.words) + len(small.before) < len(large.words) / 3  # bounded, whatever has been read
+    whole = large.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert np.frombuffer(small([texts[0]])[0], dtype="<u4").tolist() == whole
