@@ -40,7 +40,7 @@ class PackSettings:
     block: int = 256  # sequences
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
-    cached_bytes: int = 16 << 20  # words whose ids a Python worker remembers, twice: those of now and those of before
+    cached_bytes: int = 48 << 20  # words whose ids a Python worker remembers, twice: those of now and those of before
 
 
 class WordEncoder:
