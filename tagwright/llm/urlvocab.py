@@ -28,7 +28,7 @@ SOFT = {
 # rule, verdict: the longest rule that fits decides
 RULES = (
     ("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"),
-    ("org/es/", "allow"),
+    ("org/es/", "block"),
 )
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
