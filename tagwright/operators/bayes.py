@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .product import partial_sums
+from .product import sums_by_document
 
 
 def path_of(levels) -> Column:
@@ -112,6 +112,5 @@ def row_sums(docs: DataFrame, x: DataFrame) -> DataFrame:
 def lookup_term_weights(x: DataFrame, weights: DataFrame, alphas=(1.0,)) -> DataFrame:
     """``split, doc, code, s_0 ..``: the sparse product of documents and class weights, one sum per alpha."""
     names = [f"s_{i}" for i in range(len(alphas))]
-    lists = partial_sums(x, weights, alphas).select("split", "doc", F.explode(F.arrays_zip("codes", *names)).alias("_f"))
-    rows = lists.select("split", "doc", F.col("_f.codes").alias("code"), *[f"_f.{n}" for n in names])
-    return rows.groupBy("split", "doc", "code").agg(*[F.sum(n).alias(n) for n in names])
+    lists = sums_by_document(x, weights, alphas).select("split", "doc", F.explode(F.arrays_zip("codes", *names)).alias("_f"))
+    return lists.select("split", "doc", F.col("_f.codes").alias("code"), *[f"_f.{n}" for n in names])

@@ -1,8 +1,9 @@
 """Predictions from one row per document: Spark multiplies terms with class weights, a small array step scores the classes.
 
 A document is scored against all classes at once, because the softmax needs them together. One row per document and
-class would be documents x classes rows through the engine; here the sparse product (:mod:`.product`) gives lists of sums
-for each document, and a batch of documents is completed to all classes as arrays inside the task. The steps of a batch are cut by the cells they fill, so a task holds the same for long and short texts.
+class would be documents x classes rows through the engine; here the sparse product (:mod:`.product`) ends with the sums
+of a part's documents as arrays inside a task, and they are scored there. Steps are cut by the cells they fill, so a task
+holds the same for long and short texts.
 
 The class table goes along with the tasks: it is the label tree, a row per label, and a task must hold one score per
 class of a document anyway. The weights stay behind.
@@ -14,15 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-from .product import sums_by_document
+from .product import Part, lists, multiplied, with_terms
 
 # Cells of the dense score arrays per step, at least one document: the memory of a task, not what it computes.
-STEP_CELLS = 2_000_000
+STEP_CELLS = 500_000
 QUALITY = ("n_tokens", "n_known")
 
 
@@ -116,37 +116,25 @@ def log_shares(scores: np.ndarray, starts: np.ndarray, group_of: np.ndarray) ->
     return scores - np.logaddexp.reduceat(scores, starts, axis=1)[:, group_of]
 
 
-def _end_to_end(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of a column as one array, with the row each entry is from."""
-    lengths = lists.map(len).to_numpy()
-    flat = np.concatenate([np.asarray(v, dtype=kind) for v in lists]) if lengths.sum() else np.empty(0, kind)
-    return np.repeat(np.arange(len(lists)), lengths), flat
-
-
-def _sums(tree: Tree, part: pd.DataFrame, n_alphas: int) -> list[np.ndarray]:
-    """Class sums of the documents per alpha, documents x classes. A class may come once for each block of terms."""
-    row, code = _end_to_end(part["codes"], np.int64)
-    cell, shape = row * tree.size + code, (len(part), tree.size)
-    return [
-        np.bincount(cell, _end_to_end(part[f"s_{i}"], float)[1], len(part) * tree.size).reshape(shape) for i in range(n_alphas)
-    ]
+def _rows(values: np.ndarray) -> pa.ListArray:
+    """A list per row of a two-dimensional array."""
+    return lists(np.ascontiguousarray(values).ravel(), np.full(len(values), values.shape[1]))
 
 
 def _predictions(candidates: list, alphas: list[float]):
-    def score(tree: Tree, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rs = part["rs"].to_numpy()
-        sums = _sums(tree, part, len(alphas))
+    def score(tree: Tree, docs: pa.Table, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rs = docs.column("rs").to_numpy()
+        quality = [c for c in QUALITY if c in docs.column_names]
+        beside = {c: docs.column(c).combine_chunks() for c in ("split", "doc", *quality)}
         for candidate, alpha, fit_prior, mode in candidates:
             likelihoods = tree.likelihoods(sums[alphas.index(alpha)], rs, alpha, fit_prior)
             best, confidence, margin = tree.best(tree.scores(likelihoods, mode))
-            yield pd.DataFrame(
-                {
-                    "candidate": np.int32(candidate), "split": part["split"].to_numpy(),
-                    "doc": part["doc"].to_numpy(), "code": (best + tree.levels[-1].at.start).astype(np.int32),
-                    "confidence": list(confidence), "margin": list(margin),
-                    **{c: part[c].to_numpy() for c in QUALITY if c in part.columns},
-                }
-            )
+            columns = {
+                "candidate": pa.array(np.full(len(docs), candidate, np.int32)), "split": beside["split"], "doc": beside["doc"],
+                "code": pa.array((best + tree.levels[-1].at.start).astype(np.int32)),
+                "confidence": _rows(confidence), "margin": _rows(margin), **{c: beside[c] for c in quality},
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return score
 
@@ -154,8 +142,8 @@ def _predictions(candidates: list, alphas: list[float]):
 def _values(what: str, alpha: float, fit_prior: bool):
     """One array per document: ``jll`` or ``proba`` of every class, ``best`` class per level, or a mode's path scores."""
 
-    def score(tree: Tree, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        likelihoods = tree.likelihoods(_sums(tree, part, 1)[0], part["rs"].to_numpy(), alpha, fit_prior)
+    def score(tree: Tree, docs: pa.Table, sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        likelihoods = tree.likelihoods(sums[0], docs.column("rs").to_numpy(), alpha, fit_prior)
         if what == "jll":
             values = np.hstack(likelihoods)
         elif what == "proba":
@@ -164,26 +152,25 @@ def _values(what: str, alpha: float, fit_prior: bool):
             values = np.stack([jll.argmax(1) + lv.at.start for jll, lv in zip(likelihoods, tree.levels)], 1).astype(float)
         else:
             values = tree.scores(likelihoods, what)
-        yield pd.DataFrame(
-            {"split": part["split"].to_numpy(), "doc": part["doc"].to_numpy(), "values": list(values)}
-        )
+        beside = [docs.column(c).combine_chunks() for c in ("split", "doc")]
+        yield pa.RecordBatch.from_arrays([*beside, _rows(values)], names=["split", "doc", "values"])
 
     return score
 
 
 def _in_steps(trees, score):
-    """The function for ``mapInPandas``: batches of documents, cut so that the dense arrays stay small."""
+    """Scores of a part with whole sums, cut into steps so that the dense arrays stay small."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = trees.value
-        for batch in batches:
-            for split, part in batch.groupby("split", sort=False):
-                tree = held[int(split)]
-                rows = max(1, STEP_CELLS // tree.size)
-                for at in range(0, len(part), rows):
-                    yield from score(tree, part.iloc[at : at + rows])
+    def finish(part: Part) -> Iterator[pa.RecordBatch]:
+        if not len(part.docs):
+            return
+        tree = trees.value[part.docs.column("split")[0].as_py()]
+        step = max(1, STEP_CELLS // tree.size)
+        for low in range(0, len(part.docs), step):
+            sums = [s[low : low + step, : tree.size] for s in part.sums]
+            yield from score(tree, part.docs.slice(low, step), sums)
 
-    return run
+    return finish
 
 
 def _trees(model, depth: int) -> dict[int, Tree]:
@@ -194,26 +181,18 @@ def _trees(model, depth: int) -> dict[int, Tree]:
     return {s: Tree(rows, depth) for s, rows in classes.items()}
 
 
-def _gathered(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth: int):
-    """One row per document with its class sums, and the class arrays."""
-    valued = written(x, "features")
+def _scored(docs: DataFrame, x: DataFrame, model, alphas: list[float], depth: int, score, columns: str) -> DataFrame:
+    """What ``score`` gives for every document, beside ``split, doc`` and the counts of its tokens if ``x`` has them."""
     quality = [
         F.sum("words").alias("n_tokens"), F.sum(F.when(F.col("tid").isNotNull(), F.col("words"))).alias("n_known")
     ] if "words" in x.columns else []
-    totals = valued.groupBy("split", "doc").agg(F.sum("x").alias("rs"), *quality)
-    names = [f"s_{i}" for i in range(len(alphas))]
-    listed = sums_by_document(valued.where("x is not null"), model.weights, alphas)
-    per_doc = docs.select("split", "doc").join(totals, ["split", "doc"], "left").join(listed, ["split", "doc"], "left")
-
-    def or_empty(name: str, kind: str):
-        return F.coalesce(F.col(name), F.array().cast(f"array<{kind}>")).alias(name)
-
-    ready = per_doc.select(
-        F.col("split").cast("int").alias("split"), "doc", F.coalesce("rs", F.lit(0.0)).alias("rs"),
-        or_empty("codes", "int"), *[or_empty(n, "double") for n in names],
-        *[F.coalesce(n, F.lit(0)).alias(n) for n in QUALITY if n in per_doc.columns],
-    )
-    return ready, docs.sparkSession.sparkContext.broadcast(_trees(model, depth))
+    ready = with_terms(x, docs, F.sum("x").alias("rs"), *quality).fillna(0, ["rs", *[q for q in QUALITY if quality]])
+    held = _trees(model, depth)
+    size = max(t.size for t in held.values())
+    trees = docs.sparkSession.sparkContext.broadcast(held)
+    schema = columns.format(doc=ready.schema["doc"].dataType.simpleString())
+    schema += "".join(f", {c} bigint" for c in QUALITY if quality)
+    return multiplied(ready, model.weights, alphas, size, _in_steps(trees, score), schema)
 
 
 def predict(docs: DataFrame, x: DataFrame, model, candidates: list, depth: int) -> DataFrame:
@@ -225,14 +204,11 @@ def predict(docs: DataFrame, x: DataFrame, model, candidates: list, depth: int)
     """
     listed = [(c[0], float(c[1]), bool(c[2]), c[3]) for c in candidates]
     alphas = list(dict.fromkeys(c[1] for c in listed))
-    ready, trees = _gathered(docs, x, model, alphas, depth)
-    doc = ready.schema["doc"].dataType.simpleString()
-    quality = [c for c in QUALITY if c in ready.columns]
-    scored = ready.mapInPandas(
-        _in_steps(trees, _predictions(listed, alphas)),
-        f"candidate int, split int, doc {doc}, code int, confidence array<double>, margin array<double>"
-        + "".join(f", {c} bigint" for c in quality),
+    scored = _scored(
+        docs, x, model, alphas, depth, _predictions(listed, alphas),
+        "candidate int, split int, doc {doc}, code int, confidence array<double>, margin array<double>",
     )
+    quality = [c for c in QUALITY if c in scored.columns]
     paths = model.classes.where(F.col("depth") == depth).select("split", "code", F.col("class").alias("path"))
     return scored.join(paths, ["split", "code"]).select(
         "candidate", "split", "doc", "path", "confidence", "margin", *quality
@@ -247,10 +223,8 @@ def class_values(
     ``what``: ``jll`` or ``proba`` of every class, the ``best`` class of every level, or the path scores of a mode,
     as ``split, doc, depth, class, value`` (no value for ``best``).
     """
-    ready, trees = _gathered(docs, x, model, [float(alpha)], depth)
-    doc = ready.schema["doc"].dataType.simpleString()
-    arrays = ready.mapInPandas(
-        _in_steps(trees, _values(what, float(alpha), fit_prior)), f"split int, doc {doc}, values array<double>"
+    arrays = _scored(
+        docs, x, model, [float(alpha)], depth, _values(what, float(alpha), fit_prior), "split int, doc {doc}, values array<double>"
     )
     names = model.classes.select("split", "code", "depth", "class")
     if what == "best":
