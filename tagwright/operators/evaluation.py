@@ -197,7 +197,7 @@ def coverage_curve(pred: DataFrame, levels, key: str) -> DataFrame:
     each = _by_depth(pred, levels, F.col(f"`{key}`"))
     order = [F.desc("confidence"), F.col(f"`{key}`")]
     run = running_totals(each, ["depth"], order, {"rank": F.lit(1), "hits": F.col("ok")})
-    sizes = run.groupBy("depth").agg(F.max("rank").alias("n"))
+    sizes = each.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))  # not the last rank, which would place all rows again
     return run.join(F.broadcast(sizes), "depth").select(  # one row per depth
         "depth", F.col(f"`{key}`"), F.col("rank"), (F.col("rank") / F.col("n")).alias("coverage"),
         (F.col("hits") / F.col("rank")).alias("accuracy"),

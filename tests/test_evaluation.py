@@ -65,3 +65,15 @@ def test_best_needs_a_complete_candidate(spark):
         ev.best_candidate(results.where("not complete"), "L1 Accuracy").collect()
     with pytest.raises(KeyError):
         ev.best_candidate(results, "L9 Accuracy")
+
+
+def test_coverage_curve_places_its_rows_once(spark):
+    pred = spark.range(50).selectExpr(
+        "id", "'a' as `Actual x`", "if(id % 3 = 0, 'b', 'a') as `Predicted x`", "(id % 10) / 10.0 as `L1 Confidence`"
+    )
+    curve = ev.coverage_curve(pred, ["x"], "id")
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_range#") == 1
+    rows = sorted(curve.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, 51)) and rows[-1].coverage == 1.0
+    assert [r.id for r in rows[:5]] == [9, 19, 29, 39, 49] and rows[-1].accuracy == pytest.approx(33 / 50)
