@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20  # text bytes that are worked on at once inside a task
+KEEP_BYTES = 1 << 19  # the same where rows are only kept or dropped: arrays over the characters take fifty times as much
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,10 @@ def map_texts(
 
 
 def keep_rows(df: DataFrame, text_col: str, work: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
-    """The rows, unchanged and with all columns, for whose text ``work()`` gives true. No shuffle and no join."""
+    """The rows, unchanged and with all columns, for whose text ``work()`` gives true. No shuffle and no join.
+
+    ``work`` is called as by :func:`map_texts`, with lists of about ``KEEP_BYTES``.
+    """
     place = df.columns.index(text_col)
     given = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may clash
     name = f"c{place}"
@@ -76,7 +80,7 @@ def keep_rows(df: DataFrame, text_col: str, work: Callable[[], Callable[[list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
-            for part in chunks(batch, name):
+            for part in chunks(batch, name, KEEP_BYTES):
                 yield part.filter(pa.array(np.asarray(each(texts_of(part, name)), dtype=bool)))
         release()
 

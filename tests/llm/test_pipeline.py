@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from tagwright.llm import neardup, packing, pii, quality
+from tagwright.llm import common, neardup, packing, pii, quality
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -38,3 +38,10 @@ def test_stage_names_are_known():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_duplicates", "personal_data", "packing"]
     with pytest.raises(KeyError):
         dict(corpus_pipeline.STAGES)["none"]
+
+
+def test_kept_rows_are_judged_in_small_lists(spark):
+    texts = [(i, "x" * 100_000) for i in range(30)]
+    given = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    kept = common.keep_rows(given, "text", lambda: lambda part: [sum(map(len, part)) < 700_000] * len(part))
+    assert sorted(map(tuple, kept.collect())) == texts
