@@ -6,7 +6,11 @@ All tables carry a ``split`` column: cross-validation runs every split in one jo
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +19,8 @@ from ..functions import text as tx
 from ..session import placed, written
 from .selection import kth_rows
 
+TOKENS_AT_ONCE = 1 << 18  # of whole documents, counted together inside a task
+# none of these finds a token with a space, so an n-gram tells its words
 PATTERNS = {"whitespace": rf"[^{tx.SPACE}]+", "sklearn": rf"[{tx.WORD}]{{2,}}"}
 
 
@@ -59,13 +65,90 @@ def fold_bigrams(term: Column) -> Column:
     return F.when(F.size(parts) == 2, F.array_join(F.array_sort(parts), " ")).otherwise(term)
 
 
+def _distinct_grams(texts: pa.ListArray, owner: np.ndarray, lo: int, hi: int, stops: list[str], folded: bool):
+    """Per n its ``owner, term, count`` arrays: the distinct n-grams of every owner. Texts are lists of tokens."""
+    lengths = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+    named = pc.dictionary_encode(pc.list_flatten(texts))
+    order = pc.sort_indices(named.dictionary).to_numpy()
+    tokens, rank = named.dictionary.take(pa.array(order)), np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    code, text = rank[named.indices.to_numpy()], np.repeat(np.arange(len(texts)), lengths)
+    live = ~pc.is_in(tokens, value_set=pa.array(stops, pa.string())).to_numpy(zero_copy_only=False)[code]
+    code, text = code[live], text[live]
+    size = len(tokens)
+    begin, gram, names = np.arange(len(code)), code, tokens  # where a gram begins, its number, and the name of each number
+    for n in range(1, hi + 1):
+        if n > 1:
+            begin, gram = begin[begin < len(code) - (n - 1)], gram[begin < len(code) - (n - 1)]
+            whole = text[begin] == text[begin + n - 1]
+            begin, gram = begin[whole], gram[whole]
+            left, right = gram, code[begin + n - 1]
+            gram = left * size + right
+            if folded and n == 2:  # tokens are numbered in their order
+                counted = np.minimum(left, right) * size + np.maximum(left, right)
+            else:
+                counted = gram
+            span = len(names) * size
+        else:
+            counted, span = gram, size
+        if n >= lo or n == 1:
+            pairs, count = np.unique(owner[text[begin]] * span + counted, return_counts=True)
+            of, found = pairs // max(span, 1), pairs % max(span, 1)
+            yield n, of, _named(found, names, tokens, n), count
+        if 1 < n < hi:
+            found, gram = np.unique(gram, return_inverse=True)
+            names = _named(found, names, tokens, n)
+
+
+def _named(found: np.ndarray, names: pa.Array, tokens: pa.Array, n: int) -> pa.Array:
+    if n == 1:
+        return tokens.take(pa.array(found))
+    last = max(len(tokens), 1)
+    return pc.binary_join_element_wise(names.take(pa.array(found // last)), tokens.take(pa.array(found % last)), " ")
+
+
+def _counted(lo: int, hi: int, stops: list[str], folded: bool, quality: bool):
+    """The function for ``mapInArrow``: rows of ``.., _t`` (the token lists of a document) to ``.., term, tf[, words]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = batch.column("_t")
+            texts = np.concatenate([[0], np.cumsum(pc.list_value_length(every).to_numpy(zero_copy_only=False))])
+            held = pc.list_value_length(pc.list_flatten(every)).to_numpy(zero_copy_only=False)
+            run_of = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])[texts[1:]] // TOKENS_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(run_of)) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts, cuts[1:]):
+                part, beside = every.slice(a, b - a), batch.slice(a, b - a).drop_columns(["_t"])
+                owner = np.repeat(np.arange(b - a), np.diff(texts[a : b + 1]))
+                for n, of, term, count in _distinct_grams(pc.list_flatten(part), owner, lo, hi, stops, folded):
+                    if n < lo and not quality:
+                        continue
+                    none = np.zeros_like(count)
+                    values = [pa.array(count if n >= lo else none)]
+                    if quality:
+                        values.append(pa.array(count if n == 1 else none))
+                    columns = [*beside.take(pa.array(of)).columns, term, *values]
+                    names = [*beside.schema.names, "term", "tf", "words"][: len(columns)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def term_frequencies(docs: DataFrame, settings, keep=(), quality: bool = False) -> DataFrame:
     """``doc, *keep, term, tf[, words]`` from ``doc, *keep, text``.
 
-    The texts are partitioned by document before they are exploded: that moves the short side, and everything that
-    is later grouped by document finds its rows in place. ``words`` counts the occurrences as a single token.
+    ``words`` counts the occurrences as a single token. The texts are partitioned by document and brought together as
+    one row each, which moves the short side; a task then counts the n-grams of many documents at once by numbers of
+    their tokens. With a token pattern of one's own an n-gram may be spelled in two ways, so terms are grouped there.
     """
     lo, hi = settings.ngram_range
+    if settings.token_pattern in PATTERNS:
+        rows = placed(docs, "doc").select("doc", *keep, tokenize(F.col("text"), settings.token_pattern).alias("_t"))
+        given = rows.groupBy("doc", *keep).agg(F.collect_list("_t").alias("_t"))
+        beside = [f"`{c}` {given.schema[c].dataType.simpleString()}" for c in ("doc", *keep)]
+        schema = ", ".join([*beside, "term string", "tf long", *(["words long"] if quality else [])])
+        stops = stop_word_list(settings.stop_words)
+        return given.mapInArrow(_counted(lo, hi, stops, not settings.ordered_bigrams, quality), schema)
     tokens = tokenize(F.col("text"), settings.token_pattern, settings.stop_words)
     rows = placed(docs, "doc").select("doc", *keep, tokens.alias("_t"))
     grams = ngrams(F.col("_t"), lo, hi)
@@ -74,7 +157,7 @@ def term_frequencies(docs: DataFrame, settings, keep=(), quality: bool = False)
     by = ["doc", *keep, "term"]
     if not quality:
         return rows.select("doc", *keep, F.explode(grams).alias("term")).groupBy(*by).agg(F.count("*").alias("tf"))
-    if lo == 1 and (settings.ordered_bigrams or settings.token_pattern in PATTERNS):
+    if lo == 1 and settings.ordered_bigrams:
         # the tokens come first among the n-grams, so a position tells them apart
         placed_grams = rows.select("doc", *keep, F.size("_t").alias("_n"), F.posexplode(grams).alias("_i", "term"))
         return placed_grams.groupBy(*by).agg(

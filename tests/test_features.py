@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,30 @@ def test_running_totals_over_one_hot_group(spark):
     assert (out.place == out.groupby("g").cumcount() + 1).all()
     assert (out["sum"] == out.groupby("g").v.cumsum()).all()
     assert len(out) == 5000
+
+
+@pytest.mark.parametrize("lo, hi", [(1, 2), (2, 2), (1, 3), (2, 4)])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_terms_are_counted_in_tasks_without_a_row_per_token(spark, lo, hi, ordered):
+    random = np.random.default_rng(lo * 10 + hi)
+    words = ["a", "B", "the", "ä", "ccc", "😀", "z-z"]
+    texts = [(i % 30, " ".join(random.choice(words, random.integers(0, 12)))) for i in range(60)]  # an id has two texts
+    texts += [(90, None), (91, "the the"), (None, "a b a b")]
+    expected = Counter()
+    for doc, text in texts:
+        tokens = [t for t in (text or "").lower().split() if t != "the"]
+        for t in tokens:
+            expected[doc, t] += 0
+        for n in range(lo, hi + 1):
+            for i in range(len(tokens) - n + 1):
+                gram = tokens[i : i + n]
+                expected[doc, " ".join(sorted(gram) if n == 2 and not ordered else gram)] += 1
+    settings = ModelSettings(stop_words=("the",), ngram_range=(lo, hi), ordered_bigrams=ordered)
+    got = ft.term_frequencies(spark.createDataFrame(texts, "doc int, text string"), settings, quality=True)
+    rows = [tuple(r) for r in got.select("doc", "term", "tf").collect()]
+    assert sorted(map(str, rows)) == sorted(str((d, t, n)) for (d, t), n in expected.items())
+    single = Counter((d, t) for d, x in texts for t in (x or "").lower().split() if t != "the")
+    assert {(r.doc, r.term): r.words for r in got.where("words > 0").collect()} == dict(single)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = ft.term_frequencies(spark.createDataFrame(texts, "doc int, text string"), settings)
+    assert sorted(str(tuple(r)) for r in plain.collect()) == sorted(str(r) for r in rows if r[2])
