@@ -302,36 +302,32 @@ def lookup_term_weights(spark, folder):
 
 def _values(spark, folder, what):
     asked, terms, model = _fitted(spark, folder)
-    return pm.class_values(model, asked, terms, what)
+    return pm.class_values(model, asked, terms, what, called=_key())
 
 
 @query("nb_joint_log_likelihood", _items_sql("select doc, depth, class, round(jll, 4) as jll from jll", "jll"))
 def nb_joint_log_likelihood(spark, folder):
-    return _values(spark, folder, "jll").select(
-        "doc", "depth", _key().alias("class"), F.round("value", 4).alias("jll")
-    )
+    return _values(spark, folder, "jll").select("doc", "depth", "class", F.round("value", 4).alias("jll"))
 
 
 @query("nb_flat_proba", _items_sql("""
     , z as (select *, exp(jll - max(jll) over (partition by doc, depth)) as e from jll)
     select doc, depth, class, round(e / sum(e) over (partition by doc, depth), 6) as proba from z""", "jll"))
 def nb_flat_proba(spark, folder):
-    return _values(spark, folder, "proba").select(
-        "doc", "depth", _key().alias("class"), F.round("value", 6).alias("proba")
-    )
+    return _values(spark, folder, "proba").select("doc", "depth", "class", F.round("value", 6).alias("proba"))
 
 
 @query("nb_flat_predict", _items_sql("""
     select doc, depth, class from jll qualify row_number() over (partition by doc, depth order by jll desc, class) = 1""",
     "jll"))
 def nb_flat_predict(spark, folder):
-    return _values(spark, folder, "best").select("doc", "depth", _key().alias("class"))
+    return _values(spark, folder, "best").select("doc", "depth", "class")
 
 
 def _mode(mode):
     @query(f"mode_{mode}", _items_sql("select doc, path, round(score, 4) as score from score", "score", mode))
     def run(spark, folder):
-        return _values(spark, folder, mode).select("doc", _key().alias("path"), F.round("value", 4).alias("score"))
+        return _values(spark, folder, mode).select("doc", F.col("class").alias("path"), F.round("value", 4).alias("score"))
 
     return run
 

@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .product import Part, lists, multiplied, with_terms
 
 # Cells of the dense score arrays per step, at least one document: the memory of a task, not what it computes.
@@ -167,7 +168,7 @@ def _in_steps(trees, score):
         tree = trees.value[part.docs.column("split")[0].as_py()]
         step = max(1, STEP_CELLS // tree.size)
         for low in range(0, len(part.docs), step):
-            sums = [s[low : low + step, : tree.size] for s in part.sums]
+            sums = [s[:, : tree.size] for s in part.some(low, low + step)]
             yield from score(tree, part.docs.slice(low, step), sums)
 
     return finish
@@ -216,17 +217,21 @@ def predict(docs: DataFrame, x: DataFrame, model, candidates: list, depth: int)
 
 
 def class_values(
-    docs: DataFrame, x: DataFrame, model, what: str, alpha: float, fit_prior: bool, depth: int
+    docs: DataFrame, x: DataFrame, model, what: str, alpha: float, fit_prior: bool, depth: int,
+    called: Column | None = None,
 ) -> DataFrame:
     """The scores themselves, for a look inside: documents x classes rows by definition.
 
     ``what``: ``jll`` or ``proba`` of every class, the ``best`` class of every level, or the path scores of a mode,
-    as ``split, doc, depth, class, value`` (no value for ``best``).
+    as ``split, doc, depth, class, value`` (no value for ``best``). ``called``: what a class is called there, its labels
+    by default; it is made once for each class and not for each of the rows.
     """
     arrays = _scored(
         docs, x, model, [float(alpha)], depth, _values(what, float(alpha), fit_prior), "split int, doc {doc}, values array<double>"
     )
-    names = model.classes.select("split", "code", "depth", "class")
+    names = model.classes.select("split", "code", "depth", (F.col("class") if called is None else called).alias("class"))
+    if called is not None:
+        names = written(names, "names")
     if what == "best":
         rows = arrays.select("split", "doc", F.explode(F.col("values").cast("array<int>")).alias("code"))
         return rows.join(names, ["split", "code"]).select("split", "doc", "depth", "class")

@@ -171,14 +171,14 @@ def predict(
 
 def class_values(
     model: Model, docs: DataFrame, terms: DataFrame, what: str, alpha: float | None = None,
-    fit_prior: bool | None = None,
+    fit_prior: bool | None = None, called: Column | None = None,
 ) -> DataFrame:
     """``split, doc, depth, class, value``: see :func:`.scoring.class_values`."""
     s = model.settings
     x = ft.features(terms, model.vocabulary, s).select("split", "doc", "tid", "x")
     return scoring.class_values(
         docs, x, model, what, s.alpha if alpha is None else alpha, s.fit_prior if fit_prior is None else fit_prior,
-        model.depth,
+        model.depth, called,
     )
 
 

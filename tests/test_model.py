@@ -203,3 +203,13 @@ def test_rare_paths_and_bad_input(spark, fitted):
         bayes.class_term_counts(rows, 1).collect()
     with pytest.raises(ValueError):
         bayes.class_params(rows, 0.0, True)
+
+
+def test_classes_are_named_once_and_not_per_row(fitted):
+    _, asked, models = fitted
+    model, terms = models["count"]
+    found = pm.class_values(model, asked, terms, "conditional", called=F.array_join("class", "|"))
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    named = {(r.doc, r["class"]): r.value for r in found.collect()}
+    plain = pm.class_values(model, asked, terms, "conditional").collect()
+    assert len(named) == len(plain) and named == pytest.approx({(r.doc, "|".join(r["class"])): r.value for r in plain})
